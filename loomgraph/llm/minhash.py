@@ -9,11 +9,12 @@ whole sets is at least ``NUM``/100.
    retains are counted off, and of the rest a class lists only the rarest: as
    many as leave too few values for a similar pair to share (prefix filter; see
    ``prefix``), so that passages which many texts share make no long lists.
-3. In a first round every class of a list is compared with the list's first
-   class only, which is linear in the lists. In a second round the classes of a
-   list that are not yet in one component are compared, under a bound on sizes.
-   Links inside a component are never looked for again, so groups of thousands
-   of copies cost no pairs.
+3. In a first round every class of a list is compared with the list's pivot
+   only, which is linear in the lists. In a second round the classes of lists
+   that are not yet in one component propose pairs again, by rare shingles of
+   their whole sets and under exact bounds on what they can share
+   (``open_lists``). Links inside a component are never looked for again, so
+   groups of thousands of copies cost no pairs.
 4. A proposed pair is dropped if its union sketch estimates too little overlap,
    else verified on the whole sets.
 
@@ -42,6 +43,7 @@ K = 64
 SHARED = 34
 NUM = 80
 SHINGLE = 5
+FEW = 8
 BROADCAST_ROWS = 200_000
 
 
@@ -77,7 +79,51 @@ def listed(reps: DataFrame) -> DataFrame:
     # values no one else retains are the rarest, so they use up the prefix first
     rare = F.least(F.col("n"), F.lit(K)) - F.size("common")
     room = F.greatest(F.lit(0), prefix(F.col("n")) - rare).cast("int")
-    return r.select("rep", "n", F.explode(F.slice("common", F.lit(1), room)).alias("c")).select(F.col("c.value").alias("value"), "rep", "n")
+    hub = F.aggregate("common", F.lit(0).cast("long"), lambda acc, x: acc + x["df"]).alias("hub")
+    return r.select("rep", "n", hub, F.explode(F.slice("common", F.lit(1), room)).alias("c")).select(F.col("c.value").alias("value"), "rep", "n", "hub")
+
+
+def star(lists: DataFrame) -> DataFrame:
+    """(a, b): each class of a list with the list's pivot, the class whose retained
+    values are the most common in all. In a group of copies that is the text they
+    were made from, or one close to it."""
+    pivot = lists.groupBy("value").agg(F.max(F.struct("hub", (-F.col("rep")).alias("rep"))).alias("p")).select("value", (-F.col("p.rep")).alias("pivot"))
+    got = join_min(lists, "value", pivot).where("rep <> pivot")
+    return got.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+
+
+def labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """``lists`` of classes of more than one component, with their components c."""
+    comp = connected_components(links)
+    got = lists.select("value", "rep", "n", "hub").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("value", "rep", "n", "hub", F.coalesce("component", "rep").alias("c"))
+    mixed = got.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("value")
+    return materialise(join_min(got, "value", mixed))
+
+
+def open_lists(df: DataFrame, left: DataFrame, id_col: str, text_col: str, words: int, num: int) -> DataFrame:
+    """(value, df, rep, n, m): the shingles by which the classes in ``left`` may find others, from their whole sets.
+
+    A shingle that no other of them has can't be shared, so a class shares at
+    most ``m`` of its ``n``; two can be similar only if the lesser m suffices for
+    both sizes. Of the others a class lists only its rarest, as in ``prefix``."""
+    ids = left.select(F.col("rep").alias("_id"))
+    some = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(bounded_broadcast(ids, BROADCAST_ROWS), "_id", "left_semi")
+    flat = sets(some, "_id", "_text", words, whole=True).select(F.col("doc_id").alias("rep"), F.size("members").cast("long").alias("n"), F.explode("members").alias("value"))
+    flat = materialise(flat)
+    often = flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    r = join_min(flat, "value", often).groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
+    m = F.size("common").cast("long")
+    room = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * num / 100.0) + 1 - (F.col("n") - m)).cast("int")
+    return materialise(r.select("rep", "n", m.alias("m"), F.explode(F.slice("common", F.lit(1), room)).alias("x")).select("x.value", "x.df", "rep", "n", "m"))
+
+
+def open_pairs(lists: DataFrame, links: DataFrame, num: int) -> DataFrame:
+    """(a, b) of open_lists that may be similar and lie in unlike components of ``links``."""
+    comp = connected_components(links).withColumnRenamed("id", "rep")
+    r = materialise(lists.join(comp, "rep", "left").select("value", "rep", "n", "m", F.coalesce("component", "rep").alias("c")))
+    x, y = (r.select("value", *[F.col(k).alias(k + side) for k in ("rep", "n", "m", "c")]) for side in "xy")
+    close = (F.least("nx", "ny") * 100 >= num * F.greatest("nx", "ny")) & ((100 + num) * F.least("mx", "my") >= num * (F.col("nx") + F.col("ny")))
+    return x.join(y, "value").where(close & (F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy"))).select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct()
 
 
 def estimated(a: Column, b: Column, both: Column, num: int = NUM) -> Column:
@@ -107,23 +153,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialise(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     same = full.select("doc_id", "digest").join(classes.select("digest", F.col("n").alias("_n"), "rep"), "digest").where("doc_id <> rep")
     lists = materialise(listed(classes))
-    first = lists.groupBy("value").agg(F.min("rep").alias("first"))
-    star = join_min(lists, "value", first).where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(df, star, classes, id_col, text_col, words, num)
-    comp = materialise(connected_components(links))
-    label = F.coalesce("component", "rep").alias("c")
-    lists = materialise(lists.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("value", "rep", "n", label))
-    mixed = lists.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("value")
-    left = lists.join(mixed, "value", "left_semi")
-    x, y = left.select("value", *[F.col(c).alias(f"{c}x") for c in ("rep", "n", "c")]), left.select("value", *[F.col(c).alias(f"{c}y") for c in ("rep", "n", "c")])
-    close = (F.least("nx", "ny") * 100 >= num * F.greatest("nx", "ny")) & (F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy"))
-    rest = x.join(y, "value").where(close).select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.unionAll(verified(df, rest, classes, id_col, text_col, words, num))
+    tried = materialise(star(lists))
+    links = verified(df, tried, classes, id_col, text_col, words, num)
+    left = labelled(lists, links)
+    open_ = open_lists(df, left.select("rep").distinct(), id_col, text_col, words, num)
+    # first by shingles that few have, which joins most of what belongs together; then by all
+    for lists in (open_.where(F.col("df") <= FEW), open_):
+        more = materialise(open_pairs(lists, links, num).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionAll(more)
+        links = materialise(links.unionAll(verified(df, more, classes, id_col, text_col, words, num)))
     # rows that share an id but not a text are one document
     twice = same.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     links = links.unionAll(twice.select("low", "high")).unionAll(same.select("doc_id", "rep").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "rep"))
     comp = materialise(connected_components(links))
-    of_class = classes.select("digest", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", label)
+    of_class = classes.select("digest", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
     out = rows.join(of_class, "digest", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
