@@ -60,7 +60,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """Components of an undirected graph as (id, component), component being its smallest id.
 
     Alternates large-star and small-star steps until the edge set stands still;
-    each round's edges are a written table. Ids in no edge do not appear.
+    each round's edges are a written table. Ids in no edge, and the smallest of
+    each component, do not appear: they are their own component.
     Null ends and loops are ignored. Hot nodes are joined on keys AQE can split.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
