@@ -12,8 +12,8 @@ whole sets is at least ``NUM``/100.
 3. In a first round every class of a list is compared with the list's pivot
    only, which is linear in the lists. In a second round the classes of lists
    that are not yet in one component propose pairs again, by rare shingles of
-   their whole sets and under exact bounds on what they can share
-   (``open_lists``). Links inside a component are never looked for again, so
+   their whole sets and under exact bounds on what they can share, seen from
+   the list's pivot (``open_lists``, ``hopeful``). Links inside a component are never looked for again, so
    groups of thousands of copies cost no pairs.
 4. A proposed pair is dropped if its union sketch estimates too little overlap,
    else verified on the whole sets.
@@ -101,28 +101,73 @@ def labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_lists(df: DataFrame, left: DataFrame, id_col: str, text_col: str, words: int, num: int) -> DataFrame:
-    """(value, df, rep, n, m): the shingles by which the classes in ``left`` may find others, from their whole sets.
+    """(value, df, rep, n, inside, outside): the shingles by which the classes in ``left`` may find others, from their whole sets.
 
-    A shingle that no other of them has can't be shared, so a class shares at
-    most ``m`` of its ``n``; two can be similar only if the lesser m suffices for
-    both sizes. Of the others a class lists only its rarest, as in ``prefix``."""
+    Shingles are ranked by how many of the classes have them, rarest first; those
+    that no other has can't be shared. A class lists only its first, as in
+    ``prefix``. If a pair's first common shingle is ``value``, it shares none
+    before it, so at most the lesser ``inside`` and the lesser ``outside``: a
+    class's shingles from ``value`` on that the list's pivot has, and has not."""
     ids = left.select(F.col("rep").alias("_id"))
     some = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(bounded_broadcast(ids, BROADCAST_ROWS), "_id", "left_semi")
     flat = sets(some, "_id", "_text", words, whole=True).select(F.col("doc_id").alias("rep"), F.size("members").cast("long").alias("n"), F.explode("members").alias("value"))
     flat = materialise(flat)
     often = flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    r = join_min(flat, "value", often).groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
-    m = F.size("common").cast("long")
-    room = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * num / 100.0) + 1 - (F.col("n") - m)).cast("int")
-    return materialise(r.select("rep", "n", m.alias("m"), F.explode(F.slice("common", F.lit(1), room)).alias("x")).select("x.value", "x.df", "rep", "n", "m"))
+    ranked = F.array_sort(F.collect_list(F.struct("df", "value")))
+    r = join_min(flat, "value", often).groupBy("rep", "n").agg(ranked.alias("common"), F.sum("df").alias("hub"))
+    r = materialise(r)
+    room = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * num / 100.0) + 1 - (F.col("n") - F.size("common"))).cast("int")
+    rows = r.select("rep", "n", "hub", F.size("common").cast("long").alias("m"), F.posexplode(F.slice("common", F.lit(1), room)).alias("pos", "x"))
+    rows = materialise(rows.select("x.value", "x.df", "rep", "n", "hub", "pos", (F.col("m") - F.col("pos")).alias("rest")))
+    pivot = rows.where(F.col("df") > FEW).groupBy("value").agg(F.max(F.struct("hub", (-F.col("rep")).alias("rep"))).alias("p")).select("value", (-F.col("p.rep")).alias("pivot"))
+    long = join_min(rows.where(F.col("df") > FEW), "value", pivot)
+    asked = long.groupBy("rep", "pivot").agg(F.collect_list("pos").alias("at"))
+    sets_ = r.select("rep", F.col("common.value").alias("ranked"))
+    asked = asked.join(sets_, "rep").select("rep", "pivot", "at", "ranked")
+    asked = join_min(asked, "pivot", sets_.select(F.col("rep").alias("pivot"), F.col("ranked").alias("of_pivot"))).select("rep", "pivot", "at", "ranked", "of_pivot")
+    inside = asked.mapInArrow(_inside, "rep long, pivot long, pos int, inside long")
+    long = long.join(inside, ["rep", "pivot", "pos"]).select("value", "df", "rep", "n", "inside", (F.col("rest") - F.col("inside")).alias("outside"))
+    return materialise(rows.where(F.col("df") <= FEW).select("value", "df", "rep", "n", F.col("rest").alias("inside"), F.lit(0).cast("long").alias("outside")).unionAll(long))
+
+
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, pivot, pos, inside): how many of a class's ranked shingles from ``pos`` on its pivot has."""
+    schema = pa.schema([("rep", pa.int64()), ("pivot", pa.int64()), ("pos", pa.int32()), ("inside", pa.int64())])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            rep, pivot, places, counts = [], [], [], []
+            for x, p, pos, ranked, of_pivot in zip(*(c.to_pylist() if k < 2 else [v.values.to_numpy() for v in c] for k, c in enumerate(part.columns)), strict=True):
+                from_here = np.append(np.cumsum(np.isin(ranked, of_pivot)[::-1])[::-1], 0)
+                rep += [x] * len(pos)
+                pivot += [p] * len(pos)
+                places += pos.tolist()
+                counts += from_here[pos].tolist()
+            yield table(schema, rep, pivot, places, counts)
+
+
+def hopeful(rows: DataFrame, num: int) -> DataFrame:
+    """``rows`` of lists without those that no row of another component of the list can be similar to, by the best any of them has."""
+    best = rows.groupBy("value", "c").agg(F.max("inside").alias("i"), F.max("outside").alias("o"), F.min("n").alias("s"))
+    # the component that holds a best value, and the best of all the others
+    top = best.groupBy("value").agg(*[F.max_by("c", F.struct(F.col(k) * sign, "c")).alias(f"{k}c") for k, sign in (("i", 1), ("o", 1), ("s", -1))], F.max("i").alias("i1"), F.max("o").alias("o1"), F.min("s").alias("s1"))
+    two = join_min(best, "value", top)
+    other = lambda k: F.when(F.col("c") != F.col(f"{k}c"), F.col(k))
+    two = two.groupBy("value", "ic", "oc", "sc", "i1", "o1", "s1").agg(F.max(other("i")).alias("i2"), F.max(other("o")).alias("o2"), F.min(other("s")).alias("s2"), F.count("*").alias("k")).where("k > 1").drop("k")
+    r = join_min(rows, "value", two)
+    seen = lambda k: F.when(F.col("c") == F.col(f"{k}c"), F.col(f"{k}2")).otherwise(F.col(f"{k}1"))
+    most = F.least(F.col("inside"), seen("i")) + F.least(F.col("outside"), seen("o"))
+    return r.where((100 + num) * most >= num * (F.col("n") + seen("s"))).select(*rows.columns)
 
 
 def open_pairs(lists: DataFrame, links: DataFrame, num: int) -> DataFrame:
     """(a, b) of open_lists that may be similar and lie in unlike components of ``links``."""
     comp = connected_components(links).withColumnRenamed("id", "rep")
-    r = materialise(lists.join(comp, "rep", "left").select("value", "rep", "n", "m", F.coalesce("component", "rep").alias("c")))
-    x, y = (r.select("value", *[F.col(k).alias(k + side) for k in ("rep", "n", "m", "c")]) for side in "xy")
-    close = (F.least("nx", "ny") * 100 >= num * F.greatest("nx", "ny")) & ((100 + num) * F.least("mx", "my") >= num * (F.col("nx") + F.col("ny")))
+    r = lists.join(comp, "rep", "left").select("value", "rep", "n", "inside", "outside", F.coalesce("component", "rep").alias("c"))
+    r = materialise(hopeful(materialise(r), num))
+    x, y = (r.select("value", *[F.col(k).alias(k + side) for k in ("rep", "n", "inside", "outside", "c")]) for side in "xy")
+    most = F.least("insidex", "insidey") + F.least("outsidex", "outsidey")
+    close = (F.least("nx", "ny") * 100 >= num * F.greatest("nx", "ny")) & ((100 + num) * most >= num * (F.col("nx") + F.col("ny")))
     return x.join(y, "value").where(close & (F.col("repx") < F.col("repy")) & (F.col("cx") != F.col("cy"))).select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct()
 
 

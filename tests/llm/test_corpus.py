@@ -171,6 +171,26 @@ def test_minhash_as_brute_force(spark, odd):
     assert len(strange) == len(ODD) and {(r.doc_id, r.component_id) for r in strange} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (None, None), (7, 7), (8, 8), (9, 9)}
 
 
+def test_minhash_families_around_the_threshold(spark):
+    """Large families, half of them edits of edits, whose members lie on both sides of 0.8 to their centre."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for size in (40, 90, 150):
+        pool = [rng.integers(0, 300, size).tolist()]
+        for _ in range(70):
+            w = list(pool[int(rng.integers(0, len(pool)))] if rng.random() < 0.5 else pool[0])
+            for _ in range(int(rng.integers(0, 7))):
+                i = int(rng.integers(0, len(w)))
+                w[i : i + 1] = [[int(rng.integers(0, 300))], [], [w[i], int(rng.integers(0, 300))]][int(rng.integers(0, 3))]
+            pool.append(w)
+        rows += pool[1:]
+    sets = [frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3)) for w in rows]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(range(len(sets)), pairs)
+    got = minhash.near_duplicates(spark.createDataFrame([(i, " ".join(map(str, w))) for i, w in enumerate(rows)], "doc_id long, text string"), words=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 20
+
+
 def test_forest_recall(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(900, 64))
