@@ -71,3 +71,22 @@ def cleaning_stats(tool_rows: DataFrame) -> DataFrame:
     ok = F.col("status") == "fixed"
     s = tool_rows.agg(F.count("*").alias("total_input"), F.count_if(ok).alias("fixed"), F.count_if(~ok).alias("removed_invalid"), F.count_distinct(F.when(ok, F.col("name"))).alias("final_count"))
     return s.select("total_input", "fixed", "removed_invalid", (F.col("fixed") - F.col("final_count")).alias("removed_duplicates"), "final_count")
+
+
+def simple_parameters(params: Column) -> Column:
+    """JSON of the bare properties where the JSON-Schema form is used, else as it is."""
+    inner = F.get_json_object(params, "$.properties")
+    schema = F.get_json_object(params, "$.type").isNotNull() & F.startswith(inner, F.lit("{"))
+    return F.when(F.coalesce(schema, F.lit(False)), inner).otherwise(params)
+
+
+def call_schemas(tool_rows: DataFrame) -> DataFrame:
+    """(ingest_seq, schema): the function-call JSON of each valid tool, parameters in source order."""
+    t = tool_rows.where("status = 'fixed'")
+    one = F.struct("type", "description", F.col("default_json").alias("default"))
+    p = parameters(t).groupBy("ingest_seq").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("pname").alias("key"), one.alias("value")))).alias("ps"))
+    props = F.map_from_entries(F.transform("ps", lambda x: F.struct(x["key"], x["value"])))
+    required = F.coalesce(F.from_json(F.get_json_object("params", "$.required"), "array<string>"), F.array().cast("array<string>"))
+    inner = F.struct(F.lit("object").alias("type"), props.alias("properties"), required.alias("required"))
+    made = F.struct(F.lit("function").alias("type"), F.struct("name", "description", inner.alias("parameters")).alias("function"))
+    return t.join(p, "ingest_seq").select("ingest_seq", F.to_json(made).alias("schema"))

@@ -91,3 +91,82 @@ def sample_nodes(nodes: DataFrame, samples: int, size: int, seed: int = 42) -> D
     u = uniform(F.lit(str(seed)), F.col("sample").cast("string"), F.col("id").cast("string"))
     w = Window.partitionBy("sample").orderBy(u, "id")
     return s.withColumn("n", F.row_number().over(w)).where(F.col("n") <= size).select("sample", "id")
+
+
+def star_sample(nodes: DataFrame, edges: DataFrame, least: int, most: int, seed: int = 42) -> DataFrame:
+    """(id, hub): of the ten largest hubs the first with ``least`` - 1 neighbours, and at most ``most`` - 1 of its neighbours."""
+    e = edges.select("src", "dst")
+    both = e.unionAll(e.select("dst", "src")).where("src <> dst").distinct()
+    wide = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k")).where(F.col("k") >= least - 1)
+    hub = top_hubs(nodes, edges).join(wide, "id").orderBy(F.desc("degree"), "id").limit(1).select(F.col("id").alias("src"))
+    drawn = both.join(F.broadcast(hub), "src")  # one row
+    drawn = drawn.orderBy(uniform(F.lit(str(seed)), F.col("src").cast("string"), F.col("dst").cast("string")), "dst").limit(most - 1)
+    return hub.select(F.col("src").alias("id"), F.lit(True).alias("hub")).unionAll(drawn.select("dst", F.lit(False)))
+
+
+def pruned(edges: DataFrame, pairs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) left when edges with no pair of ``sim`` at or above ``least`` go, and then nodes without edges."""
+    good = pairs.where(F.col("sim") >= least).select("src", "dst").distinct()
+    e = edges.join(good, ["src", "dst"], "left_semi")
+    return e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct(), e
+
+
+def _spread(labels: DataFrame, edges: DataFrame, table, rounds: int) -> DataFrame:
+    """(id, label): the largest label that reaches each node along ``edges``."""
+    for _ in range(rounds):
+        got = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("label").alias("m"))
+        new = table(labels.join(got, "id", "left").select("id", F.greatest("label", F.coalesce("m", "label")).alias("label"), (F.col("m") > F.col("label")).alias("up")))
+        still = new.where("up").isEmpty()
+        labels = new.select("id", "label")
+        if still:
+            return labels
+    raise RuntimeError("labels did not settle")
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, table, rounds: int = 10_000) -> DataFrame:
+    """(id, component): the smallest id of those that a node reaches and that reach it.
+
+    Nodes without an edge in or out among those left are alone. Of the rest each
+    takes the largest id that reaches it as colour; a colour's namesake and what
+    reaches it within the colour are one component."""
+    e = table(edges.where("src <> dst").select("src", "dst").distinct())
+    done = None
+    left = table(nodes.select("id").distinct())
+    for _ in range(rounds):
+        core = left.join(e.select(F.col("dst").alias("id")), "id", "left_semi").join(e.select(F.col("src").alias("id")), "id", "left_semi")
+        alone = table(left.join(core, "id", "left_anti").select("id", F.col("id").alias("component")))
+        if alone.isEmpty():
+            if left.isEmpty():
+                break
+            colour = _spread(left.select("id", F.col("id").alias("label")), e, table, rounds)
+            of = lambda end: colour.select(F.col("id").alias(end), F.col("label").alias(f"c_{end}"))
+            inner = table(e.join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            seen = _spread(colour.select("id", (F.col("id") == F.col("label")).cast("int").alias("label")), inner, table, rounds)
+            hit = seen.where("label = 1").select("id").join(colour, "id")
+            low = hit.groupBy("label").agg(F.min("id").alias("component"))
+            alone = table(hit.join(low, "label").select("id", "component"))
+        done = alone if done is None else done.unionAll(alone)
+        left = table(left.join(alone, "id", "left_anti"))
+        e = table(e.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    return done if done is not None else nodes.select("id", F.col("id").alias("component"))
+
+
+def label_communities(nodes: DataFrame, edges: DataFrame, table, rounds: int = 10) -> DataFrame:
+    """(id, community): weighted label propagation on undirected edges(src, dst, weight).
+
+    In each round a node takes the label its neighbours weigh most, its own label
+    counting once its heaviest edge; ties go to the smaller label. It ends when
+    labels stand still, or after ``rounds``."""
+    e = table(edges.select("src", "dst", "weight").unionAll(edges.select("dst", "src", "weight")))
+    own = table(e.groupBy(F.col("src").alias("id")).agg(F.max("weight").alias("weight")))
+    lab = table(nodes.select("id", F.col("id").alias("community")))
+    for _ in range(rounds):
+        said = e.join(lab.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "community", "weight")
+        votes = said.unionAll(own.join(lab, "id").select("id", "community", "weight")).groupBy("id", "community").agg(F.sum("weight").alias("w"))
+        won = votes.groupBy("id").agg(F.max_by("community", F.struct(F.round("w", 9), -F.col("community"))).alias("new"))
+        new = table(lab.join(won, "id", "left").select("id", F.coalesce("new", "community").alias("community"), (F.col("new") != F.col("community")).alias("moved")))
+        still = new.where("moved").isEmpty()
+        lab = new.select("id", "community")
+        if still:
+            break
+    return lab

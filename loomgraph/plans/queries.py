@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import catalog, graph, logs, similarity
+from ..operators import catalog, graph, logs, similarity, walks
 from ..sources.views import calls, raw_tools, table, tool_vecs
 from .written import written
 
@@ -213,11 +213,68 @@ def stream_final_state(spark, d):
     return run(spark, f"{d}/events.parque[t]", f"{folder}/loomgraph")
 
 
+def schema_to_simple(spark, d):
+    return _tools(spark, d).select("ingest_seq", catalog.simple_parameters(F.col("params")).alias("params"))
+
+
+def function_call_schema(spark, d):
+    return catalog.call_schemas(_tools(spark, d))
+
+
+def extract_code(spark, d):
+    c = calls(spark, d)
+    code = F.concat(F.lit("def run_"), F.col("seq").cast("string"), F.lit("():\n    return '"), "tool", F.lit("'"))
+    fence = F.element_at(F.array(F.lit("```python"), F.lit("```py"), F.lit("```")), (F.col("seq") % 3 + 1).cast("int"))
+    said = F.when(F.col("seq") % 5 == 0, F.concat(F.lit("See:\n"), code)).otherwise(F.concat(F.lit("See:\n"), fence, F.lit("\n"), code, F.lit("\n```\nThat is all.")))
+    return c.select("seq", text.code_in(said).alias("code"))
+
+
+def split_marked_sections(spark, d):
+    c = calls(spark, d)
+    said = F.concat(F.lit("import json\n# shared\nfrom re import sub\n# TOOL: "), "tool", F.lit("\ndef a():\n    pass\n\n# TOOL: other_"), F.col("seq").cast("string"), F.lit("\ndef b():\n    pass\n"))
+    return c.select("seq", F.posexplode(text.marked_sections(said)).alias("pos", "s")).select("seq", F.col("pos").cast("long").alias("pos"), "s.name", "s.code")
+
+
+def query_zip_nodes(spark, d):
+    m = table(spark, d, "conversations")
+    nth = F.expr("row_number() over (partition by conv_id order by turn)").cast("long") - 1
+    side = lambda role, name: m.where(F.col("role") == role).select("conv_id", nth.alias("pos"), F.col("turn" if name == "node" else "text").alias(name))
+    return side("user", "query").join(side("assistant", "node"), ["conv_id", "pos"])
+
+
+def sample_star(spark, d):
+    return graph.star_sample(_nodes(spark, d), _edges(spark, d), 3, 10)
+
+
+def prune_graph(spark, d):
+    pairs = written(similarity.best_matches(_both(spark, d)).where(F.col("sim") >= EDGE_LEAST))
+    return graph.pruned(pairs.select("src", "dst").distinct(), pairs, 0.35)[0]
+
+
+def strong_components(spark, d):
+    return graph.strong_components(_nodes(spark, d), similarity.dependency_edges(_both(spark, d), 0.35), written)
+
+
+def label_communities(spark, d):
+    return graph.label_communities(_vec_ids(spark, d), _close(spark, d).withColumnRenamed("sim", "weight"), written)
+
+
+def chain_walks(spark, d):
+    w = walks.chain_walks(spark, _edges(spark, d), 20, 8, written)
+    return w.select("walk", F.size("path").cast("long").alias("length"), F.array_join("path", ",").alias("path"))
+
+
+def walk_edges(spark, d):
+    e = _edges(spark, d)
+    return walks.walk_edges(walks.chain_walks(spark, e, 20, 8, written), e)
+
+
 QUERIES = {f.__name__: f for f in (
     tool_pair_similarity, vector_pair_edges, dependency_edges, best_match_pairs, dedup_greedy_vectors, degree_stats, graph_density, clustering_coefficient, neighbors, induced_subgraph,
     weak_components, topo_levels, hub_topk, sample_random, normalize_name, normalize_description, normalize_parameters, normalize_returns, cleaning_stats, dedup_exact_name, domain_stats, embedding_text,
     validation_report, batch_summary, state_snapshots, final_state_fold, tumbling_activity, session_activity, trajectory_stats, format_messages, clarity_heuristic, extract_json, parse_tool_calls,
     schema_state_reconcile, referential_check, state_hash, stream_final_state,
+    schema_to_simple, function_call_schema, extract_code, split_marked_sections, query_zip_nodes, sample_star, prune_graph, strong_components, label_communities, chain_walks, walk_edges,
 )}
 
 _V = "v AS (SELECT vec_id // 5 AS tool, vec_id % 5 AS slot, embedding::DOUBLE[] AS vec FROM embeddings)"
@@ -279,4 +336,12 @@ ORACLE = {
     "schema_state_reconcile": "SELECT coalesce(c_custkey, o_custkey) AS custkey, CASE WHEN o_custkey IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'extra' ELSE 'matched' END AS status FROM (SELECT DISTINCT c_custkey FROM customer) FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey",
     "referential_check": "SELECT l_orderkey, count(*) AS n_orphans FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey",
     "state_hash": f"WITH x AS ({_STATE}) SELECT episode, sha256(concat_ws('|', episode, n_calls, n_committed)) AS state_hash FROM x",
+    "schema_to_simple": "SELECT p_partkey AS ingest_seq, '{\"size\":{\"type\":\"int\",\"description\":\"Size ' || p_size || '\"},\"brand\":{\"datatype\":\"str\",\"desc\":\"Brand of the part\",\"default\":\"' || p_brand || '\"},\"flag\":\"bool\"}' AS params FROM part",
+    "function_call_schema": f"""WITH {_TOOLS} SELECT ingest_seq, '{{"type":"function","function":{{"name":"' || name || '","description":"' || description || '","parameters":{{"type":"object","properties":{{"size":{{"type":"integer","description":"Size ' || p_size || '"}},"brand":{{"type":"string","description":"Brand of the part","default":"' || p_brand || '"}},"flag":{{"type":"boolean","description":"Parameter flag"}}}},"required":[' || CASE WHEN ingest_seq % 2 = 0 THEN '' ELSE '"size"' END || ']}}}}}}' AS schema FROM s WHERE status = 'fixed'""",
+    "extract_code": "SELECT event_id AS seq, 'def run_' || event_id || '():' || chr(10) || '    return ' || chr(39) || event_type || chr(39) AS code FROM events",
+    "split_marked_sections": "SELECT event_id AS seq, pos, CASE pos WHEN 0 THEN event_type ELSE 'other_' || event_id END AS name, 'import json' || chr(10) || 'from re import sub' || chr(10) || CASE pos WHEN 0 THEN 'def a():' ELSE 'def b():' END || chr(10) || '    pass' AS code FROM events, (SELECT unnest([0, 1])::BIGINT AS pos)",
+    "query_zip_nodes": "WITH x AS (SELECT conv_id, role, turn, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS pos FROM conversations) SELECT u.conv_id, u.pos, u.text AS query, a.turn AS node FROM x u JOIN x a ON u.conv_id = a.conv_id AND u.pos = a.pos AND u.role = 'user' AND a.role = 'assistant'",
+    "sample_star": f"WITH {_dep(EDGE_LEAST)}, {_DEG}, {_BOTH}, hub AS (SELECT id FROM (SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 10) WHERE (SELECT count(*) FROM w WHERE w.a = id) >= 2 ORDER BY degree DESC, id LIMIT 1), s AS (SELECT w.b AS id FROM w JOIN hub ON w.a = hub.id ORDER BY ('0x' || substr(md5('42|' || hub.id || '|' || w.b), 1, 13))::BIGINT, w.b LIMIT 9) SELECT id, true AS hub FROM hub UNION ALL SELECT id, false FROM s",
+    "prune_graph": f"WITH {_BEST}, g AS (SELECT src, dst FROM best WHERE sim >= 0.35) SELECT src AS id FROM g UNION SELECT dst FROM g",
+    "strong_components": f"WITH RECURSIVE {_dep(0.35)}, r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src) SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
 }
