@@ -4,7 +4,7 @@ Each piece of text is encoded with a segment tree over the ranks of its adjacent
 pairs. A node holds the smallest (rank, position) below it, so the root (node 1)
 is the leftmost pair of lowest rank. A merge rewrites the two pairs beside it and
 retires one leaf: three point updates of logarithmic cost, until the root holds
-no rank. Pieces repeat, so a bounded memo keeps their ids.
+no rank. Words and pieces repeat, so bounded memos keep their ids.
 
 Cases: a null text is an empty text; empty texts give no ids; a piece of any
 length is encoded whole; other columns of the input are not looked at; one row
@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, table, texts
+from .common import id_and_text, release, table, texts
 
 NONE = 1 << 62
 
@@ -70,11 +70,29 @@ class RankTree:
             node[i] = value
 
 
+class Memo:
+    """At most twice ``most`` entries in two generations: a full young one becomes the old one, and what is used again is young again."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Bpe:
     """A BPE model of a tokenizers JSON file with word ends, byte-level symbols and no decoder."""
 
-    def __init__(self, file: str, memo: int = 400_000):
-        """``file``: what the file holds."""
+    def __init__(self, file: str, memo: int = 80_000):
+        """``file``: what the file holds; ``memo``: a bound on the pieces remembered (see Memo), and a quarter of it on words of several."""
         spec = json.loads(file)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -88,9 +106,11 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         symbols = byte_symbols()
         self.inner, self.last = [self.vocab[s] for s in symbols], [self.vocab[s + self.end] for s in symbols]
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.pieces_memo: dict[str, list[int]] = {}
         self.most = memo
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.parts = Memo(self.most // 4), Memo(self.most)
 
     def merged(self, ids: list[int]) -> list[int]:
         """``ids`` after all merges, lowest rank first, leftmost first among equals."""
@@ -122,40 +142,38 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def piece(self, piece: str) -> list[int]:
-        got = self.pieces_memo.get(piece)
+        got = self.parts.get(piece)
         if got is None:
             raw = piece.encode("utf-8", "surrogatepass")
             ids = [self.inner[b] for b in raw]
             ids[-1] = self.last[raw[-1]]
             got = self.merged(ids)
             if len(raw) <= 48:
-                if len(self.pieces_memo) >= self.most:
-                    self.pieces_memo.clear()
-                self.pieces_memo[piece] = got
+                self.parts.put(piece, got)
         return got
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> list[int]:
         """Ids of text without spaces or line ends; no piece and no special token goes across those."""
         out: list[int] = []
         for part in self.cut.split(word) if self.cut and "<|" in word else (word,):
             if part in self.special:
                 out.append(self.special[part])
             else:
-                for p in self.pieces.findall(lowered(part if part.isascii() else unicodedata.normalize("NFC", part))):
+                found = self.pieces.findall(lowered(part if part.isascii() else unicodedata.normalize("NFC", part)))
+                if found == [word]:
+                    return self.piece(word)  # remembered there
+                for p in found:
                     out += self.piece(p)
-        got = tuple(out)
         if len(word) <= 48:
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            self.memo[word] = got
-        return got
+            self.words.put(word, out)
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        get = self.memo.get
+        words, parts = self.words, self.parts
         for w in text.replace("\n", " ").split(" ") if text else ():
             if w:
-                out += get(w) or self.word(w)
+                out += words.young.get(w) or parts.young.get(w) or words.get(w) or self.word(w)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -179,9 +197,13 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
         schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * keep_ids)
         number = {i: str(i) for i in bpe.token}
-        for ids, values in texts(batches):
-            got = [bpe.encode(t) for t in values]
-            yield table(schema, ids, [len(x) for x in got], [hashlib.sha256(" ".join([number[i] for i in x]).encode()).hexdigest() for x in got], [hashlib.sha256(bpe.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in got], *[got] * keep_ids)
+        try:
+            for ids, values in texts(batches):
+                got = [bpe.encode(t) for t in values]
+                yield table(schema, ids, [len(x) for x in got], [hashlib.sha256(" ".join([number[i] for i in x]).encode()).hexdigest() for x in got], [hashlib.sha256(bpe.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in got], *[got] * keep_ids)
+        finally:
+            bpe.forget()
+            release()
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, SCHEMA + ", ids array<int>" * keep_ids)
 

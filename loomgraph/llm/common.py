@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -126,6 +128,15 @@ def shingles(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out).view(np.int64)
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system, as idle workers stay for the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Runs of anything but space and \\t \\n \\v \\f \\r, as UTF-8; none for null."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

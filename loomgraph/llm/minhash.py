@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_broadcast, connected_components, id_and_text, join_min, materialise, shingles, table, texts
+from .common import WordHashes, bounded_broadcast, connected_components, id_and_text, join_min, materialise, release, shingles, table, texts
 
 K = 64
 SHARED = 34
@@ -54,12 +54,16 @@ def sets(df: DataFrame, id_col: str, text_col: str, words: int, whole: bool) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for ids, values in texts(batches):
-            found = [np.unique(shingles(hashes.of((t or "").encode("utf-8", "surrogatepass").lower().split()), words)) for t in values]
-            if whole:
-                yield table(schema, ids, found)
-            else:
-                yield table(schema, ids, [len(s) for s in found], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], [s[:K] for s in found])
+        try:
+            for ids, values in texts(batches):
+                found = [np.unique(shingles(hashes.of((t or "").encode("utf-8", "surrogatepass").lower().split()), words)) for t in values]
+                if whole:
+                    yield table(schema, ids, found)
+                else:
+                    yield table(schema, ids, [len(s) for s in found], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], [s[:K] for s in found])
+        finally:
+            hashes.clear()
+            release()
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, " + ("members array<long>" if whole else "n long, digest binary, sketch array<long>"))
 
