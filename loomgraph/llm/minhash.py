@@ -176,10 +176,11 @@ def open_pairs(lists: DataFrame, links: DataFrame, num: int) -> DataFrame:
 
 
 def estimated(a: Column, b: Column, both: Column, num: int = NUM) -> Column:
-    """Whether the sketch of the union leaves a pair possible."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, K)
-    shared = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when(both, shared * 100 >= num * F.size(F.array_union(a, b))).otherwise(shared * K >= SHARED * F.size(union))
+    """Whether the sketch of the union leaves a pair possible. With ``both`` the sketches are the whole sets, and the answer is exact."""
+    whole, common = F.array_union(a, b), F.array_intersect(a, b)
+    union = F.slice(F.array_sort(whole), 1, K)
+    shared = F.size(F.array_intersect(union, common))
+    return F.when(both, F.size(common) * 100 >= num * F.size(whole)).otherwise(shared * K >= SHARED * F.size(union))
 
 
 def verified(df: DataFrame, pairs: DataFrame, reps: DataFrame, id_col: str, text_col: str, words: int, num: int) -> DataFrame:

@@ -191,6 +191,25 @@ def test_minhash_families_around_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 20
 
 
+def test_minhash_pairs_whose_union_outgrows_a_sketch(spark):
+    """Sets of 56 to 66 shingles, about as many as a sketch holds, in pairs on both sides of 0.8."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in range(56, 67):
+        for changed in range(6):
+            for _ in range(2):
+                w = rng.integers(0, 10**9, n + 4).tolist()
+                v = list(w)
+                v[int(rng.integers(4, n))] = -1 - len(rows)  # takes five shingles
+                v[len(v) - changed :] = [-(10**6) - len(rows) - i for i in range(changed)]
+                rows += [w, v]
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in rows]
+    pairs = [(a, a + 1) for a in range(0, len(sets), 2) if 100 * len(sets[a] & sets[a + 1]) >= 80 * len(sets[a] | sets[a + 1])]
+    got = minhash.near_duplicates(spark.createDataFrame([(i, " ".join(map(str, w))) for i, w in enumerate(rows)], "doc_id long, text string")).collect()
+    assert 40 < len(pairs) < len(sets) // 2
+    assert {(r.component_id, r.doc_id) for r in got if not r.kept} == set(pairs)
+
+
 def test_forest_recall(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(900, 64))
