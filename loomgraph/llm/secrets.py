@@ -53,11 +53,11 @@ def weak(text: Column, any_identifier: Column) -> dict[str, Column]:
     """Candidates that count only together."""
     mixed = F.filter(matches(text, BARE), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))
     some = lambda *words: F.lit(False) if not words else F.contains(text, F.lit(words[0])) | some(*words[1:])
-    ident = F.when(some("ASIA", "AROA", "AIDA"), matches(text, IDENT)).otherwise(_none())
+    temporary = some("ASIA", "AROA", "AIDA")
     return {
-        "bare": F.when(any_identifier | some("ASIA", "AROA", "AIDA"), mixed).otherwise(_none()),
-        "ident": ident,
-        "endpoint": F.when(any_identifier & F.contains(text, F.lit("://")), matches(text, ENDPOINT)).otherwise(_none()),
+        "bare": F.when(any_identifier | temporary, mixed).otherwise(_none()),
+        "ident": F.when(temporary, matches(text, IDENT)).otherwise(_none()),
+        "endpoint": F.when((any_identifier | temporary) & F.contains(text, F.lit("://")), matches(text, ENDPOINT)).otherwise(_none()),
     }
 
 

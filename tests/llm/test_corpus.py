@@ -115,6 +115,16 @@ def test_secrets(spark, odd):
     assert secrets.redact(df.where(F.col("text").contains("https") & (F.col("doc_id") == 1))).first().text == "[access] uses [bare] at [endpoint]"
 
 
+def test_secrets_of_temporary_keys(spark):
+    """An endpoint counts beside a temporary key and a secret as beside an access key; not beside one of them alone."""
+    parts = ["ASIAABCDEFGHIJKLMNOP12", "password = abcdefghijklmnop", "https://h.example.com"]
+    rows = [(1, " ".join(parts)), (2, " ".join(parts[::2])), (3, " ".join(parts[1:])), (4, " ".join(parts).replace("ASIA", "AROA"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = {r.doc_id: [x.split(":")[0] for x in r.spans.split(",") if x] for r in secrets.report(df).collect()}
+    assert kinds == {1: ["ident", "assign", "endpoint"], 2: [], 3: ["assign"], 4: ["ident", "assign", "endpoint"]}
+    assert secrets.redact(df.where("doc_id = 1")).first().text == "[ident] [assign] [endpoint]"
+
+
 def test_pii(spark, odd):
     rows = [(1, "mail a.b@c.de, 10.0.0.255 and 256.1.1.1"), (2, "card 4111 1111 1111 1111 not 4111 1111 1111 1112"), (3, "call +1 (555) 123-4567"), (4, "_x@d.e a@b.c_y@d.e")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
