@@ -4,7 +4,13 @@ Seeds are runs of ``SEED_WORDS`` lower-cased words, thinned to the window minima
 of their hashes: two texts that share ``WINDOW + SEED_WORDS - 1`` words in a row
 share a seed. Every occurrence of a seed is matched with the seed's first
 document only (the smallest id), so a passage in very many documents costs one
-match for each occurrence. A document's matches with another document are
+match for each occurrence. Where the seed has several documents, each run of
+words about it (``RUNS``) is matched with the run's first document as well, so
+that pieces of a passage in earlier documents don't hide a document that has it
+whole: words that two documents share, 57 or more in a row, hold a run of 50
+with them, and so are matched over 50 words or more at a time. Shorter or
+altered passages rely on the run of 28 and on single seeds, and may still be
+missed if earlier documents have all their pieces of that length. A document's matches with another document are
 chained in order of both positions by dynamic programming over a Fenwick tree
 of prefix maxima, with a cost that grows with the gap. Chains are aligned on the
 words themselves (between matches and outwards from the ends) and reported as
@@ -29,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_broadcast, id_and_text, join_min, materialise, shingles, table, texts
+from .common import WordHashes, bounded_broadcast, id_and_text, join_min, materialise, mixed, shingles, table, texts
 
 SEED_WORDS = 5
 WINDOW = 16
+#: (words before a seed, words in all) of the runs
+RUNS = ((0, 28), (0, 50), (8, 50))
 GAP_COST = 0.05
 MIN_WORDS = 50
 MIN_LIKE = 0.8
@@ -52,6 +60,41 @@ def minima(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(at)
 
 
+def runs(w: np.ndarray, at: np.ndarray, before: int, n: int) -> pa.Array:
+    """32-bit hash of the ``n`` words from ``before`` words ahead of each seed; null where the
+    text has none, and where the same run began fewer than ``n`` words ago (a short text over and over)."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    back = np.uint64(pow(int(base), -1, 1 << 64))
+    up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(w), b)])) for b in (base, back))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[:-1])])
+    start = at - before
+    there = (start >= 0) & (start + n <= len(w))
+    i = np.where(there, start, 0)
+    h = mixed((total[np.minimum(i + n, len(w))] - total[i]) * down[i])
+    order = np.lexsort((i, h))
+    again = np.zeros(len(at), bool)
+    again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (i[order[1:]] - i[order[:-1]] < n)
+    return pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32), mask=~there | again)
+
+
+def points(matches: list[dict[str, int]]) -> list[tuple[int, int]]:
+    """Matches as single seeds: of a run, its ends and middle, if no other match lies on its diagonal within it."""
+    most: dict[tuple[int, int], int] = {}
+    on: dict[int, set[int]] = {}
+    for m in matches:
+        k = (m["pos"], m["ref_pos"])
+        most[k] = max(m["n"], most.get(k, 0))
+        on.setdefault(k[0] - k[1], set()).add(k[0])
+    line = {d: sorted(x) for d, x in on.items()}
+    out = []
+    for (x, y), n in most.items():
+        out.append((x, y))
+        last, of = n - SEED_WORDS, line[x - y]
+        if last > 0 and bisect_left(of, x + 1) == bisect_left(of, x + last + 1):
+            out += [(x + last // 2, y + last // 2), (x + last, y + last)]
+    return out
+
+
 class Fenwick:
     """Prefix maxima of (value, index) pairs."""
 
@@ -165,12 +208,12 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     """(doc_id, ref_id, start, end, ref_start, ref_end, n_words, likeness): passages of a
     document that an earlier one has; offsets count words, ends are exclusive."""
     rows = id_and_text(df, id_col, text_col).where("doc_id is not null and text is not null")
-    flat = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("once", pa.bool_())])
+    flat = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32()), ("once", pa.bool_()), *[(f"run{k}", pa.int32()) for k in range(len(RUNS))]])
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for ids, values in texts(batches):
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            cols: list[list] = [[] for _ in flat]
             for doc, t in zip(ids.to_pylist(), values, strict=True):
                 w = hashes.of(lowered_words(t))
                 if len(w) < SEED_WORDS:
@@ -179,15 +222,21 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
                 at = minima(h)
                 once = np.zeros(len(at), bool)
                 once[np.unique(h[at], return_index=True)[1]] = True
-                for c, x in zip(cols, (h[at], np.full(len(at), doc), at, once), strict=True):
+                for c, x in zip(cols, (h[at], np.full(len(at), doc), at, once, *[runs(w, at, *r) for r in RUNS]), strict=True):
                     c.append(x)
             if cols[0]:
-                yield table(flat, *[np.concatenate(c) for c in cols])
+                yield table(flat, *[np.concatenate(c) for c in cols[:4]], *[pa.concat_arrays(c) for c in cols[4:]])
 
-    s = materialise(rows.mapInArrow(seeds, "seed long, doc long, pos int, once boolean"))
+    s = materialise(rows.mapInArrow(seeds, "seed long, doc long, pos int, once boolean, " + ", ".join(f"run{k} int" for k in range(len(RUNS)))))
     first = s.groupBy("seed").agg(F.count("*").alias("n"), F.min("doc").alias("ref"), F.expr("min_by(pos, doc) filter (where once)").alias("ref_pos")).where("n > 1").drop("n")
-    found = join_min(s.select("seed", "doc", "pos"), "seed", first).where("doc <> ref")
-    found = found.groupBy("doc", "ref").agg(F.collect_list(F.struct("pos", "ref_pos")).alias("m")).where("size(m) > 1")
+    # occurrences of seeds that occur again; few, beside all
+    often = materialise(join_min(s.drop("once"), "seed", first))
+    found = often.where("doc <> ref").select("doc", "ref", "pos", "ref_pos", F.lit(SEED_WORDS).alias("n"))
+    for k, (before, n) in enumerate(RUNS):
+        run = often.where(F.col(f"run{k}").isNotNull()).select(F.xxhash64("seed", f"run{k}").alias("run"), "doc", (F.col("pos") - before).alias("pos"))
+        of = run.groupBy("run").agg(F.count("*").alias("_n"), F.min(F.struct("doc", "pos")).alias("f")).where("_n > 1").select("run", F.col("f.doc").alias("ref"), F.col("f.pos").alias("ref_pos"))
+        found = found.unionAll(join_min(run, "run", of).where("doc <> ref").select("doc", "ref", "pos", "ref_pos", F.lit(n).alias("n")))
+    found = found.groupBy("doc", "ref").agg(F.collect_list(F.struct("pos", "ref_pos", "n")).alias("m")).where(f"size(m) > 1 or m[0].n > {SEED_WORDS}")
     least = min_words // 4
     chained = pa.schema([("doc", pa.int64()), ("ref", pa.int64()), ("chain", pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))])
 
@@ -195,7 +244,7 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                found = chains([(m["pos"], m["ref_pos"]) for m in r["m"]])
+                found = chains(points(r["m"]))
                 # a run of one word over and over has many seeds at one place of the other text
                 for c in [c for c in found if len(c) > 1 and c[-1][0] + SEED_WORDS - c[0][0] >= least] or found[:1]:
                     out.append((r["doc"], r["ref"], [{"x": x, "y": y} for x, y in c]))

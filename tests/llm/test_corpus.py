@@ -248,6 +248,23 @@ def test_passages(spark, odd):
     assert substring.passages(odd.limit(0)).isEmpty()
 
 
+def test_passages_made_of_frequent_lines(spark):
+    """Earlier documents that have pieces of a passage don't hide the one that has it whole."""
+    rng = np.random.default_rng(10)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, want, i = [], [], 0
+    for k, length in enumerate((52, 64, 90, 200)):
+        p = text(length)
+        for at in range(0, length - 6, 10):  # pieces of 20 words, each in a document of its own
+            rows.append((i, text(20) + p[at : at + 20] + text(20)))
+            i += 1
+        rows += [(i, text(15) + p + text(15)), (i + 1, text(40 + k) + p + text(9))]
+        want.append((i + 1, i, 40 + k, 40 + k + length))
+        i += 2
+    got = substring.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.ref_id, r.start, r.end) for r in got) == want
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
