@@ -13,6 +13,8 @@ comes out for each that goes in, and other columns are not looked at.
 
 Training reads a bounded sample: for each language at most ``docs_per_lang``
 rows, those whose id hashes lowest, and of each at most ``dict_bytes`` in all.
+Texts of under ``LEAST_CHARS`` code points are read only for languages that have
+no longer ones.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from .common import id_and_text, table, texts
 
 DOCS_PER_LANG = 100
 DICT_BYTES = 48 * 1024
+LEAST_CHARS = 40
 CHUNK_BYTES = 8192
 LEVEL = 5
 MARGIN = 0.01
@@ -47,11 +50,15 @@ def training_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equally represented: each gets an equal share of bytes, texts in hash order.
     """
     r = df.select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
-    r = r.where("l is not null and t is not null and length(t) >= 40").select("l", F.xxhash64("i").alias("h"), F.substring("t", 1, 4 * dict_bytes // docs_per_lang).alias("t"))
-    w = Window.partitionBy("l").orderBy("h", "t")
+    r = r.where("l is not null and t is not null").select("l", (F.length("t") < LEAST_CHARS).alias("short"), F.xxhash64("i").alias("h"), F.substring("t", 1, 4 * dict_bytes // docs_per_lang).alias("t"))
+    w = Window.partitionBy("l").orderBy("short", "h", "t")
     got: dict[str, list[bytes]] = {}
+    long: set[str] = set()
     for row in r.withColumn("n", F.row_number().over(w)).where(F.col("n") <= docs_per_lang).orderBy("l", "n").collect():
-        got.setdefault(row.l, []).append(plain(row.t))
+        if not row.short:
+            long.add(row.l)
+        if (not row.short or row.l not in long) and (letters := plain(row.t)):
+            got.setdefault(row.l, []).append(letters)
     return {k: b" ".join(v)[:dict_bytes] for k, v in sorted(got.items())}
 
 

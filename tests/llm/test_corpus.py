@@ -52,6 +52,16 @@ def test_language_of_held_out_texts(spark, odd):
     assert langid.training_text(odd.limit(0)) == {}
 
 
+def test_language_of_short_texts_only(spark):
+    """Short texts train a language that has no others, and only such a one."""
+    rows = [(i, f"the quick brown fox number {'abcdefgh'[i]} jumps over the lazy dog", "en") for i in range(8)] + [(20, "tiny text", "en"), (21, "...", "xx"), (22, "", "xx")]
+    rows += [(30 + i, t, "fi") for i, t in enumerate(("hyvää huomenta kaikille", "missä juna-asema on", "kiitos paljon avusta"))]
+    model = langid.training_text(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model) == ["en", "fi"] and b"tiny" not in model["en"] and "missä".encode() in model["fi"]
+    got = langid.identify(spark.createDataFrame([(1, "hyvää huomenta missä juna asema on kiitos paljon")], "doc_id long, text string"), model)
+    assert got.first().lang_pred == "fi"
+
+
 def test_flow_prefers_first_passes():
     supply = {("a",): 100, ("a", "b"): 50, ("b",): 10}
     got = mixing.route(supply, {"a": 120, "b": 60})
