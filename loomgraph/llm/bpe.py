@@ -4,7 +4,9 @@ Each piece of text is encoded with a segment tree over the ranks of its adjacent
 pairs. A node holds the smallest (rank, position) below it, so the root (node 1)
 is the leftmost pair of lowest rank. A merge rewrites the two pairs beside it and
 retires one leaf: three point updates of logarithmic cost, until the root holds
-no rank. Words and pieces repeat, so bounded memos keep their ids.
+no rank. The words of a stretch of texts are told apart first; the trees of
+their short pieces are rows of one array and take their steps together, and long
+pieces have a tree of their own. Words repeat, so a bounded memo keeps theirs.
 
 Cases: a null text is an empty text; empty texts give no ids; a piece of any
 length is encoded whole; other columns of the input are not looked at; one row
@@ -19,6 +21,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,6 +29,9 @@ from pyspark.sql import DataFrame
 from .common import id_and_text, release, table, texts
 
 NONE = 1 << 62
+MEMO = 60_000
+#: Pieces of up to so many bytes are merged together, and so many words of texts are looked up at a time.
+TOGETHER, STRETCH = 64, 50_000
 
 
 def byte_symbols() -> list[str]:
@@ -70,47 +76,99 @@ class RankTree:
             node[i] = value
 
 
-class Memo:
-    """At most twice ``most`` entries in two generations: a full young one becomes the old one, and what is used again is young again."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def get(self, key: str):
-        got = self.young.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key: str, value) -> None:
-        if len(self.young) >= self.most:
-            self.young, self.old = {}, self.young
-        self.young[key] = value
+class RankTrees:
+    """A segment tree of minima for each of many short pieces, as rows of one array, so that a step merges one pair in all of them."""
+
+    def __init__(self, leaves: np.ndarray):
+        n, self.base = leaves.shape
+        self.node = node = np.full((n, 2 * self.base), NONE, np.int64)
+        node[:, self.base :] = leaves
+        at = self.base
+        while at > 1:
+            at >>= 1
+            node[:, at : 2 * at] = np.minimum(node[:, 2 * at : 4 * at : 2], node[:, 2 * at + 1 : 4 * at : 2])
+        self.flat = node.ravel()
+
+    def put(self, rows: np.ndarray, *leaves: tuple[np.ndarray, np.ndarray]) -> None:
+        """Point updates: in each of ``rows``, the leaf at each first array takes the value in the second."""
+        flat, start = self.flat, rows * (2 * self.base)
+        places = [at + self.base for at, _ in leaves]
+        for i, (_, value) in zip(places, leaves, strict=True):
+            flat[start + i] = value
+        for _ in range(self.base.bit_length() - 1):
+            places = [i >> 1 for i in places]
+            for i in places:
+                x = start + 2 * i
+                flat[start + i] = np.minimum(flat[x], flat[x + 1])
+
+
+class PairTable:
+    """Pairs to (rank, merged id) for many pairs at once: two hash tables, the second for what finds its place in the first taken, the rest by binary search."""
+
+    BITS = (19, 13)
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        pairs = np.array([(a << 32 | b, rank, x) for (a, b), (rank, x) in merges.items()], np.int64).reshape(-1, 3)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.tables = []
+        for bits in self.BITS:
+            keys, values = np.full(1 << bits, -1, np.int64), np.zeros((2, 1 << bits), np.int64)
+            _, first = np.unique(self.place(pairs[:, 0], bits), return_index=True)
+            at = self.place(pairs[first, 0], bits)
+            keys[at], values[:, at] = pairs[first, 0], pairs[first, 1:].T
+            pairs = np.delete(pairs, first, 0)
+            self.tables.append((bits, keys, *values))
+        self.rest = pairs
+
+    @staticmethod
+    def place(key: np.ndarray, bits: int) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * bits)) >> np.uint64(64 - bits)).view(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank or NONE, merged id) of each pair; negative ids have no pairs."""
+        key = np.where((a >= 0) & (b >= 0), a << 32 | b, -2)
+        rank, made = np.full(key.shape, NONE, np.int64), np.zeros(key.shape, np.int64)
+        for bits, keys, ranks, ids in self.tables:
+            at = self.place(key, bits)
+            hit = keys[at] == key
+            if hit.any():
+                rank[hit], made[hit] = ranks[at[hit]], ids[at[hit]]
+        if len(self.rest):
+            at = np.minimum(np.searchsorted(self.rest[:, 0], key), len(self.rest) - 1)
+            hit = self.rest[at, 0] == key
+            rank[hit], made[hit] = self.rest[at[hit], 1], self.rest[at[hit], 2]
+        return rank, made
 
 
 class Bpe:
     """A BPE model of a tokenizers JSON file with word ends, byte-level symbols and no decoder."""
 
-    def __init__(self, file: str, memo: int = 80_000):
-        """``file``: what the file holds; ``memo``: a bound on the pieces remembered (see Memo), and a quarter of it on words of several."""
+    def __init__(self, file: str, memo: int = MEMO):
+        """``file``: what the file holds; ``memo``: a bound on the words remembered between the texts of a task, in each of two generations."""
         spec = json.loads(file)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.table = PairTable(self.merges)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.number = {i: str(i) for i in self.token}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         symbols = byte_symbols()
         self.inner, self.last = [self.vocab[s] for s in symbols], [self.vocab[s + self.end] for s in symbols]
+        self.inner_of, self.last_of = np.array(self.inner, np.int64), np.array(self.last, np.int64)
         self.most = memo
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.parts = Memo(self.most // 4), Memo(self.most)
+        """Empty the memo of words: word -> (ids as text, tokens as text), None for a word without ids (``silent`` if there was one)."""
+        self.young: dict[str, tuple[str, str] | None] = {}
+        self.old: dict[str, tuple[str, str] | None] = {}
+        self.silent = False
 
     def merged(self, ids: list[int]) -> list[int]:
         """``ids`` after all merges, lowest rank first, leftmost first among equals."""
@@ -141,40 +199,145 @@ class Bpe:
                 put(h, f[0] << 32 | h if f else NONE)
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> list[int]:
-        got = self.parts.get(piece)
-        if got is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            ids = [self.inner[b] for b in raw]
-            ids[-1] = self.last[raw[-1]]
-            got = self.merged(ids)
-            if len(raw) <= 48:
-                self.parts.put(piece, got)
-        return got
-
-    def word(self, word: str) -> list[int]:
-        """Ids of text without spaces or line ends; no piece and no special token goes across those."""
-        out: list[int] = []
+    def merged_together(self, ids: np.ndarray) -> np.ndarray:
+        """``merged`` of each row at once; rows are filled up with -1, and symbols merged away become -1."""
+        n, width = ids.shape
+        base = 1 << max(0, width - 2).bit_length()
+        ids = np.concatenate([ids, np.full((n, 1), -1, np.int64)], 1).ravel()  # a place past the end of each row
+        wide = width + 1
+        of = ids.reshape(n, wide)
+        leaves, made = np.full((n, base), NONE, np.int64), np.zeros((n, wide), np.int64)
+        rank, made[:, : width - 1] = self.table.find(of[:, : width - 1], of[:, 1:width])
+        leaves[:, : width - 1] = np.where(rank < NONE, rank << 32 | np.arange(width - 1), NONE)
+        tree, made = RankTrees(leaves), made.ravel()
+        after = np.tile(np.arange(1, wide + 1), n)
+        before = np.tile(np.arange(-1, wide - 1), n)
+        rows = np.arange(n)
+        while True:
+            top = tree.node[rows, 1]
+            rows = rows[top != NONE]
+            if not len(rows):
+                return of
+            i = top[top != NONE] & 0xFFFFFFFF
+            start = rows * wide
+            j = after[start + i]
+            x = made[start + i]
+            ids[start + i], ids[start + j] = x, -1
+            k = np.minimum(after[start + j], width)  # ``width`` holds -1: no symbol
+            after[start + i] = k
+            before[start + k] = i
+            h = before[start + i]
+            right, y = self.table.find(x, ids[start + k])
+            made[start + i] = y
+            some = h >= 0
+            h = np.where(some, h, i)
+            left, y = self.table.find(ids[start + h], x)
+            made[(start + h)[some]] = y[some]
+            right = np.where(right < NONE, right << 32 | i, NONE)
+            left = np.where(some, np.where(left < NONE, left << 32 | h, NONE), right)
+            # a retired leaf is ``j``; where it is past the last pair it holds nothing anyway
+            tree.put(rows, (np.minimum(j, base - 1), np.where(j < base, NONE, tree.flat[rows * 2 * base + 2 * base - 1])), (i, right), (h, left))
+
+    def encoded(self, pieces: list[str]) -> list[tuple[str, str]]:
+        """(ids, tokens) of each piece, parted by spaces. Short ones are merged together, long ones by themselves."""
+        out: list[tuple[str, str]] = [("", "")] * len(pieces)
+        raw = np.frombuffer(b"\n".join([p.encode("utf-8", "surrogatepass") for p in pieces]) + b"\n", np.uint8)
+        ends = np.nonzero(raw == 10)[0]  # no piece holds a line end
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        length = ends - starts
+        number, token = self.number, self.token
+        for k in np.nonzero(length > TOGETHER)[0].tolist():
+            ids = self.inner_of[raw[starts[k] : ends[k]]]
+            ids[-1] = self.last_of[raw[ends[k] - 1]]
+            ids = self.merged(ids.tolist())
+            out[k] = " ".join([number[i] for i in ids]), " ".join([token[i] for i in ids])
+        low = 0
+        for width in (2**k + 1 for k in range(TOGETHER.bit_length())):
+            at = np.nonzero((length > low) & (length <= min(width, TOGETHER)))[0]
+            low = width
+            if not len(at):
+                continue
+            used = np.arange(width) < length[at, None]
+            places = np.where(used, starts[at, None] + np.arange(width), 0)
+            ids = np.where(used, self.inner_of[raw[places]], -1)
+            rows = np.arange(len(at))
+            ids[rows, length[at] - 1] = self.last_of[raw[ends[at] - 1]]
+            ids = self.merged_together(ids)
+            left = ids >= 0
+            flat, sizes = ids[left].tolist(), left.sum(1).tolist()
+            numbers, tokens = [number[i] for i in flat], [token[i] for i in flat]
+            x = 0
+            for k, n in zip(at.tolist(), sizes, strict=True):
+                out[k] = (numbers[x], tokens[x]) if n == 1 else (" ".join(numbers[x : x + n]), " ".join(tokens[x : x + n]))
+                x += n
+        return out
+
+    def parts(self, word: str) -> list[str | tuple[str, str]]:
+        """Pieces, and (id, token) of special tokens, of text without spaces or line ends; no piece and no special token goes across those."""
+        out: list[str | tuple[str, str]] = []
         for part in self.cut.split(word) if self.cut and "<|" in word else (word,):
             if part in self.special:
-                out.append(self.special[part])
+                out.append((self.number[self.special[part]], part))
             else:
-                found = self.pieces.findall(lowered(part if part.isascii() else unicodedata.normalize("NFC", part)))
-                if found == [word]:
-                    return self.piece(word)  # remembered there
-                for p in found:
-                    out += self.piece(p)
-        if len(word) <= 48:
-            self.words.put(word, out)
+                out += self.pieces.findall(lowered(part if part.isascii() else unicodedata.normalize("NFC", part)))
         return out
 
+    def learn(self, words: set[str]) -> None:
+        """Have the young generation remember all of ``words``."""
+        young, old = self.young, self.old
+        if len(young) >= self.most:
+            self.young, self.old = young, old = {}, young
+        pieces: dict[str, int] = {}
+        simple: list[tuple[str, int]] = []
+        others: list[tuple[str, list[int | tuple[str, str]]]] = []
+        for w in words.difference(young):
+            if w in old:
+                young[w] = old[w]
+            elif w.isascii() and w.isalpha():  # one piece
+                simple.append((w, pieces.setdefault(w.lower(), len(pieces))))
+            else:
+                others.append((w, [pieces.setdefault(p, len(pieces)) if isinstance(p, str) else p for p in self.parts(w)]))
+        if not pieces and not others:
+            return
+        got = self.encoded(list(pieces)) if pieces else []
+        for w, k in simple:
+            young[w] = got[k]
+        for w, of in others:
+            both = [got[k] if isinstance(k, int) else k for k in of]
+            young[w] = both[0] if len(both) == 1 else (" ".join([x[0] for x in both]), " ".join([x[1] for x in both])) if both else None
+            self.silent |= not both
+
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        words, parts = self.words, self.parts
-        for w in text.replace("\n", " ").split(" ") if text else ():
-            if w:
-                out += words.young.get(w) or parts.young.get(w) or words.get(w) or self.word(w)
-        return out
+        return [int(i) for _, part, _ in self.encode_all([text]) for i in part.split()]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """(index of a text, ids, decoded), both parted by spaces, for stretches of words of each text in order; none for a text without ids."""
+        stretches: list[tuple[int, list[str]]] = []
+        words: set[str] = set()
+        size = 0
+
+        def ready() -> Iterator[tuple[int, str, str]]:
+            self.learn(words)
+            of = self.young
+            for row, some in stretches:
+                got = [of[w] for w in some]
+                if self.silent:
+                    got = list(filter(None, got))
+                if got:
+                    ids, tokens = zip(*got, strict=True)
+                    yield row, " ".join(ids), " ".join(tokens)
+
+        for row, text in enumerate(texts):
+            split = list(filter(None, text.replace("\n", " ").split(" "))) if text else []
+            for at in range(0, len(split), STRETCH):
+                some = split[at : at + STRETCH]
+                stretches.append((row, some))
+                words.update(some)
+                size += len(some)
+                if size >= STRETCH:
+                    yield from ready()
+                    stretches, words, size = [], set(), 0
+        yield from ready()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by single spaces, as files without a decoder ask for; unknown ids are left out."""
@@ -196,14 +359,21 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             bpe = spec.bpe = Bpe(spec.value)
         fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
         schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * keep_ids)
-        number = {i: str(i) for i in bpe.token}
         try:
             for ids, values in texts(batches):
-                got = [bpe.encode(t) for t in values]
-                yield table(schema, ids, [len(x) for x in got], [hashlib.sha256(" ".join([number[i] for i in x]).encode()).hexdigest() for x in got], [hashlib.sha256(bpe.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in got], *[got] * keep_ids)
+                n, both = [0] * len(values), [(hashlib.sha256(), hashlib.sha256()) for _ in values]
+                lists: list[list[int]] = [[] for _ in values]
+                for row, part, decoded in bpe.encode_all(values):
+                    for digest, x in zip(both[row], (part, decoded), strict=True):
+                        if n[row]:
+                            digest.update(b" ")
+                        digest.update(x.encode("utf-8", "surrogatepass"))
+                    n[row] += part.count(" ") + 1
+                    if keep_ids:
+                        lists[row] += map(int, part.split(" "))
+                yield table(schema, ids, n, [a.hexdigest() for a, _ in both], [b.hexdigest() for _, b in both], *[lists] * keep_ids)
         finally:
             bpe.forget()
             release()
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, SCHEMA + ", ids array<int>" * keep_ids)
-

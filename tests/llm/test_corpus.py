@@ -40,6 +40,21 @@ def test_bpe_as_the_library(spark, odd):
     assert got == want
 
 
+def test_bpe_steps_and_stretches(monkeypatch):
+    """Trees in step give what one tree gives; stretches, generations of the memo and long texts change nothing."""
+    rng = np.random.default_rng(3)
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        model = bpe.Bpe(f.read(), memo=50)
+    words = ["".join(chr(rng.choice([97, 101, 104, 110, 115, 116, 233, 0x4E2D])) for _ in range(int(rng.integers(1, 90)))) for _ in range(300)]
+    for w, (ids, _) in zip(words, model.encoded(words), strict=True):
+        raw = w.encode()
+        assert ids == " ".join(map(str, model.merged([*[model.inner[b] for b in raw[:-1]], model.last[raw[-1]]])))
+    texts = [" ".join(words[:150]), None, "", "\t \t\n", "  x  ", "\n".join(words[150:])]
+    whole = [model.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "STRETCH", 7)
+    assert [model.encode(t) for t in texts] == whole and whole[1] == whole[2] == []
+
+
 def test_language_of_held_out_texts(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.training_text(docs.where(~langid.held_out()))
