@@ -1,4 +1,4 @@
-"""Secret scans (operator 7), in DataFrame functions only.
+"""Secret scans (operator 7), in SQL functions only.
 
 Strong patterns (assignments, access identifiers, long hex runs) are reported as
 they are. Weak parts are reported only where the parts of a credential co-occur:
@@ -6,10 +6,10 @@ within a scope of ``SCOPE`` code points,
   bare      a long token of mixed letters and digits, if an identifier is near;
   ident     a temporary or role identifier, if a secret part is near;
   endpoint  a URL host, if both an identifier and a secret part are near.
-The parts of a text are swept in order of their offsets, forwards and backwards,
-which joins each part's interval with the nearest ones of each role on both
-sides; a document's parts never leave its row, so nothing is shuffled and no
-pairs are made, whatever the number of documents or of parts in one.
+Running maxima of ends and minima of starts over the sorted parts join each
+part's interval with the nearest ones of each role on both sides; a document's
+parts never leave its row, so nothing is shuffled and no pairs are made,
+whatever the number of documents or of parts in one.
 
 Cases: a null text is an empty text and has no spans; weak parts inside a strong
 span are not reported again; a span may touch any other; one row comes out for
@@ -18,10 +18,10 @@ each that goes in; other columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, listed, matches, named
+from .spans import FAR, NONE, each, later_min, let, listed, matches, named, only, quoted, replaced, running_max, zipped
 
 SCOPE = 400
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,95 +31,72 @@ IDENT = r"(?:ASIA|AROA|AIDA)[A-Z0-9]{12,}"
 BARE = r"(?:(?<![A-Za-z0-9+/_-])|\G)[A-Za-z0-9+/_-]{32,}+"
 ENDPOINT = r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9.-]++(?::[0-9]++)?"
 KINDS = ("assign", "access", "hex", "bare", "ident", "endpoint")
-FAR = 1 << 30
 
 
-def _none() -> Column:
-    return F.array().cast(SPAN)
-
-
-def strong(text: Column) -> dict[str, Column]:
+def strong(text: str) -> dict[str, str]:
     """The base spans by kind. Only texts with a character that a kind needs are matched."""
-    assign = F.filter(matches(text, ASSIGN, 2), lambda x: F.length(x["v"]) >= 12)
-    access = F.filter(matches(text, ACCESS), lambda x: F.length(x["v"]) >= 18)
+    assign = only(matches(text, ASSIGN, 2), lambda x: f"length({x}.v) >= 12")
+    access = only(matches(text, ACCESS), lambda x: f"length({x}.v) >= 18")
     return {
-        "assign": F.when(F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), assign).otherwise(_none()),
-        "access": F.when(F.contains(text, F.lit("AKIA")), access).otherwise(_none()),
+        "assign": f"if(contains({text}, '=') or contains({text}, ':'), {assign}, {NONE})",
+        "access": f"if(contains({text}, 'AKIA'), {access}, {NONE})",
         "hex": matches(text, HEX),
     }
 
 
-def weak(text: Column, any_identifier: Column) -> dict[str, Column]:
+def weak(text: str, any_identifier: str) -> dict[str, str]:
     """Candidates that count only together."""
-    mixed = F.filter(matches(text, BARE), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))
-    some = lambda *words: F.lit(False) if not words else F.contains(text, F.lit(words[0])) | some(*words[1:])
-    temporary = some("ASIA", "AROA", "AIDA")
+    mixed = only(matches(text, BARE), lambda x: f"{x}.v rlike '[0-9]' and {x}.v rlike '[A-Za-z]'")
+    temporary = "(" + " or ".join(f"contains({text}, '{w}')" for w in ("ASIA", "AROA", "AIDA")) + ")"
     return {
-        "bare": F.when(any_identifier | temporary, mixed).otherwise(_none()),
-        "ident": F.when(temporary, matches(text, IDENT)).otherwise(_none()),
-        "endpoint": F.when((any_identifier | temporary) & F.contains(text, F.lit("://")), matches(text, ENDPOINT)).otherwise(_none()),
+        "bare": f"if({any_identifier} or {temporary}, {mixed}, {NONE})",
+        "ident": f"if({temporary}, {matches(text, IDENT)}, {NONE})",
+        "endpoint": f"if(({any_identifier} or {temporary}) and contains({text}, '://'), {matches(text, ENDPOINT)}, {NONE})",
     }
 
 
-def linked(parts: Column, scope: int = SCOPE) -> Column:
+def linked(parts: str, scope: int = SCOPE) -> str:
     """Of sorted parts (see spans.named), the strong ones, and the weak ones whose complements lie within ``scope``."""
-    kind_in = lambda x, *kinds: x["kind"].isin(*kinds)
-    roles = {"a": ("access", "ident"), "s": ("assign", "hex", "bare"), "b": ("assign", "access", "hex")}
-    item = "array<struct<s:int,rank:int,kind:string,e:int,v:string,a:int,k:int,b:int>>"
-    zero = F.struct(F.lit(-FAR).alias("a"), F.lit(-FAR).alias("k"), F.lit(-FAR).alias("b"), F.array().cast(item).alias("out"))
+    roles = {"a": ("access", "ident"), "k": ("assign", "hex", "bare"), "b": ("assign", "access", "hex")}
+    one_of = lambda x, role: f"{x}.kind in ({', '.join(map(quoted, roles[role]))})"
 
-    def forth(acc: Column, x: Column) -> Column:
-        seen = F.struct(x["s"].alias("s"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["e"].alias("e"), x["v"].alias("v"), acc["a"].alias("a"), acc["k"].alias("k"), acc["b"].alias("b"))
-        far = lambda name, role: F.when(kind_in(x, *roles[role]), F.greatest(acc[name], x["e"])).otherwise(acc[name]).alias(name)
-        return F.struct(far("a", "a"), far("k", "s"), far("b", "b"), F.concat(acc["out"], F.array(seen)).alias("out"))
+    def swept(all_: str) -> str:
+        ends = lambda role: running_max(each(all_, lambda x: f"if({one_of(x, role)}, {x}.e, {-FAR})"))
+        starts = lambda role: later_min(each(all_, lambda x: f"if({one_of(x, role)}, {x}.s, {FAR})"))
 
-    final = "array<struct<s:int,rank:int,kind:string,e:int,v:string>>"
-    back0 = F.struct(F.lit(FAR).alias("a"), F.lit(FAR).alias("k"), F.array().cast(final).alias("out"))
+        def stays(y: str) -> str:
+            near = lambda role: f"({y}.x.s - {y}.{role} <= {scope} or {y}.next_{role} - {y}.x.e <= {scope})"
+            together = f"case {y}.x.kind when 'bare' then {near('a')} when 'ident' then {near('k')} else {near('a')} and {near('k')} end"
+            return f"{one_of(f'{y}.x', 'b')} or ({y}.b < {y}.x.e and {together})"
 
-    def back(acc: Column, x: Column) -> Column:
-        near = lambda before, after: (x["s"] - before <= scope) | (after - x["e"] <= scope)
-        an_id, a_secret = near(x["a"], acc["a"]), near(x["k"], acc["k"])
-        together = F.when(x["kind"] == "bare", an_id).when(x["kind"] == "ident", a_secret).otherwise(an_id & a_secret)
-        keep = kind_in(x, *roles["b"]) | ((x["b"] < x["e"]) & together)
-        bare = F.struct(x["s"].alias("s"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["e"].alias("e"), x["v"].alias("v"))
-        near_start = lambda name, role: F.when(kind_in(x, *roles[role]), x["s"]).otherwise(acc[name]).alias(name)
-        return F.struct(near_start("a", "a"), near_start("k", "s"), F.when(keep, F.concat(acc["out"], F.array(bare))).otherwise(acc["out"]).alias("out"))
+        seen = zipped(x=all_, a=ends("a"), k=ends("k"), b=ends("b"), next_a=starts("a"), next_k=starts("k"))
+        return each(only(seen, stays), lambda y: f"{y}.x")
 
-    swept = F.aggregate(parts, zero, forth, lambda acc: acc["out"])
-    return F.reverse(F.aggregate(F.reverse(swept), back0, back, lambda acc: acc["out"]))
+    return let(parts, swept)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base, spans[, kept]) of each row: base and spans are arrays sorted by start, then kind."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.struct(*keep).alias("kept")] * bool(keep))
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] * bool(keep)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *kept)
     kept = ["kept"] * bool(keep)
-    rows = rows.select("doc_id", "text", *kept, *[c.alias(k) for k, c in strong(F.col("text")).items()])
-    rows = rows.select("doc_id", *kept, "assign", "access", "hex", *[c.alias(k) for k, c in weak(F.col("text"), F.size("access") > 0).items()])
-    base = F.array_sort(F.concat(*[named(F.col(k), k, i) for i, k in enumerate(KINDS[:3])]))
-    more = F.concat(*[named(F.col(k), k, i + 3) for i, k in enumerate(KINDS[3:])])
-    rows = rows.select("doc_id", *kept, *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], base.alias("base"), more.alias("more"))
-    spans = F.when(F.size("more") == 0, F.col("base")).otherwise(linked(F.array_sort(F.concat("base", "more")), scope))
-    return rows.select("doc_id", *kept, *[f"n_{k}" for k in KINDS[:3]], "base", spans.alias("spans"))
+    rows = rows.selectExpr("doc_id", "text", *kept, *[f"{c} as {k}" for k, c in strong("text").items()])
+    rows = rows.selectExpr("doc_id", *kept, "assign", "access", "hex", *[f"{c} as {k}" for k, c in weak("text", "size(access) > 0").items()])
+    base = f"array_sort(concat({', '.join(named(k, k, i) for i, k in enumerate(KINDS[:3]))})) as base"
+    more = f"concat({', '.join(named(k, k, i + 3) for i, k in enumerate(KINDS[3:]))}) as more"
+    rows = rows.selectExpr("doc_id", *kept, *[f"cast(size({k}) as long) as n_{k}" for k in KINDS[:3]], base, more)
+    spans = f"if(size(more) = 0, base, {linked('array_sort(concat(base, more))', scope)}) as spans"
+    return rows.selectExpr("doc_id", *kept, *[f"n_{k}" for k in KINDS[:3]], "base", spans)
 
 
 def report(df: DataFrame, **columns) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) with digests and text in place of arrays."""
-    return scan(df, **columns).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return scan(df, **columns).selectExpr("doc_id", "n_assign", "n_access", "n_hex", f"sha2({listed('base')}, 256) as base_sha256", f"{listed('spans')} as spans")
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """``df`` with each stretch of its text that spans cover replaced by ``[kind]`` (the kind that begins first). A null text stays null."""
     names = tuple(df.columns)
-    got = scan(df, id_col, text_col, scope, keep=names)
-    text = F.col(f"kept.{text_col}")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        plain = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), x["s"] - acc["at"]))
-        covered = x["s"] < acc["at"]
-        out = F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], F.array(plain, F.concat(F.lit("["), x["kind"], F.lit("]")))))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate(F.col("spans"), zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.size("spans") > 0, clean).otherwise(text)
-    return got.select(*[clean.alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in names])
+    got = scan(df, id_col, text_col, scope, keep=names).select("kept", "spans", F.col("kept")[text_col].alias("text"))
+    got = got.selectExpr("kept", f"{replaced('text', 'spans')} as text")
+    return got.select(*[F.col("text").alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in names])
