@@ -9,6 +9,9 @@ A pair counts in the first tree that brings it together: every row carries its
 leaves in all trees, so pairs need not be written down to be told apart, and a
 leaf gives each vector its number of new links, and edges that span the links.
 
+The number of trees is what spread-out data need (``enough``), or more where
+pairs of a sample meet less often, as those of a large group of loose copies do.
+
 A leaf with more than ``BLOCK`` rows (near copies of one vector) is cut into
 blocks, and each pair of blocks is a task of its own.
 
@@ -35,6 +38,7 @@ LEAF = 256
 SPILL = 0.02
 RECALL = 0.999
 SAMPLE = 8192
+TRIED, MOST_TREES = 2048, 40
 BLOCK = 1024
 SEED = 17
 
@@ -88,9 +92,20 @@ def enough(levels: int, kept: float = 0.95, recall: float = RECALL) -> int:
 
 def _unit(vectors) -> np.ndarray:
     v = np.asarray(vectors, np.float64)
+    v = v / np.abs(v).max(1, keepdims=True)  # so that no square is too large or small
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def meeting(forest: Forest, v: np.ndarray, least: float, pairs: int = 4000) -> float | None:
+    """The share of pairs of ``v`` at cosine ``least`` that a tree brings together; None if there are fewer than 50."""
+    i, j = np.nonzero(np.triu(v @ v.T >= least, 1))
+    if len(i) < 50:
+        return None
+    at = np.linspace(0, len(i) - 1, min(pairs, len(i))).astype(int)
+    trees = [list(map(set, lists)) for lists in forest.leaves(v)]
+    return float(np.mean([[not t[a].isdisjoint(t[b]) for a, b in zip(i[at].tolist(), j[at].tolist(), strict=True)] for t in trees]))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, trees: int | None = None, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector."""
     spark = df.sparkSession
@@ -125,11 +140,18 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 def _links(classes: DataFrame, dim: int, count: int, least: float, trees: int | None, leaf: int, spill: float) -> DataFrame:
     """(rep, links, other): new links of a class in a leaf, or an edge to another class."""
-    spark, kind = classes.sparkSession, dict(classes.dtypes)["v"][6:-1]
+    kind = dict(classes.dtypes)["v"][6:-1]
     levels = max(0, math.ceil(math.log2(max(1, count / leaf))))
     sampled = classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect() if levels else []
-    forest = Forest(_unit([r.v for r in sampled]) if sampled else np.zeros((0, dim)), dim, levels, trees or (enough(levels) if levels else 1), spill)
-    sent = spark.sparkContext.broadcast(forest)  # trees x levels planes, and cuts of at most the sample's size
+    sample = _unit([r.v for r in sampled]) if sampled else np.zeros((0, dim))
+    forest = Forest(sample, dim, levels, trees or (enough(levels) if levels else 1), spill)
+    if levels and not trees:
+        # near pairs of the sample tell whether a large tight group needs more trees than spread-out data
+        met = meeting(forest, sample[:TRIED], least)
+        needed = MOST_TREES if met is not None and met < 0.05 else math.ceil(math.log(1 - RECALL) / math.log(1 - min(met, 0.99))) if met is not None else 0
+        if needed > len(forest.planes):
+            forest = Forest(sample, dim, levels, min(needed, MOST_TREES), spill)
+    # trees x levels planes, and cuts of at most the sample's size, go with the function: workers need no copy of this package to read them
     placed = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.float32() if kind == "float" else pa.float64())), ("leaves", pa.list_(pa.list_(pa.int64())))])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +160,7 @@ def _links(classes: DataFrame, dim: int, count: int, least: float, trees: int |
                 b = batch.slice(at, 2048)
                 if b.num_rows:
                     v = _unit(b.column(2).flatten().to_numpy().reshape(b.num_rows, dim))
-                    by_tree = sent.value.leaves(v)
+                    by_tree = forest.leaves(v)
                     yield table(placed, b.column(0), b.column(1), b.column(2), [[t[i] for t in by_tree] for i in range(b.num_rows)])
 
     rows = materialise(classes.select("rep", "copies", "v").mapInArrow(place, f"rep long, copies long, v array<{kind}>, leaves array<array<long>>"))
