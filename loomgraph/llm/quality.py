@@ -143,13 +143,14 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     one = labels.select(F.col(label_id).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y is not null")
     some = one.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = df.withColumn("_id", F.col(id_col).cast("long")).join(F.broadcast(some.select(F.col("doc_id").alias("_id"))), "_id", "left_semi")
-    got = _features(chosen, id_col, text_col).join(F.broadcast(some), "doc_id").orderBy("doc_id", "features").limit(2 * rows).collect()
+    one = _features(chosen, id_col, text_col).groupBy("doc_id").agg(F.min("features").alias("features"))  # rows that share an id count once
+    got = one.join(F.broadcast(some), "doc_id").orderBy("doc_id").collect()
     return fit(np.array([r.features for r in got]).reshape(len(got), len(FEATURES)), np.array([r.y for r in got]), list(FEATURES.values()))
 
 
 def judge(df: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) of each row."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
+    # the model, a few thousand numbers, goes with the function: workers need no copy of this package to read it
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in COUNTS], ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,7 @@ def judge(df: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "
         for ids, values in texts(batches):
             both = [statistics(t, hashes) for t in values]
             counts, x = np.array([b[0] for b in both], np.int64), np.array([b[1] for b in both])
-            score = 1 / (1 + np.exp(-sent.value.score(x)))
+            score = 1 / (1 + np.exp(-model.score(x)))
             failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
             yield table(schema, ids, *map(pa.array, counts.T.copy()), failed, ~failed & (score >= threshold), score)
 
