@@ -9,7 +9,9 @@ documents in an order drawn by a seeded hash, the last one in part.
 
 The order is never sorted as a whole: documents fall into 4,096 hash buckets of
 their pattern, bucket sums are accumulated, and only a bucket's rows are ordered
-together, so a pattern with a third of all rows is spread over all tasks.
+together, so a pattern with a third of all rows is spread over all tasks. The
+hash is of id and text, so rows without ids are spread as well; equal rows share
+a bucket.
 
 Cases: a null text has size 0; a null source is a source of its own, last in
 order; ties in the order go by id and size; repeated rows count each by itself
@@ -27,6 +29,8 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 20_240_601
 EPOCHS = 3
@@ -147,15 +151,17 @@ def route(patterns: dict[tuple, int], quotas: dict, epochs: int = EPOCHS) -> dic
 
 
 def mix(df: DataFrame, memberships: Column, weights=cycled_weights, id_col: str = "doc_id", text_col: str = "text", share: float = 1.0, seed: int = SEED, epochs: int = EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, sources, size, source_size, target, taken[, kept columns]) of each row.
+    """(doc_id, sources, size, source_size, target, taken[, kept]) of each row.
 
     ``memberships``: an array of the row's sources. source_size and target are
     those of the first source in it. ``weights``: from the sources to their
-    weights. ``keep``: names of columns of ``df`` to carry along, under those names.
+    weights. ``keep``: names of columns of ``df`` to carry along, in a struct.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), memberships.alias("_sources"), word_count(F.col(text_col)).alias("_size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_u"), *[F.struct(*keep).alias("_kept")] * bool(keep))
-    totals = {tuple(r["_sources"]): int(r["s"]) for r in df.select(memberships.alias("_sources"), word_count(F.col(text_col)).alias("_size")).groupBy("_sources").agg(F.sum("_size").alias("s")).collect()}
+    facts_of = (F.col(id_col).cast("long").alias("_id"), memberships.alias("_sources"), word_count(F.col(text_col)).alias("_size"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("_u"))
+    narrow = materialise(df.select(*facts_of))  # texts are counted once
+    rows = df.select(*facts_of, F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept")) if keep else narrow
+    totals = {tuple(r["_sources"]): int(r["s"]) for r in narrow.groupBy("_sources").agg(F.sum("_size").alias("s")).collect()}
     sizes: dict = {}
     for p, n in totals.items():
         for s in p:
@@ -167,7 +173,7 @@ def mix(df: DataFrame, memberships: Column, weights=cycled_weights, id_col: str
     facts = spark.createDataFrame(facts, kind)  # one row a pattern
     key = lambda: F.concat_ws("\x01", F.transform("_sources", lambda s: F.coalesce(F.concat(F.lit("+"), s), F.lit("-")))).alias("_p")  # noqa: E731  nulls compare equal here
     bucket = F.shiftrightunsigned("_u", 52).cast("int").alias("_b")
-    sums = df.select(memberships.alias("_sources"), word_count(F.col(text_col)).alias("_size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_u")).select(key(), bucket, "_size").groupBy("_p", "_b").agg(F.sum("_size").alias("_sum"))
+    sums = narrow.select(key(), bucket, "_size").groupBy("_p", "_b").agg(F.sum("_size").alias("_sum"))
     before = F.sum("_sum").over(Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("_p", "_b", F.coalesce(before, F.lit(0)).alias("_before")).join(facts.select(key(), "_source_size", "_target", "_passes", "_rest"), "_p")
     got = rows.select(key(), bucket, "*").join(sums, ["_p", "_b"])
@@ -175,4 +181,4 @@ def mix(df: DataFrame, memberships: Column, weights=cycled_weights, id_col: str
     got = got.withColumn("_end", F.col("_before") + F.sum("_size").over(w))
     rest = F.greatest(F.lit(0), F.least("_size", F.col("_rest") - (F.col("_end") - F.col("_size"))))
     out = [F.col("_id").alias("doc_id"), F.col("_sources").alias("sources"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_passes") * F.col("_size") + rest).cast("long").alias("taken")]
-    return got.select(*out, *["_kept.*"] * bool(keep)) if not keep else got.select(out[-1].alias("_taken"), F.col("_size").alias("_words"), "_kept.*")
+    return got.select(*out, *[F.col("_kept").alias("kept")] * bool(keep))
