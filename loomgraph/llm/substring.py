@@ -13,8 +13,9 @@ altered passages rely on the run of 28 and on single seeds, and may still be
 missed if earlier documents have all their pieces of that length. A document's matches with another document are
 chained in order of both positions by dynamic programming over a Fenwick tree
 of prefix maxima, with a cost that grows with the gap. Chains are aligned on the
-words themselves (between matches and outwards from the ends) and reported as
-fuzzy passages if they are long and alike enough.
+words themselves (between matches, however far apart, and outwards from the ends
+by up to ``MARGIN`` words) and reported as fuzzy passages if they are long and
+alike enough.
 
 The first document of a passage keeps it: it appears as ``ref_id`` only.
 
@@ -157,13 +158,15 @@ def extended(a: list[int], b: list[int], i: int, j: int, step: int) -> tuple[int
 
 
 def common(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one number."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = row = (1 << len(a)) - 1
+    for y in b:
+        same = row & places.get(y, 0)
+        row = (row + same | row - same) & whole
+    return len(a) - row.bit_count()
 
 
 def parted(a: list[int], b: list[int], chain: list[tuple[int, int]], seed: int = SEED_WORDS, most: int = 8, like: float = 0.6) -> list[list[tuple[int, int]]]:
@@ -173,7 +176,7 @@ def parted(a: list[int], b: list[int], chain: list[tuple[int, int]], seed: int =
         p, q = a[x0 + seed : x], b[y0 + seed : y]
         gap = max(len(p), len(q))
         if gap > most:
-            same = sum(map(int.__eq__, p, q)) if len(p) == len(q) else common(p, q) if len(p) * len(q) <= 40_000 else 0
+            same = sum(map(int.__eq__, p, q)) if len(p) == len(q) else common(p, q)
             if same < like * gap:
                 out.append([])
         out[-1].append((x, y))
@@ -189,7 +192,7 @@ def aligned(a: list[int], b: list[int], chain: list[tuple[int, int]], seed: int
         # up to the next match: what lies between, then what the match adds
         if x > i and y > j:
             p, q = a[i:x], b[j:y]
-            equal += sum(map(int.__eq__, p, q)) if len(p) == len(q) else common(p, q) if len(p) * len(q) <= 40_000 else 0
+            equal += sum(map(int.__eq__, p, q)) if len(p) == len(q) else common(p, q)
         elif x < i or y < j:
             over = max(i - x, j - y)
             x, y = x + over, y + over
