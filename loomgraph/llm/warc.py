@@ -12,6 +12,9 @@ Reading: files are parsed record by record by Content-Length; segments are
 grouped by origin identifier, ordered by segment number, checked against the
 total length, and the HTTP body is unframed and checked against its digest.
 
+Record ids number the rows of the table as it is read. Of foreign archives, ids
+that aren't of that form give no page id.
+
 Cases: a null html is an empty payload; a null page id stays null (its records
 can revisit, and are responses only where no page of the payload has an id);
 rows that repeat a response's page id and payload are responses too; pages of
@@ -20,6 +23,7 @@ any length are cut into segments; an empty table gives an empty archive.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import uuid
@@ -35,6 +39,8 @@ REVISIT_BYTES = 1000
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
 RECORDS_A_FILE = 2000
+#: Pages have no date of their own, and reruns agree.
+DATE = "1970-01-01T00:00:00Z"
 BROADCAST_ROWS = 100_000
 END = "\r\n\r\n"
 
@@ -64,19 +70,24 @@ def header(kind: str, record: str, length: int, *more: tuple[str, object]) -> by
     return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8", "surrogatepass")
 
 
-def records(page, row: int, url: str | None, payload: bytes, refers, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
+def record_id(page: int | None, row: int) -> str:
+    return f"urn:page:{'' if page is None else page}:{row}"
+
+
+def records(page, row: int, url: str | None, payload: bytes, refers, refers_row, segment: int = SEGMENT_BYTES, date: str = DATE) -> Iterator[bytes]:
     """The records of a page, without their ends. ``row`` tells rows of one page apart."""
-    name = f"urn:page:{'' if page is None else page}:{row}"
+    name = record_id(page, row)
+    dated = ("WARC-Date", date)
     digest = ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}")
     where = ("WARC-Target-URI", "".join((url or "about:blank").split()) or "about:blank")
     if refers is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        yield header("revisit", name, len(block), where, digest, ("WARC-Refers-To", f"<urn:page:{refers}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Type", "application/http; msgtype=response")) + block
+        yield header("revisit", name, len(block), dated, where, digest, ("WARC-Refers-To", f"<{record_id(refers, refers_row)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Type", "application/http; msgtype=response")) + block
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     typed = ("Content-Type", "application/http; msgtype=response")
     if len(block) <= segment:
-        yield header("response", name, len(block), where, digest, typed) + block
+        yield header("response", name, len(block), dated, where, digest, typed) + block
         return
     last = (len(block) - 1) // segment
     for k in range(last + 1):
@@ -84,20 +95,20 @@ def records(page, row: int, url: str | None, payload: bytes, refers, segment: in
         number = ("WARC-Segment-Number", k + 1)
         if k:
             total = [("WARC-Segment-Total-Length", len(block))] * (k == last)
-            yield header("continuation", f"{name}:{k + 1}", len(part), where, ("WARC-Segment-Origin-ID", f"<{name}>"), number, *total) + part
+            yield header("continuation", f"{name}:{k + 1}", len(part), dated, where, ("WARC-Segment-Origin-ID", f"<{name}>"), number, *total) + part
         else:
-            yield header("response", name, len(part), where, digest, number, typed) + part
+            yield header("response", name, len(part), dated, where, digest, number, typed) + part
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write ``pages`` as gzip WARC files under ``path``."""
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"))
     p = p.withColumn("digest", F.sha1("payload"))
-    groups = p.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("ref"), F.count("*").alias("n")).where("n > 1 and ref is not null")
+    groups = p.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.max(F.struct("page_id", (-F.col("row")).alias("row"))).alias("r"), F.count("*").alias("n")).select("digest", "n", F.col("r.page_id").alias("ref"), (-F.col("r.row")).alias("ref_row")).where("n > 1 and ref is not null")
     # the reversed digest as key: both sides are dealt anew, and AQE may split a payload of very many pages
-    refs = bounded_broadcast(groups.select(F.reverse("digest").alias("k"), "ref"), BROADCAST_ROWS)
+    refs = bounded_broadcast(groups.select(F.reverse("digest").alias("k"), "ref", "ref_row"), BROADCAST_ROWS)
     p = p.withColumn("k", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.reverse("digest"))).join(refs, "k", "left")
-    p = p.select("page_id", F.monotonically_increasing_id().alias("row"), "url", "payload", F.when(F.coalesce(F.col("page_id") != F.col("ref"), F.col("ref").isNotNull()), F.col("ref")).alias("refers"))
+    p = p.select("page_id", "row", "url", "payload", F.when(F.coalesce(F.col("page_id") != F.col("ref"), F.col("ref").isNotNull()), F.col("ref")).alias("refers"), "ref_row")
     schema = pa.schema([("value", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +156,17 @@ def read(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFram
     """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of each page of the archives under ``path``."""
     schema = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("refers", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
 
+    def hexed(digest: str | None) -> str | None:
+        """A SHA-1 digest in hex; archives also write it in base 32."""
+        digest = (digest or "").split(":", 1)[-1]
+        return (base64.b32decode(digest).hex() if len(digest) == 32 else digest.lower()) or None
+
     def bare(value: str | None) -> str | None:
         return value.strip("<>") if value else None
 
     def checked(block: bytes, digest: str, kind: str) -> tuple[int, bytes]:
         size, body = payload_of(block)
-        if kind == "response" and hashlib.sha1(body).hexdigest() != digest:
+        if kind == "response" and digest and hashlib.sha1(body).hexdigest() != digest:
             raise ValueError("payload digest differs")
         return size, body
 
@@ -161,7 +177,7 @@ def read(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFram
                 rows = []
                 for head, block in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     kind, own = head["warc-type"], bare(head["warc-record-id"])
-                    digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    digest = hexed(head.get("warc-payload-digest"))
                     number = int(head.get("warc-segment-number", 0))
                     total = head.get("warc-segment-total-length")
                     size = None
@@ -191,14 +207,14 @@ def read(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFram
                     rows.append((r["origin"], size, r["payload_digest"], r["record_type"], r["refers"], block if keep_payload else None))
                 yield table(final, *map(list, zip(*rows, strict=True)))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{part-*,*.warc,*.warc.gz}").load(path).select("content")
     r = files.mapInArrow(run, RECORD)
     first = lambda c: F.max(F.when(F.col("segment") <= 1, F.col(c))).alias(c)
     parts = F.array_sort(F.collect_list(F.when(F.col("segment") > 0, F.struct("segment", "block")))).alias("parts")
     whole = F.max(F.when(F.col("segment") == 0, F.col("block"))).alias("block")
     r = r.groupBy("origin").agg(first("record_type"), first("payload_digest"), first("refers"), first("payload_bytes"), F.max("total").alias("total"), whole, parts)
     r = r.mapInArrow(assembled, "origin string, payload_bytes long, payload_digest string, record_type string, refers string, payload binary")
-    page = lambda c: F.nullif(F.split_part(F.col(c), F.lit(":"), F.lit(3)), F.lit("")).cast("long")
+    page = lambda c: F.nullif(F.split_part(F.col(c), F.lit(":"), F.lit(3)), F.lit("")).try_cast("long")
     return r.select(page("origin").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers").alias("refers_to"), *["payload"] * keep_payload)
 
 
