@@ -18,9 +18,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder all machines share: spark.checkpoint.dir, or where that is unset and there is one machine (tests) one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return path or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="loomgraph-"))
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return path or _OWN.get("dir") or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="loomgraph-"))
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ everything is ``und``; whole texts are read, whatever their length; one row
 comes out for each that goes in, and other columns are not looked at.
 
 Training reads a bounded sample: for each language at most ``docs_per_lang``
-rows, those whose id hashes lowest, and of each at most ``dict_bytes`` in all.
+rows, those whose id hashes lowest, of each the first ``4 * dict_bytes //
+docs_per_lang`` code points, and of all ``dict_bytes`` of letters. What is
+predicted is read whole.
 Texts of under ``LEAST_CHARS`` code points are read only for languages that have
 no longer ones.
 """
