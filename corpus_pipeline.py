@@ -18,9 +18,14 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8); of rows that share an id, the first by content. Rows without an id stay."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = left.join(ids, "doc_id", "left_anti").select(docs.columns)
+    more = left.join(ids, "doc_id", "left_semi").select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = more.groupBy("doc_id").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return once.unionAll(first.select("row.*"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +37,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, whole: a part taken counts as once."""
     got = mixing.mix(docs, F.array("source"), keep=tuple(docs.columns))
-    times = F.when(F.col("_words") > 0, F.ceil(F.col("_taken") / F.col("_words"))).otherwise(0).cast("int")
-    got = got.withColumn("_times", times).where("_times > 0")
-    return got.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    got = got.select("kept", times.alias("times")).where("times > 0")
+    return got.select("kept", F.explode(F.sequence(F.lit(1), "times"))).select("kept.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
