@@ -61,17 +61,35 @@ def minima(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(at)
 
 
-def runs(w: np.ndarray, at: np.ndarray, before: int, n: int) -> pa.Array:
-    """32-bit hash of the ``n`` words from ``before`` words ahead of each seed; null where the
-    text has none, and where the same run began fewer than ``n`` words ago (a short text over and over)."""
-    base = np.uint64(0x9E3779B97F4A7C15)
-    back = np.uint64(pow(int(base), -1, 1 << 64))
-    up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(w), b)])) for b in (base, back))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[:-1])])
+BASE = 0x9E3779B97F4A7C15
+
+
+def powers(n: int, made: dict[int, tuple[np.ndarray, np.ndarray]] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  kept between calls
+    """The first ``n`` powers of BASE and of its inverse, modulo 2**64; made anew only for longer texts than before."""
+    if 0 not in made or len(made[0][0]) < n:
+        size = 1 << max(12, n.bit_length())
+        made[0] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 1 << 64)))
+    up, down = made[0]
+    return up[:n], down[:n]
+
+
+def prefixes(w: np.ndarray) -> np.ndarray:
+    """Sums of the first words, each times its power of BASE."""
+    total = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w * powers(len(w))[0], out=total[1:])
+    return total
+
+
+def runs(total: np.ndarray, at: np.ndarray, before: int, n: int) -> pa.Array:
+    """32-bit hash of the ``n`` words from ``before`` words ahead of each seed; null where the text has none, and where the same
+    run began fewer than ``n`` words ago (a short text over and over). ``total``: see ``prefixes``."""
+    words = len(total) - 1
     start = at - before
-    there = (start >= 0) & (start + n <= len(w))
+    there = (start >= 0) & (start + n <= words)
+    if not there.any():
+        return pa.nulls(len(at), pa.int32())
     i = np.where(there, start, 0)
-    h = mixed((total[np.minimum(i + n, len(w))] - total[i]) * down[i])
+    h = mixed((total[np.minimum(i + n, words)] - total[i]) * powers(words + 1)[1][i])
     order = np.lexsort((i, h))
     again = np.zeros(len(at), bool)
     again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (i[order[1:]] - i[order[:-1]] < n)
@@ -225,7 +243,8 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
                 at = minima(h)
                 once = np.zeros(len(at), bool)
                 once[np.unique(h[at], return_index=True)[1]] = True
-                for c, x in zip(cols, (h[at], np.full(len(at), doc), at, once, *[runs(w, at, *r) for r in RUNS]), strict=True):
+                total = prefixes(w)
+                for c, x in zip(cols, (h[at], np.full(len(at), doc), at, once, *[runs(total, at, *r) for r in RUNS]), strict=True):
                     c.append(x)
             if cols[0]:
                 yield table(flat, *[np.concatenate(c) for c in cols[:4]], *[pa.concat_arrays(c) for c in cols[4:]])
