@@ -36,7 +36,7 @@ def mapped_type(t: Column) -> Column:
 def tools(raw: DataFrame) -> DataFrame:
     """(ingest_seq, domain, name, description, params, returns, status) of each record."""
     f = raw.select("ingest_seq", "domain", _fields(F.col("raw")).alias("f"))
-    params = F.coalesce(*[F.col("f")[k] for k in PARAMETER_KEYS])
+    params = F.coalesce(*[F.when(F.startswith(F.col("f")[k], F.lit("{")), F.col("f")[k]) for k in PARAMETER_KEYS])  # the first spelling that is an object
     returns = F.coalesce(*[F.nullif(F.col("f")[k], F.lit("")) for k in RETURN_KEYS])
     t = f.select("ingest_seq", "domain", clean_name(F.col("f")).alias("name"), clean_description(F.col("f")).alias("description"), params.alias("params"), returns.alias("returns"))
     status = F.when(F.coalesce(F.length("name"), F.lit(0)).between(*NAME_LENGTH), F.when(F.col("description").isNull(), "invalid_description").otherwise("fixed")).otherwise("invalid_name")
@@ -49,9 +49,10 @@ def parameters(tool_rows: DataFrame) -> DataFrame:
     inner = F.coalesce(F.from_json(outer["properties"], "map<string,string>"), outer)
     flat = tool_rows.select("ingest_seq", F.posexplode(F.map_entries(inner)).alias("pos", "p"))
     flat = flat.select("ingest_seq", "pos", F.col("p.key").alias("pname"), F.col("p.value").alias("v"), F.when(F.startswith("p.value", F.lit("{")), F.from_json("p.value", "map<string,string>")).alias("m"))
-    kind = F.coalesce(*[F.col("m")[k] for k in ("type", "datatype", "dtype")], F.when(F.col("m").isNull(), F.col("v")))
-    about = F.coalesce(*[F.col("m")[k] for k in ("description", "desc", "info")], F.concat(F.lit("Parameter "), "pname"))
-    return flat.select("ingest_seq", "pos", "pname", mapped_type(kind).alias("type"), about.alias("description"), F.col("m")["default"].alias("default_json"))
+    bare = F.col("m").isNull()  # a bare value is a type as it stands
+    kind = F.when(bare, F.col("v")).otherwise(mapped_type(F.trim(F.coalesce(*[F.col("m")[k] for k in ("type", "datatype", "dtype")]))))
+    about = F.when(bare, F.concat(F.lit("Parameter "), "pname")).otherwise(F.trim(F.coalesce(*[F.col("m")[k] for k in ("description", "desc", "info")])))
+    return flat.select("ingest_seq", "pos", "pname", kind.alias("type"), about.alias("description"), F.col("m")["default"].alias("default_json"))
 
 
 def returned(tool_rows: DataFrame) -> DataFrame:

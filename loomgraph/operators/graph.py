@@ -24,9 +24,14 @@ def density(nodes: DataFrame, edges: DataFrame, directed: bool = True) -> DataFr
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, degree, triangles, coefficient) of an undirected graph with src < dst."""
     d = degrees(nodes, edges).select("id", "degree")
-    e = edges.select("src", "dst")
-    wedge = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(e.select(F.col("src").alias("b"), F.col("dst").alias("c")), "b")
-    t = wedge.join(e.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"])
+    # each edge goes from its end of lower degree, so that no node has more than about sqrt(2m) of them and hubs make no wedges
+    of = lambda end: d.select(F.col("id").alias(end), F.struct("degree", "id").alias(f"r_{end}"))
+    up = F.col("r_src") < F.col("r_dst")
+    e = edges.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst")
+    e = e.select(F.when(up, F.col("r_src")).otherwise(F.col("r_dst")).alias("lo"), F.when(up, F.col("r_dst")).otherwise(F.col("r_src")).alias("hi"))
+    x, y = e.select(F.col("lo.id").alias("a"), F.col("hi").alias("rb")), e.select(F.col("lo.id").alias("a"), F.col("hi").alias("rc"))
+    wedge = x.join(y, "a").where("rb < rc").select("a", F.col("rb.id").alias("b"), F.col("rc.id").alias("c"))
+    t = wedge.join(e.select(F.col("lo.id").alias("b"), F.col("hi.id").alias("c")), ["b", "c"])
     t = t.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
     k = F.col("degree")
     t = d.join(t, "id", "left").select("id", "degree", F.coalesce("t", F.lit(0)).alias("triangles"))
@@ -71,6 +76,8 @@ def topo_levels(nodes: DataFrame, edges: DataFrame, table, rounds: int = 10_000)
         todo = table(todo.join(ready, "id", "left_anti"))
         left = table(left.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
         level += 1
+    else:
+        raise RuntimeError(f"more than {rounds} levels")
     return out if out is not None else nodes.select("id", F.lit(0).cast("long").alias("level")).limit(0)
 
 
@@ -104,11 +111,16 @@ def star_sample(nodes: DataFrame, edges: DataFrame, least: int, most: int, seed:
     return hub.select(F.col("src").alias("id"), F.lit(True).alias("hub")).unionAll(drawn.select("dst", F.lit(False)))
 
 
-def pruned(edges: DataFrame, pairs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) left when edges with no pair of ``sim`` at or above ``least`` go, and then nodes without edges."""
+def pruned(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, least: float, smallest: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that stay. An edge needs a pair with ``sim`` of at least ``least``; nodes left alone go, unless the graph
+    is one node; if fewer than ``smallest`` nodes are left, none stay."""
     good = pairs.where(F.col("sim") >= least).select("src", "dst").distinct()
     e = edges.join(good, ["src", "dst"], "left_semi")
-    return e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct(), e
+    linked = e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct()
+    left = nodes.select("id") if nodes.limit(2).count() == 1 else nodes.select("id").join(linked, "id", "left_semi")
+    if left.limit(smallest).count() < smallest:
+        return left.limit(0), e.limit(0)
+    return left, e
 
 
 def _spread(labels: DataFrame, edges: DataFrame, table, rounds: int) -> DataFrame:
@@ -148,6 +160,8 @@ def strong_components(nodes: DataFrame, edges: DataFrame, table, rounds: int = 1
         done = alone if done is None else done.unionAll(alone)
         left = table(left.join(alone, "id", "left_anti"))
         e = table(e.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return done if done is not None else nodes.select("id", F.col("id").alias("component"))
 
 

@@ -13,10 +13,23 @@ def validation_report(calls: DataFrame) -> DataFrame:
 
 
 def batch_summary(calls: DataFrame) -> DataFrame:
-    """One row: total, successful, failed episodes and the list of those that failed. An episode succeeds if all its calls do."""
+    """One row: total, successful and failed episodes. An episode succeeds if all its calls do."""
     e = calls.groupBy("episode").agg(F.bool_and("ok").alias("ok"))
-    failed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("episode")))), lambda x: x.cast("string")), ",")
-    return e.agg(F.count("*").alias("total"), F.count_if("ok").alias("successful"), F.count_if(~F.col("ok")).alias("failed"), failed.alias("failed_list"))
+    return e.agg(F.count("*").alias("total"), F.count_if("ok").alias("successful"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+def failed_episodes(calls: DataFrame) -> DataFrame:
+    """(episode, n_failed) of episodes in which a call failed: a row each, as there may be very many."""
+    return calls.groupBy("episode").agg(F.count_if(~F.col("ok")).alias("n_failed")).where("n_failed > 0")
+
+
+def state_hashes(calls: DataFrame) -> DataFrame:
+    """(episode, state_hash): SHA-256 of an episode's state, written as tool:calls:amount of its successful calls, tools in order.
+    Amounts count ten-thousandths, so that the order of addition doesn't matter."""
+    part = calls.where("ok").groupBy("episode", "tool").agg(F.count("*").alias("n"), F.sum(F.round(F.col("amount") * 10000).cast("long")).alias("units"))
+    state = F.array_sort(F.collect_list(F.struct("tool", "n", "units")))
+    text = F.array_join(F.transform(state, lambda x: F.concat_ws(":", x["tool"], x["n"].cast("string"), x["units"].cast("string"))), ",")
+    return part.groupBy("episode").agg(F.sha2(text, 256).alias("state_hash"))
 
 
 def state_snapshots(calls: DataFrame) -> DataFrame:

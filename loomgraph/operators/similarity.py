@@ -21,7 +21,8 @@ def block_pairs(vecs: DataFrame, key: str, symmetric: bool = True) -> DataFrame:
 
 
 def _grid(g: pa.Table):
-    v = np.array(g.column("vec").to_pylist(), np.float64)
+    vec = g.column("vec").combine_chunks()
+    v = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), -1)
     n = np.sqrt((v * v).sum(1))
     v = v / np.where(n > 0, n, 1)[:, None]
     cos = np.clip(v @ v.T, 0, 1)

@@ -12,6 +12,14 @@ def _draw(seed: int, *parts):
     return uniform(F.lit(str(seed)), *[p.cast("string") for p in parts])
 
 
+def numbered(nodes: DataFrame, draw, buckets: int = 256) -> DataFrame:
+    """(id, rank): ranks from 0 in order of ``draw``, counted by buckets so that no task orders all nodes."""
+    n = nodes.withColumn("u", draw).withColumn("b", F.floor(F.col("u") * buckets))
+    before = n.groupBy("b").agg(F.count("*").alias("k")).select("b", F.coalesce(F.sum("k").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a bucket
+    w = Window.partitionBy("b").orderBy("u", "id")
+    return n.join(F.broadcast(before), "b").select("id", (F.col("before") + F.row_number().over(w) - 1).cast("long").alias("rank"))
+
+
 def _landed(walks: DataFrame, places: DataFrame, n: int, seed: int, tries: int) -> DataFrame:
     """(walk, id): for each walk the first unvisited place from a drawn rank on, so no walk meets all places."""
     first = F.floor(_draw(seed, F.col("walk"), F.size("path")) * n)
@@ -28,7 +36,7 @@ def chain_walks(spark: SparkSession, edges: DataFrame, n_walks: int, length: int
     there is none. Edges of no weight are not walked; no edges, no walks."""
     e = table(edges.where("weight > 0").select("src", "dst", "weight"))
     # ids only: one row a node
-    places = table(e.select(F.col("src").alias("id")).distinct().withColumn("rank", F.row_number().over(Window.orderBy(_draw(seed, F.col("id")), "id")) - F.lit(1).cast("long")))
+    places = table(numbered(e.select(F.col("src").alias("id")).distinct(), _draw(seed, F.col("id"))))
     n = places.count()
     walks = spark.range(n_walks).select(F.col("id").alias("walk"), F.array().cast("array<bigint>").alias("path"))
     if not n:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import catalog, graph, logs, similarity, walks
 from ..sources.views import calls, raw_tools, table, tool_vecs
-from .written import written
+from .written import shared, written
 
 VECTOR_LEAST, TOOL_LEAST, EDGE_LEAST = 0.3, 0.07, 0.25
 
@@ -83,7 +83,13 @@ def neighbors(spark, d):
 
 
 def induced_subgraph(spark, d):
-    return graph.induced(_edges(spark, d), _nodes(spark, d).where("id % 3 = 0")).select("src", "dst")
+    return _induced(spark, d)
+
+
+def _induced(spark, d):
+    e, deg = _edges(spark, d), degree_stats(spark, d)
+    busy = deg.join(F.broadcast(deg.agg(F.avg("degree").alias("mean"))), F.col("degree") >= F.col("mean")).select("id")  # one row
+    return graph.induced(e, busy).select("src", "dst")
 
 
 def weak_components(spark, d):
@@ -144,6 +150,10 @@ def batch_summary(spark, d):
     return logs.batch_summary(calls(spark, d))
 
 
+def failed_episodes(spark, d):
+    return logs.failed_episodes(calls(spark, d))
+
+
 def state_snapshots(spark, d):
     return logs.state_snapshots(calls(spark, d))
 
@@ -200,17 +210,13 @@ def referential_check(spark, d):
 
 
 def state_hash(spark, d):
-    s = logs.final_state(calls(spark, d))
-    return s.select("episode", F.sha2(F.concat_ws("|", F.col("episode").cast("string"), F.col("n_calls").cast("string"), F.col("n_committed").cast("string")), 256).alias("state_hash"))
+    return logs.state_hashes(calls(spark, d))
 
 
 def stream_final_state(spark, d):
     from ..streaming.replay import stream_final_state as run
-    from .written import _OWN
 
-    written(spark.range(0))  # makes the shared folder where there is none
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN["dir"]
-    return run(spark, f"{d}/events.parque[t]", f"{folder}/loomgraph")
+    return run(spark, f"{d}/events.parque[t]", shared(spark))
 
 
 def schema_to_simple(spark, d):
@@ -248,7 +254,7 @@ def sample_star(spark, d):
 
 def prune_graph(spark, d):
     pairs = written(similarity.best_matches(_both(spark, d)).where(F.col("sim") >= EDGE_LEAST))
-    return graph.pruned(pairs.select("src", "dst").distinct(), pairs, 0.35)[0]
+    return graph.pruned(_nodes(spark, d), pairs.select("src", "dst").distinct(), pairs, 0.35)[0]
 
 
 def strong_components(spark, d):
@@ -272,7 +278,7 @@ def walk_edges(spark, d):
 QUERIES = {f.__name__: f for f in (
     tool_pair_similarity, vector_pair_edges, dependency_edges, best_match_pairs, dedup_greedy_vectors, degree_stats, graph_density, clustering_coefficient, neighbors, induced_subgraph,
     weak_components, topo_levels, hub_topk, sample_random, normalize_name, normalize_description, normalize_parameters, normalize_returns, cleaning_stats, dedup_exact_name, domain_stats, embedding_text,
-    validation_report, batch_summary, state_snapshots, final_state_fold, tumbling_activity, session_activity, trajectory_stats, format_messages, clarity_heuristic, extract_json, parse_tool_calls,
+    validation_report, batch_summary, failed_episodes, state_snapshots, final_state_fold, tumbling_activity, session_activity, trajectory_stats, format_messages, clarity_heuristic, extract_json, parse_tool_calls,
     schema_state_reconcile, referential_check, state_hash, stream_final_state,
     schema_to_simple, function_call_schema, extract_code, split_marked_sections, query_zip_nodes, sample_star, prune_graph, strong_components, label_communities, chain_walks, walk_edges,
 )}
@@ -293,7 +299,8 @@ _TOOLS = """t AS (SELECT p_partkey AS ingest_seq, p_type AS domain, CASE WHEN p_
 s AS (SELECT *, CASE WHEN coalesce(length(name), 0) NOT BETWEEN 3 AND 50 THEN 'invalid_name' WHEN description IS NULL THEN 'invalid_description' ELSE 'fixed' END AS status FROM t),
 f AS (SELECT * FROM s WHERE status = 'fixed' QUALIFY row_number() OVER (PARTITION BY name ORDER BY ingest_seq) = 1),
 p AS (SELECT ingest_seq, 0 AS pos, 'size' AS pname, 'integer' AS type, 'Size ' || p_size AS description, NULL AS default_json FROM s
-  UNION ALL SELECT ingest_seq, 1, 'brand', 'string', 'Brand of the part', p_brand FROM s UNION ALL SELECT ingest_seq, 2, 'flag', 'boolean', 'Parameter flag', NULL FROM s)"""
+  UNION ALL SELECT ingest_seq, 1, 'brand', 'string', 'Brand of the part', p_brand FROM s UNION ALL SELECT ingest_seq, 2, 'flag', 'bool', 'Parameter flag', NULL FROM s
+  UNION ALL SELECT ingest_seq, 3, 'note', 'array', NULL, NULL FROM s)"""
 _STATE = "SELECT user_id AS episode, count(*) AS n_calls, count(*) FILTER (WHERE event_type <> 'error') AS n_committed, round(sum(CASE WHEN event_type <> 'error' THEN value ELSE 0 END), 4) AS state FROM events GROUP BY user_id"
 _DEG = "ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e), deg AS (SELECT n.id, coalesce(sum(i), 0)::BIGINT AS in_degree, coalesce(sum(o), 0)::BIGINT AS out_degree, coalesce(sum(i + o), 0)::BIGINT AS degree FROM n LEFT JOIN ends USING (id) GROUP BY n.id)"
 _BOTH = "w AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)"
@@ -308,7 +315,7 @@ ORACLE = {
     "graph_density": f"WITH {_dep(EDGE_LEAST)} SELECT a.n AS n_nodes, b.m AS n_edges, round(b.m / (a.n * (a.n - 1.0)), 6)::DOUBLE AS density, round(2.0 * b.m / a.n, 6)::DOUBLE AS avg_degree FROM (SELECT count(*) AS n FROM n) a, (SELECT count(*) AS m FROM e) b",
     "clustering_coefficient": f"WITH {_CLOSE}, {_BOTH}, t AS (SELECT x.a AS id, count(*) AS t FROM w x JOIN w y ON x.a = y.a AND x.b < y.b JOIN e ON e.src = x.b AND e.dst = y.b GROUP BY x.a), d AS (SELECT vec_id AS id, count(w.b) AS degree FROM embeddings LEFT JOIN w ON w.a = vec_id GROUP BY vec_id) SELECT d.id, degree, coalesce(t, 0)::BIGINT AS triangles, round(CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (degree * (degree - 1)) END, 6)::DOUBLE AS coefficient FROM d LEFT JOIN t USING (id)",
     "neighbors": f"WITH {_dep(EDGE_LEAST)}, {_BOTH} SELECT a AS id, count(*) AS n_neighbours FROM w GROUP BY a",
-    "induced_subgraph": f"WITH {_dep(EDGE_LEAST)} SELECT src, dst FROM e WHERE src % 3 = 0 AND dst % 3 = 0",
+    "induced_subgraph": f"WITH {_dep(EDGE_LEAST)}, {_DEG}, busy AS (SELECT id FROM deg WHERE degree >= (SELECT avg(degree) FROM deg)) SELECT src, dst FROM e SEMI JOIN busy ON src = busy.id WHERE dst IN (SELECT id FROM busy)",
     "weak_components": f"WITH RECURSIVE {_dep(0.35)}, {_BOTH}, r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, w.b FROM r JOIN w ON r.b = w.a) SELECT a AS id, min(b) AS component FROM r GROUP BY a",
     "topo_levels": f"WITH RECURSIVE {_dep(EDGE_LEAST)}, r(id, level) AS (SELECT id, 0::BIGINT FROM n UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.id AND e.src < e.dst) SELECT id, max(level) AS level FROM r GROUP BY id",
     "hub_topk": f"WITH {_dep(EDGE_LEAST)}, {_DEG} SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 10",
@@ -320,9 +327,10 @@ ORACLE = {
     "cleaning_stats": f"WITH {_TOOLS}, c AS (SELECT count(*) AS total_input, count(*) FILTER (WHERE status = 'fixed') AS fixed, count(*) FILTER (WHERE status <> 'fixed') AS removed_invalid FROM s) SELECT total_input, fixed, removed_invalid, fixed - (SELECT count(*) FROM f) AS removed_duplicates, (SELECT count(*) FROM f) AS final_count FROM c",
     "dedup_exact_name": f"WITH {_TOOLS} SELECT ingest_seq, name FROM f",
     "domain_stats": f"WITH {_TOOLS} SELECT domain, count(*) AS tool_count FROM f GROUP BY domain",
-    "embedding_text": f"WITH {_TOOLS} SELECT ingest_seq, pname, type || ': ' || description AS embedding_text FROM p",
+    "embedding_text": f"WITH {_TOOLS} SELECT ingest_seq, pname, concat_ws(': ', type, description) AS embedding_text FROM p",
     "validation_report": "SELECT user_id AS episode, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS passed, count(*) FILTER (WHERE event_type = 'error') AS failed, round(100.0 * count(*) FILTER (WHERE event_type <> 'error') / count(*), 2)::DOUBLE AS success_rate FROM events GROUP BY user_id",
-    "batch_summary": "WITH x AS (SELECT user_id, bool_and(event_type <> 'error') AS ok FROM events GROUP BY user_id) SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS successful, count(*) FILTER (WHERE NOT ok) AS failed, coalesce(string_agg(user_id::VARCHAR, ',' ORDER BY user_id) FILTER (WHERE NOT ok), '') AS failed_list FROM x",
+    "batch_summary": "WITH x AS (SELECT user_id, bool_and(event_type <> 'error') AS ok FROM events GROUP BY user_id) SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS successful, count(*) FILTER (WHERE NOT ok) AS failed FROM x",
+    "failed_episodes": "SELECT user_id AS episode, count(*) FILTER (WHERE event_type = 'error') AS n_failed FROM events GROUP BY user_id HAVING n_failed > 0",
     "state_snapshots": "SELECT user_id AS episode, event_id AS seq, row_number() OVER w AS snapshot_id, round(sum(CASE WHEN event_type <> 'error' THEN value ELSE 0 END) OVER w, 4) AS state FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
     "final_state_fold": _STATE,
     "stream_final_state": _STATE,
@@ -335,13 +343,13 @@ ORACLE = {
     "parse_tool_calls": "SELECT event_id AS seq, event_id::VARCHAR AS call_id, event_type AS tool, json_extract_string(props, '$.k') AS k FROM events",
     "schema_state_reconcile": "SELECT coalesce(c_custkey, o_custkey) AS custkey, CASE WHEN o_custkey IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'extra' ELSE 'matched' END AS status FROM (SELECT DISTINCT c_custkey FROM customer) FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey",
     "referential_check": "SELECT l_orderkey, count(*) AS n_orphans FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey",
-    "state_hash": f"WITH x AS ({_STATE}) SELECT episode, sha256(concat_ws('|', episode, n_calls, n_committed)) AS state_hash FROM x",
-    "schema_to_simple": "SELECT p_partkey AS ingest_seq, '{\"size\":{\"type\":\"int\",\"description\":\"Size ' || p_size || '\"},\"brand\":{\"datatype\":\"str\",\"desc\":\"Brand of the part\",\"default\":\"' || p_brand || '\"},\"flag\":\"bool\"}' AS params FROM part",
-    "function_call_schema": f"""WITH {_TOOLS} SELECT ingest_seq, '{{"type":"function","function":{{"name":"' || name || '","description":"' || description || '","parameters":{{"type":"object","properties":{{"size":{{"type":"integer","description":"Size ' || p_size || '"}},"brand":{{"type":"string","description":"Brand of the part","default":"' || p_brand || '"}},"flag":{{"type":"boolean","description":"Parameter flag"}}}},"required":[' || CASE WHEN ingest_seq % 2 = 0 THEN '' ELSE '"size"' END || ']}}}}}}' AS schema FROM s WHERE status = 'fixed'""",
+    "state_hash": "WITH x AS (SELECT user_id, event_type, count(*) AS n, sum(round(value * 10000)::BIGINT) AS units FROM events WHERE event_type <> 'error' GROUP BY ALL) SELECT user_id AS episode, sha256(string_agg(concat_ws(':', event_type, n, units), ',' ORDER BY event_type)) AS state_hash FROM x GROUP BY user_id",
+    "schema_to_simple": "SELECT p_partkey AS ingest_seq, '{\"size\":{\"type\":\"int\",\"description\":\"Size ' || p_size || '\"},\"brand\":{\"datatype\":\"str\",\"desc\":\"Brand of the part\",\"default\":\"' || p_brand || '\"},\"flag\":\"bool\",\"note\":{\"dtype\":\"arr\"}}' AS params FROM part",
+    "function_call_schema": f"""WITH {_TOOLS} SELECT ingest_seq, '{{"type":"function","function":{{"name":"' || name || '","description":"' || description || '","parameters":{{"type":"object","properties":{{"size":{{"type":"integer","description":"Size ' || p_size || '"}},"brand":{{"type":"string","description":"Brand of the part","default":"' || p_brand || '"}},"flag":{{"type":"bool","description":"Parameter flag"}},"note":{{"type":"array"}}}},"required":[' || CASE WHEN ingest_seq % 2 = 0 THEN '' ELSE '"size"' END || ']}}}}}}' AS schema FROM s WHERE status = 'fixed'""",
     "extract_code": "SELECT event_id AS seq, 'def run_' || event_id || '():' || chr(10) || '    return ' || chr(39) || event_type || chr(39) AS code FROM events",
     "split_marked_sections": "SELECT event_id AS seq, pos, CASE pos WHEN 0 THEN event_type ELSE 'other_' || event_id END AS name, 'import json' || chr(10) || 'from re import sub' || chr(10) || CASE pos WHEN 0 THEN 'def a():' ELSE 'def b():' END || chr(10) || '    pass' AS code FROM events, (SELECT unnest([0, 1])::BIGINT AS pos)",
     "query_zip_nodes": "WITH x AS (SELECT conv_id, role, turn, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS pos FROM conversations) SELECT u.conv_id, u.pos, u.text AS query, a.turn AS node FROM x u JOIN x a ON u.conv_id = a.conv_id AND u.pos = a.pos AND u.role = 'user' AND a.role = 'assistant'",
     "sample_star": f"WITH {_dep(EDGE_LEAST)}, {_DEG}, {_BOTH}, hub AS (SELECT id FROM (SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 10) WHERE (SELECT count(*) FROM w WHERE w.a = id) >= 2 ORDER BY degree DESC, id LIMIT 1), s AS (SELECT w.b AS id FROM w JOIN hub ON w.a = hub.id ORDER BY ('0x' || substr(md5('42|' || hub.id || '|' || w.b), 1, 13))::BIGINT, w.b LIMIT 9) SELECT id, true AS hub FROM hub UNION ALL SELECT id, false FROM s",
-    "prune_graph": f"WITH {_BEST}, g AS (SELECT src, dst FROM best WHERE sim >= 0.35) SELECT src AS id FROM g UNION SELECT dst FROM g",
+    "prune_graph": f"WITH {_BEST}, g AS (SELECT src, dst FROM best WHERE sim >= 0.35), n AS (SELECT src AS id FROM g UNION SELECT dst FROM g) SELECT id FROM n WHERE (SELECT count(*) FROM n) >= 3",
     "strong_components": f"WITH RECURSIVE {_dep(0.35)}, r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src) SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a",
 }

@@ -24,10 +24,12 @@ def raw_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = lambda v: F.concat(F.lit('"'), v, F.lit('"'))
     name = F.when(k % 97 == 0, F.lit("  ")).otherwise(F.col("p_name"))
     about = F.when(k % 89 == 0, F.lit("short")).otherwise(F.concat(F.lit("Handles "), "p_name", F.lit(" of brand "), "p_brand", F.lit(".")))
-    inner = F.concat(F.lit('{"size":{"type":"int","description":"Size '), F.col("p_size").cast("string"), F.lit('"},"brand":{"datatype":"str","desc":"Brand of the part","default":'), q(F.col("p_brand")), F.lit('},"flag":"bool"}'))
+    inner = F.concat(F.lit('{"size":{"type":"int","description":"Size '), F.col("p_size").cast("string"), F.lit('"},"brand":{"datatype":"str","desc":"Brand of the part","default":'), q(F.col("p_brand")), F.lit('},"flag":"bool","note":{"dtype":"arr"}}'))
     params = F.when(k % 2 == 0, inner).otherwise(F.concat(F.lit('{"type":"dict","properties":'), inner, F.lit(',"required":["size"]}')))
     returns = F.when(k % 3 == 0, F.lit('"int"')).otherwise(F.lit('{"type":"float","description":"Price"}'))
-    raw = F.concat(F.lit("{"), q(key(NAME_KEYS)), F.lit(":"), q(name), F.lit(","), q(key(DESCRIPTION_KEYS)), F.lit(":"), q(about), F.lit(","), q(key(PARAMETER_KEYS)), F.lit(":"), params, F.lit(","), q(key(RETURN_KEYS)), F.lit(":"), returns, F.lit("}"))
+    # a spelling that comes first but holds no object
+    params = F.concat(F.when((k % 7 == 0) & (k % len(PARAMETER_KEYS) != 0), F.lit('"parameters":"none",')).otherwise(""), q(key(PARAMETER_KEYS)), F.lit(":"), params)
+    raw = F.concat(F.lit("{"), q(key(NAME_KEYS)), F.lit(":"), q(name), F.lit(","), q(key(DESCRIPTION_KEYS)), F.lit(":"), q(about), F.lit(","), params, F.lit(","), q(key(RETURN_KEYS)), F.lit(":"), returns, F.lit("}"))
     return p.select(k.alias("ingest_seq"), raw.alias("raw"), F.col("p_type").alias("domain"))
 
 
