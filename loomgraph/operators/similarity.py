@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -88,6 +89,22 @@ def dependency_edges(vecs: DataFrame, least: float) -> DataFrame:
     return best_matches(vecs).where(F.col("sim") >= least).groupBy("src", "dst").agg(F.avg("sim").alias("weight"), F.count("*").alias("n_pairs"))
 
 
+def alike_texts(rows: DataFrame, least: float) -> DataFrame:
+    """(src, dst): pairs of rows(id, text), src before dst, whose texts have a ratio above ``least`` (see functions.parse.text_ratio).
+
+    A ratio above ``least`` bounds how the lengths differ, so texts meet only those of the same and the next band of lengths."""
+    from ..functions.parse import text_ratio
+
+    wide = math.log((2 - least) / least)
+    r = rows.select("id", "text", F.floor(F.log(F.greatest(F.length("text"), F.lit(1))) / wide).alias("band"))
+    x = r.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    y = r.select(F.col("id").alias("b"), F.col("text").alias("tb"), "band")
+    p = x.join(y, "band").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.when(F.col("a") < F.col("b"), F.col("ta")).otherwise(F.col("tb")).alias("old"), F.when(F.col("a") < F.col("b"), F.col("tb")).otherwise(F.col("ta")).alias("new"))
+    la, lb = F.length("old"), F.length("new")
+    p = p.where(2 * F.least(la, lb) > least * (la + lb)).distinct()
+    return p.where(text_ratio("new", "old") > least).select("src", "dst")
+
+
 def greedy_kept(edges: DataFrame, nodes: DataFrame, table, rounds: int = 60) -> DataFrame:
     """(id): what a scan in id order keeps if it drops an id in conflict with a kept one.
 

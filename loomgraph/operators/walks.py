@@ -56,3 +56,96 @@ def walk_edges(walks: DataFrame, edges: DataFrame) -> DataFrame:
     steps = walks.select("walk", F.posexplode(F.arrays_zip(F.col("path").alias("src"), F.slice("path", 2, F.greatest(F.size("path"), F.lit(1))).alias("dst"))).alias("pos", "s"))
     steps = steps.select("walk", F.col("pos").cast("long").alias("pos"), "s.src", "s.dst").where("dst is not null")
     return steps.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_semi").select("walk", "pos", "src", "dst")
+
+
+NODE = "array<struct<id:bigint,depth:int,open:boolean>>"
+STEP = "array<struct<src:bigint,dst:bigint>>"
+
+
+def dag_walks(spark: SparkSession, edges: DataFrame, n_walks: int, length: int, table, seed: int = 42, merge: float = 0.25, branch: float = 0.3, widest: int = 3) -> DataFrame:
+    """(walk, nodes, steps): walks with an active frontier, nodes with their depths, steps as edges taken.
+
+    In each round a walk takes an open node, drawn with weight 1/(depth + 1), which then closes. By chance it merges into a
+    visited successor that lies deeper (so walks have no cycles), or branches to two or three drawn successors (the same may be
+    drawn twice), else it goes on to one, by weight. A walk ends at ``length`` nodes, without open nodes, or after three rounds a node."""
+    e = table(edges.where("weight > 0 and src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+    places = table(numbered(e.select(F.col("src").alias("id")).distinct(), _draw(seed, F.col("id"))))
+    n = places.count()
+    walks = spark.range(n_walks).select(F.col("id").alias("walk"))
+    if not n:
+        return walks.select("walk", F.array().cast(NODE).alias("nodes"), F.array().cast(STEP).alias("steps")).limit(0)
+    begun = walks.withColumn("rank", F.floor(_draw(seed, F.lit("start"), F.col("walk")) * n)).join(places, "rank")
+    state = table(begun.select("walk", F.array(F.struct("id", F.lit(0).alias("depth"), F.lit(True).alias("open"))).cast(NODE).alias("nodes"), F.array().cast(STEP).alias("steps")))
+    for round_ in range(3 * length):
+        race = lambda tag, id_, weight: -F.log(F.greatest(_draw(seed, F.col("walk"), F.lit(round_), F.lit(tag), id_), F.lit(1e-16))) / weight
+        open_ = F.filter("nodes", lambda x: x["open"])
+        pick = F.array_min(F.transform(open_, lambda x: F.struct(race("pick", x["id"], 1.0 / (x["depth"] + 1)).alias("u"), x["id"].alias("id"), x["depth"].alias("depth"))))
+        here = state.where(F.size("nodes") < length).withColumn("pick", pick).where("pick is not null").withColumn("src", F.col("pick.id"))
+        if here.isEmpty():
+            break
+        drawn = [race(t, F.col("dst"), F.col("weight")).alias(t) for t in ("a", "b", "c")]
+        known = F.get(F.transform(F.filter("nodes", lambda x: x["id"] == F.col("dst")), lambda x: x["depth"]), F.lit(0))
+        near = here.join(e, "src").select("walk", "dst", *drawn, known.alias("known"), F.col("pick.depth").alias("depth"), F.array_contains("steps", F.struct(F.col("src"), F.col("dst"))).alias("taken"))
+        fresh, deeper = F.col("known").isNull(), (F.col("known") > F.col("depth")) & ~F.col("taken")
+        best = lambda t, ok: F.min(F.when(ok, F.struct(F.col(t).alias("u"), F.col("dst").alias("dst"))))["dst"]
+        got = near.groupBy("walk").agg(F.count_if(fresh).alias("n_fresh"), best("a", deeper).alias("into"), *[best(t, fresh).alias(t) for t in ("a", "b", "c")])
+        at = lambda tag: _draw(seed, F.col("walk"), F.lit(round_), F.lit(tag))
+        none = F.array().cast("array<bigint>")
+        room = F.lit(length) - F.size("nodes")
+        many = F.when(at("two") < 0.5, F.array("a", "b")).otherwise(F.array("a", "b", "c"))
+        merging = F.col("into").isNotNull() & (at("merge") < merge)
+        new = F.when(merging | F.coalesce(F.col("n_fresh") == 0, F.lit(True)), none).when((F.col("n_fresh") > 1) & (at("branch") < branch), F.slice(F.array_distinct(many), F.lit(1), F.least(F.lit(widest), room))).otherwise(F.array("a"))
+        step = table(here.join(got, "walk", "left").withColumn("new", new).withColumn("into", F.when(merging, F.col("into"))).select("walk", "src", F.col("pick.depth").alias("depth"), "new", "into"))
+        closed = F.transform("nodes", lambda x: F.struct(x["id"].alias("id"), x["depth"].alias("depth"), (x["open"] & (x["id"] != F.col("src"))).alias("open")))
+        added = F.transform("new", lambda x: F.struct(x.alias("id"), (F.col("depth") + 1).alias("depth"), F.lit(True).alias("open")))
+        taken = F.transform(F.concat("new", F.when(F.col("into").isNotNull(), F.array("into")).otherwise(none)), lambda x: F.struct(F.col("src").alias("src"), x.alias("dst")))
+        j, on = state.join(step, "walk", "left"), F.col("src").isNotNull()
+        state = table(j.select("walk", F.when(on, F.concat(closed, added).cast(NODE)).otherwise(F.col("nodes")).alias("nodes"), F.when(on, F.concat("steps", taken).cast(STEP)).otherwise(F.col("steps")).alias("steps")))
+    return state
+
+
+def dag_layers(walks: DataFrame) -> DataFrame:
+    """(walk, depth, nodes, parallel): the nodes of each depth of dag_walks."""
+    n = walks.select("walk", F.explode("nodes").alias("n")).select("walk", "n.depth", "n.id")
+    return n.groupBy("walk", "depth").agg(F.array_sort(F.collect_list("id")).alias("nodes")).withColumn("parallel", F.size("nodes") > 1)
+
+
+def dag_facts(walks: DataFrame) -> DataFrame:
+    """(walk, n_nodes, n_edges, n_layers, n_parallel, widest, n_merges): merges count every edge into a node that has several."""
+    layers = dag_layers(walks).groupBy("walk").agg(F.count("*").alias("n_layers"), F.count_if("parallel").alias("n_parallel"), F.max(F.size("nodes")).cast("long").alias("widest"))
+    into = walks.select("walk", F.explode("steps").alias("s")).groupBy("walk", "s.dst").agg(F.count("*").alias("k")).groupBy("walk").agg(F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("n_merges"))
+    w = walks.select("walk", F.size("nodes").cast("long").alias("n_nodes"), F.size("steps").cast("long").alias("n_edges"))
+    return w.join(layers, "walk").join(into, "walk", "left").withColumn("n_merges", F.coalesce("n_merges", F.lit(0)).cast("long"))
+
+
+def dag_sequence(walks: DataFrame) -> DataFrame:
+    """(walk, path): nodes in an order that no step goes against: by depth, then as they were reached."""
+    ordered = F.array_sort(F.transform("nodes", lambda x, i: F.struct(x["depth"].alias("depth"), i.alias("i"), x["id"].alias("id"))))
+    return walks.select("walk", F.transform(ordered, lambda x: x["id"]).alias("path"))
+
+
+def valid_walks(walks: DataFrame, least: int, most: int, alike: float, table, greedy) -> DataFrame:
+    """(walk, path) of least to most nodes that are no duplicates: the same path, or node sets of a Jaccard similarity above ``alike`` with one kept before."""
+    w = table(walks.where(F.size("path").between(least, most)).select("walk", "path"))
+    n = w.select("walk", F.explode(F.array_distinct("path")).alias("id"), F.size(F.array_distinct("path")).alias("n"))
+    pairs = n.select(F.col("walk").alias("src"), "id", F.col("n").alias("a")).join(n.select(F.col("walk").alias("dst"), "id", F.col("n").alias("b")), "id").where("src < dst")
+    pairs = pairs.groupBy("src", "dst", "a", "b").agg(F.count("*").alias("k")).where(F.col("k") / (F.col("a") + F.col("b") - F.col("k")) > alike).select("src", "dst")
+    kept = greedy(pairs, w.select(F.col("walk").alias("id")), table)
+    return w.join(kept.withColumnRenamed("id", "walk"), "walk", "left_semi")
+
+
+def walk_stats(walks: DataFrame) -> DataFrame:
+    """One row: walks, mean, least and greatest length."""
+    n = F.size("path")
+    return walks.agg(F.count("*").alias("n_walks"), F.avg(n).alias("mean_length"), F.min(n).cast("long").alias("min_length"), F.max(n).cast("long").alias("max_length"))
+
+
+def rendered(walks: DataFrame) -> DataFrame:
+    """(walk, text): a chain as one line with arrows."""
+    return walks.select("walk", F.concat(F.lit("Chain walk: "), F.array_join(F.transform("path", lambda x: x.cast("string")), " → ")).alias("text"))
+
+
+def tasks(walks: DataFrame) -> DataFrame:
+    """(task_id, walk, n_functions, description): a task for each walk, described by its nodes in order."""
+    said = F.concat(F.lit("Call "), F.array_join(F.transform("path", lambda x: x.cast("string")), ", then "), F.lit("."))
+    return walks.select(F.concat(F.lit("task_"), F.col("walk").cast("string")).alias("task_id"), "walk", F.size("path").cast("long").alias("n_functions"), said.alias("description"))

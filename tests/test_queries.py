@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from loomgraph.plans.queries import ORACLE, QUERIES
+from loomgraph.plans import more, queries
+
+ORACLE, QUERIES = queries.ORACLE | more.ORACLE, queries.QUERIES | more.QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
