@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, langid, minhash, mixing, secrets
-from loomgraph.llm.common import shared_dir
+from loomgraph.llm.common import bounded_broadcast, shared_dir
 from loomgraph.llm.queries import tokenizer_file
 
 
@@ -21,7 +21,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8); of rows that share an id, the first by content. Rows without an id stay."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    ids = bounded_broadcast(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), minhash.BROADCAST_ROWS)
     once = left.join(ids, "doc_id", "left_anti").select(docs.columns)
     more = left.join(ids, "doc_id", "left_semi").select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     first = more.groupBy("doc_id").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
