@@ -8,7 +8,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from .text import extract_json
 
@@ -121,7 +121,7 @@ def code_fault(code: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([fault(c, n) for c, n in zip(code, name)])
 
 
-@F.pandas_udf("array<struct<name:string,code:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("name", StringType()), StructField("code", StringType())])))
 def functions_of(code: pd.Series) -> pd.Series:
     """The top-level functions of a source text, in order; none if it doesn't parse."""
 
@@ -135,7 +135,7 @@ def functions_of(code: pd.Series) -> pd.Series:
     return code.map(parts)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def text_ratio(new: pd.Series, kept: pd.Series) -> pd.Series:
     """Twice the matched characters over all (longest matching block first, then on both sides); not symmetric."""
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(new, kept)], dtype=float)

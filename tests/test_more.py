@@ -2,6 +2,9 @@
 
 import difflib
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 
@@ -123,6 +126,13 @@ def test_failed_tools_leave_state_alone(spark):
     assert {r.tool: (r.n_tests, r.passed) for r in replay.tool_verdicts(spark.createDataFrame([("add",), ("idle",)], "tool string"), replay.run_tests(tests, tools, {})).collect()} == {"add": (2, False), "idle": (0, True)}
 
 
+def test_entry_needs_no_session():
+    """The driver imports the entry before it makes a session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_settings(tmp_path):
     assert documents.Settings.read() == documents.Settings()
     p = tmp_path / "s.json"
