@@ -415,7 +415,7 @@ def task_summary(spark, d):
 
 def walk_tools(spark, d):
     """Descriptions of the known tools of each walk, in order."""
-    t = _tools(spark, d).where("status = 'fixed' and ingest_seq <= 39").select(F.col("ingest_seq").alias("id"), "description")
+    t = _tools(spark, d).where("status = 'fixed'").select(F.col("ingest_seq").alias("id"), "description")
     r = checks.described(_paths(spark, d), t)
     return r.select("walk", F.array_join(F.transform("names", lambda x: x.cast("string")), ",").alias("names"), F.size("texts").cast("long").alias("n_texts"))
 
@@ -525,5 +525,5 @@ ORACLE = {
     "walk_texts": f"WITH {_DOC} SELECT walk, 'Chain walk: ' || array_to_string(path, ' → ') AS text FROM w",
     "walk_tasks": f"WITH {_DOC} SELECT 'task_' || walk AS task_id, walk, len(path) AS n_functions, 'Call ' || array_to_string(path, ', then ') || '.' AS description FROM w",
     "task_summary": f"WITH {_DOC} SELECT count(*) AS total_tasks, round(avg(least(len(path) / 10.0, 1.0)), 6)::DOUBLE AS avg_complexity, round(avg(len(path)), 6) AS avg_length, count(*) AS n_chain, 0::BIGINT AS n_dag FROM w",
-    "walk_tools": f"WITH {_TOOLS}, {_DOC}, k AS (SELECT ingest_seq AS id FROM s WHERE status = 'fixed' AND ingest_seq <= 39), y AS (SELECT walk, unnest(path) AS i FROM w) SELECT walk, string_agg(i::VARCHAR, ',' ORDER BY i) AS names, count(*) AS n_texts FROM y JOIN k ON k.id = i GROUP BY walk",
+    "walk_tools": f"WITH {_TOOLS}, {_DOC}, k AS (SELECT ingest_seq AS id FROM s WHERE status = 'fixed'), y AS (SELECT walk, unnest(path) AS i FROM w) SELECT walk, string_agg(i::VARCHAR, ',' ORDER BY i) AS names, count(*) AS n_texts FROM y JOIN k ON k.id = i GROUP BY walk",
 }
