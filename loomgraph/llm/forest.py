@@ -5,9 +5,10 @@ random hyperplanes, one for each level, at the median of a bounded sample of the
 vectors that reached the node; vectors within ``SPILL`` of the split go to both
 sides. The number of levels grows with the number of vectors, so leaves don't.
 Vectors of one leaf are compared by cosine in double precision, block by block.
-A pair counts in the first tree that brings it together: every row carries its
-leaves in all trees, so pairs need not be written down to be told apart, and a
-leaf gives each vector its number of new links, and edges that span the links.
+A pair counts in the first leaf that brings it together: every row of a leaf
+carries the leaves its vector reached before, as numbers, so pairs need not be
+written down to be told apart, and a leaf gives each vector its number of new
+links, and edges that span the links.
 
 The number of trees is what spread-out data need (``enough``), or more where
 pairs of a sample meet less often, as those of a large group of loose copies do.
@@ -51,7 +52,7 @@ class Forest:
         self.spill, self.levels = spill, levels
         self.planes = rng.normal(size=(trees, max(levels, 1), dim))
         self.planes /= np.linalg.norm(self.planes, axis=2, keepdims=True)
-        self.cuts: list[list[dict[int, float]]] = []
+        self.cuts: list[list[tuple[np.ndarray, np.ndarray]]] = []
         self.plain: list[list[float]] = []
         for t in range(trees):
             node, cuts, plain = np.zeros(len(sample), np.int64), [], []
@@ -60,28 +61,34 @@ class Forest:
                 plain.append(float(np.median(x)) if len(x) else 0.0)
                 # nodes with too few sampled vectors for a median use the level's
                 at = {int(k): float(np.median(x[node == k])) for k in np.unique(node) if (node == k).sum() >= 24}
-                cuts.append(at)
-                cut = np.array([at.get(int(k), plain[-1]) for k in node])
-                node = 2 * node + (x > cut)
+                cuts.append((np.array([*at], np.int64), np.array([*at.values()])))
+                node = 2 * node + (x > self.cut(cuts[-1], plain[-1], node))
             self.cuts.append(cuts)
             self.plain.append(plain)
 
-    def leaves(self, v: np.ndarray) -> list[list[list[int]]]:
-        """For each tree and vector, the leaves it falls into."""
-        out = []
+    @staticmethod
+    def cut(cuts: tuple[np.ndarray, np.ndarray], plain: float, node: np.ndarray) -> np.ndarray:
+        """Where each of ``node`` is split: at its own cut, or at ``plain``."""
+        known, value = cuts
+        if not len(known):
+            return np.full(len(node), plain)
+        i = np.minimum(np.searchsorted(known, node), len(known) - 1)
+        return np.where(known[i] == node, value[i], plain)
+
+    def leaves(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, leaves): those each vector falls into, as tree * 2**levels + leaf of the tree, in order."""
+        rows, leaves = [], []
         for t, planes in enumerate(self.planes):
             row, node = np.arange(len(v)), np.zeros(len(v), np.int64)
             for level in range(self.levels):
                 x = (v @ planes[level])[row]
-                at, plain = self.cuts[t][level], self.plain[t][level]
-                cut = np.array([at.get(k, plain) for k in node.tolist()])
+                cut = self.cut(self.cuts[t][level], self.plain[t][level], node)
                 left, right = x <= cut + self.spill, x > cut - self.spill
                 row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
-            lists: list[list[int]] = [[] for _ in range(len(v))]
-            for r, k in zip(row.tolist(), node.tolist(), strict=True):
-                lists[r].append(k)
-            out.append(lists)
-        return out
+            rows.append(row)
+            leaves.append((t << self.levels) + node)
+        row, leaf = np.concatenate(rows), np.concatenate(leaves)
+        return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(v)))]), leaf[np.lexsort((leaf, row))]
 
 
 def enough(levels: int, kept: float = 0.95, recall: float = RECALL) -> int:
@@ -102,8 +109,10 @@ def meeting(forest: Forest, v: np.ndarray, least: float, pairs: int = 4000) -> f
     if len(i) < 50:
         return None
     at = np.linspace(0, len(i) - 1, min(pairs, len(i))).astype(int)
-    trees = [list(map(set, lists)) for lists in forest.leaves(v)]
-    return float(np.mean([[not t[a].isdisjoint(t[b]) for a, b in zip(i[at].tolist(), j[at].tolist(), strict=True)] for t in trees]))
+    ends, leaves = forest.leaves(v)
+    of = [set(x.tolist()) for x in np.split(leaves, ends[1:-1])]
+    met = [len({x >> forest.levels for x in of[a] & of[b]}) for a, b in zip(i[at].tolist(), j[at].tolist(), strict=True)]
+    return float(np.mean(met)) / len(forest.planes)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, trees: int | None = None, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
@@ -152,7 +161,9 @@ def _links(classes: DataFrame, dim: int, count: int, least: float, trees: int |
         if needed > len(forest.planes):
             forest = Forest(sample, dim, levels, min(needed, MOST_TREES), spill)
     # trees x levels planes, and cuts of at most the sample's size, go with the function: workers need no copy of this package to read them
-    placed = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.float32() if kind == "float" else pa.float64())), ("leaves", pa.list_(pa.list_(pa.int64())))])
+    small = len(forest.planes) << levels < 1 << 31  # numbers of leaves
+    number, number_type = ("int", pa.int32()) if small else ("long", pa.int64())
+    placed = pa.schema([("rep", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.float32() if kind == "float" else pa.float64())), ("leaves", pa.list_(number_type))])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,26 +171,27 @@ def _links(classes: DataFrame, dim: int, count: int, least: float, trees: int |
                 b = batch.slice(at, 2048)
                 if b.num_rows:
                     v = _unit(b.column(2).flatten().to_numpy().reshape(b.num_rows, dim))
-                    by_tree = forest.leaves(v)
-                    yield table(placed, b.column(0), b.column(1), b.column(2), [[t[i] for t in by_tree] for i in range(b.num_rows)])
+                    ends, leaves = forest.leaves(v)
+                    yield table(placed, b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaves, number_type)))
 
-    rows = materialise(classes.select("rep", "copies", "v").mapInArrow(place, f"rep long, copies long, v array<{kind}>, leaves array<array<long>>"))
-    flat = rows.select("rep", "copies", "v", "leaves", F.posexplode("leaves").alias("tree", "own")).select("rep", "copies", "v", "leaves", "tree", F.explode("own").alias("leaf"))
-    sizes = rows.select(F.posexplode("leaves").alias("tree", "own")).select("tree", F.explode("own").alias("leaf")).groupBy("tree", "leaf").agg(F.count("*").alias("n"))
+    rows = materialise(classes.select("rep", "copies", "v").mapInArrow(place, f"rep long, copies long, v array<{kind}>, leaves array<{number}>"))
+    flat = rows.select("rep", "copies", "v", "leaves", F.posexplode("leaves").alias("at", "leaf"))
+    flat = flat.select("rep", "copies", "v", F.expr("slice(leaves, 1, at)").alias("before"), "leaf")
+    sizes = rows.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"))
     large = materialise(sizes.where(F.col("n") > BLOCK))
     # rows of a large leaf go to each pair of blocks that holds their own; the rest have one task a leaf
-    flat = flat.join(F.broadcast(large) if large.count() <= 10_000 else large, ["tree", "leaf"], "left")
+    flat = flat.join(F.broadcast(large) if large.count() <= 10_000 else large, "leaf", "left")
     blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     flat = flat.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    flat = flat.select("rep", "copies", "v", "leaves", "tree", "leaf", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    flat = flat.select("rep", "copies", "v", "before", "leaf", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
     def compare(g: pa.Table) -> pa.Table:
         g = g.combine_chunks()
         one = lambda c: int(g.column(c)[0].as_py())
-        tree, lf, low, high = one("tree"), one("leaf"), one("low"), one("high")
+        low, high = one("low"), one("high")
         rep, copies, own = (g.column(c).to_numpy() for c in ("rep", "copies", "own"))
         v = _unit(g.column("v").combine_chunks().flatten().to_numpy().reshape(len(rep), dim))
         cos = np.triu(v @ v.T, 1)
@@ -191,13 +203,12 @@ def _links(classes: DataFrame, dim: int, count: int, least: float, trees: int |
         sure = ~near
         sure[near] = [float(np.dot(v[a], v[b])) >= least for a, b in zip(i[near], j[near], strict=True)]
         i, j = i[sure], j[sure]
-        if len(i):  # a pair counts in its first tree, and there in its first common leaf
+        if len(i):  # a pair counts in its first common leaf
             rows = np.unique(np.concatenate([i, j]))
-            columns: dict[tuple[int, int], int] = {}
-            marks = [[columns.setdefault((t, x), len(columns)) for t, leaves in enumerate(of[: tree + 1]) for x in leaves if t < tree or x < lf] for of in g.column("leaves").take(pa.array(rows)).to_pylist()]
+            before = g.column("before").combine_chunks().take(pa.array(rows))
+            columns, of = np.unique(before.flatten().to_numpy(), return_inverse=True)
             seen = np.zeros((len(rows), len(columns) + 1), np.float32)
-            for r, m in enumerate(marks):
-                seen[r, m] = 1
+            seen[np.repeat(np.arange(len(rows)), before.value_lengths().to_numpy()), of] = 1
             met = (seen @ seen.T)[np.searchsorted(rows, i), np.searchsorted(rows, j)] > 0
             i, j = i[~met], j[~met]
         links = np.zeros(len(rep), np.int64)
@@ -216,4 +227,4 @@ def _links(classes: DataFrame, dim: int, count: int, least: float, trees: int |
         out = [pa.concat_arrays([pa.array(rep[hit]), pa.array(rep[moved])]), pa.concat_arrays([pa.array(links[hit]), none(len(moved))]), pa.concat_arrays([none(len(hit)), pa.array(rep[first[moved]])])]
         return pa.Table.from_arrays(out, schema=schema)
 
-    return flat.groupBy("tree", "leaf", "low", "high").applyInArrow(compare, "rep long, links long, other long")
+    return flat.groupBy("leaf", "low", "high").applyInArrow(compare, "rep long, links long, other long")
