@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from loomgraph.plans import more, queries
+from loomgraph.plans import further, more, queries
 
-ORACLE, QUERIES = queries.ORACLE | more.ORACLE, queries.QUERIES | more.QUERIES
+ORACLE, QUERIES = queries.ORACLE | more.ORACLE | further.ORACLE, queries.QUERIES | more.QUERIES | further.QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
