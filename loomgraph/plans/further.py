@@ -1,4 +1,4 @@
-"""More named queries: modularity, streams out of order."""
+"""More named queries: modularity, streams out of order, walks over many graphs; and SQL of walks."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import communities, graph, replay
+from ..operators import communities, graph, replay, similarity, walks
 from ..sources.views import calls, table
 from ..streaming import stateful
-from .queries import _CLOSE, _close
-from .written import shared
+from . import walk_sql
+from .queries import _CLOSE, _DEG, EDGE_LEAST, _close, _dep, _edges, _nodes
+from .written import shared, written
 
 # communities
 
@@ -80,14 +81,66 @@ def stream_windows(spark, d):
     return got
 
 
+# walks over many graphs
+
+
+def _graphs(spark, d):
+    """(graph, src, dst, weight): the task graph among the nodes of each of eight drawn samples."""
+    s = written(graph.sample_nodes(_nodes(spark, d), 8, 12).select(F.col("sample").cast("long").alias("graph"), "id"))
+    e = _edges(spark, d).select("src", "dst", "weight")
+    return written(e.join(s.withColumnRenamed("id", "src"), "src").join(s.withColumnRenamed("id", "dst"), ["graph", "dst"]).select("graph", "src", "dst", "weight"))
+
+
+def walk_batches(spark, d):
+    """Four walks of each graph, of either kind, of three to six nodes; their edges as the graph has them."""
+    w = walks.walk_batches(_graphs(spark, d), 4, 3, 6, written, similarity.greedy_kept)
+    said = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return w.select("graph", "walk", "kind", said("path", lambda x: x.cast("string")).alias("path"), said("steps", lambda x: F.concat(x["src"].cast("string"), F.lit(">"), x["dst"].cast("string"))).alias("steps"))
+
+
 QUERIES = {f.__name__: f for f in (
     label_modularity,
     stream_replay, stream_windows,
+    walk_batches,
 )}
 
 _UNITS = "round(value * 100)::BIGINT"
 
+_ONE = f"{_dep(EDGE_LEAST)}, ge AS (SELECT 0 AS graph, src, dst, weight FROM e WHERE weight > 0), graphs AS (SELECT 0 AS graph), {walk_sql.walk_graph()}"
+_CHAINS = f"WITH RECURSIVE {_ONE}, {walk_sql.asked(20, 0, 3, 8)}, {walk_sql.chains()}"
+_DAGS = f"WITH RECURSIVE {_ONE}, {walk_sql.asked(12, 0, 3, 6)}, {walk_sql.dags()}"
+_STEPS = "s AS (SELECT walk, k - 1 AS pos, path[k] AS src, path[k + 1] AS dst FROM (SELECT walk, path, unnest(range(1, len(path))) AS k FROM chain)), linked AS (SELECT s.* FROM s SEMI JOIN e ON e.src = s.src AND e.dst = s.dst)"
+_FIRST = f"first AS (SELECT sample, arg_min(id, {walk_sql.draw(42, repr('start'), 'sample', 'id')}) AS id FROM n, (SELECT unnest(range(6)) AS sample) GROUP BY sample)"
+_LISTED = "array_to_string({}, ',')"
+#: Walks of a batch in order of their numbers, each kept if it is long enough, unlike those kept, and one is still wanted.
+_BATCHES = f"""WITH RECURSIVE {_dep(EDGE_LEAST)}, smp AS (SELECT sample AS graph, id FROM n, (SELECT unnest(range(8)) AS sample) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY ('0x' || substr(md5('42|' || sample || '|' || id), 1, 13))::BIGINT, id) <= 12),
+ge AS (SELECT x.graph, src, dst, weight FROM e JOIN smp x ON x.id = src JOIN smp y ON y.id = dst AND x.graph = y.graph WHERE weight > 0),
+graphs AS (SELECT graph FROM (SELECT graph, src AS id FROM ge UNION SELECT graph, dst FROM ge) GROUP BY graph HAVING count(*) >= 3), {walk_sql.walk_graph()}, {walk_sql.asked(80, 0, 3, 6)},
+kinds AS (SELECT *, CASE floor({walk_sql.draw(42, 'graph', 'walk', repr('kind'))} * 2) WHEN 0 THEN 'chain' ELSE 'dag' END AS kind FROM asked), ka AS (SELECT * FROM kinds WHERE kind = 'chain'), kd AS (SELECT * FROM kinds WHERE kind = 'dag'),
+{walk_sql.chains('ka')}, {walk_sql.dags('kd')},
+cs AS (SELECT graph, walk, path, [{{'src': path[i], 'dst': path[i + 1]}} FOR i IN range(1, len(path))] AS pairs FROM chain),
+own AS (SELECT graph, list({{'src': src, 'dst': dst}}) AS es FROM ge GROUP BY graph),
+cand AS (SELECT graph, walk, 'chain' AS kind, path, [x FOR x IN pairs IF list_contains(es, x)] AS steps FROM cs JOIN own USING (graph) UNION ALL SELECT graph, walk, 'dag', path, steps FROM dag_path),
+fit AS (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY walk) AS k FROM cand WHERE len(path) BETWEEN 3 AND 6),
+kept(graph, k, got) AS (
+  SELECT graph, 0, CAST([] AS STRUCT(walk BIGINT, path BIGINT[])[]) FROM graphs
+  UNION ALL
+  SELECT f.graph, f.k, CASE WHEN len(got) < 4 AND len([1 FOR x IN got IF {walk_sql.alike('x.path', 'f.path', 0.8)}]) = 0 THEN list_append(got, {{'walk': f.walk, 'path': f.path}}) ELSE got END FROM kept JOIN fit f ON f.graph = kept.graph AND f.k = kept.k + 1
+), last AS (SELECT graph, unnest(arg_max(got, k)).walk AS walk FROM kept GROUP BY graph)"""
+
 ORACLE = {
+    "chain_walks": f"{_CHAINS} SELECT walk, len(path) AS length, {_LISTED.format('path')} AS path FROM chain",
+    "walk_edges": f"{_CHAINS}, {_STEPS} SELECT walk, pos, src, dst FROM linked",
+    "dag_walks": f"{_DAGS} SELECT walk, {_LISTED.format('path')} AS path FROM dag_path",
+    "dag_layers": f"{_DAGS}, x AS (SELECT walk, unnest(nodes) AS n FROM dag) SELECT walk, n.depth::BIGINT AS depth, array_to_string(list_sort(list(n.id)), ',') AS nodes, count(*) > 1 AS parallel FROM x GROUP BY walk, n.depth",
+    "dag_facts": f"{_DAGS}, x AS (SELECT walk, unnest(nodes) AS n FROM dag), l AS (SELECT walk, n.depth AS depth, count(*) AS k FROM x GROUP BY ALL), lf AS (SELECT walk, count(*) AS n_layers, count(*) FILTER (k > 1) AS n_parallel, max(k) AS widest FROM l GROUP BY walk), i AS (SELECT walk, sum(k) FILTER (k > 1) AS m FROM (SELECT walk, s.dst, count(*) AS k FROM (SELECT walk, unnest(steps) AS s FROM dag) GROUP BY ALL) GROUP BY walk) SELECT dag.walk, len(nodes)::BIGINT AS n_nodes, len(steps)::BIGINT AS n_edges, n_layers, n_parallel, widest, coalesce(m, 0)::BIGINT AS n_merges FROM dag JOIN lf USING (walk) LEFT JOIN i USING (walk)",
+    "valid_walks": f"{_CHAINS}, fit AS (SELECT *, row_number() OVER (ORDER BY walk) AS k FROM chain WHERE len(path) BETWEEN 3 AND 8), kept(k, got) AS (SELECT 0, CAST([] AS STRUCT(walk BIGINT, path BIGINT[])[]) UNION ALL SELECT f.k, CASE WHEN len([1 FOR x IN got IF {walk_sql.alike('x.path', 'f.path', 0.8)}]) = 0 THEN list_append(got, {{'walk': f.walk, 'path': f.path}}) ELSE got END FROM kept JOIN fit f ON f.k = kept.k + 1), last AS (SELECT unnest(arg_max(got, k)) AS g FROM kept) SELECT g.walk AS walk, array_to_string(g.path, ',') AS path FROM last",
+    "walk_subgraph": f"{_CHAINS}, m AS (SELECT DISTINCT walk, unnest(path) AS id FROM chain) SELECT x.walk, src, dst FROM e JOIN m x ON x.id = src JOIN m y ON y.id = dst AND y.walk = x.walk",
+    "sample_bfs": f"WITH RECURSIVE {_dep(EDGE_LEAST)}, {_FIRST}, {walk_sql.spread('first', 3, 12)} SELECT sample, pos, id FROM bfs",
+    "sample_tree": f"WITH RECURSIVE {_dep(EDGE_LEAST)}, {_DEG}, first AS (SELECT row_number() OVER (ORDER BY out_degree DESC, id) AS sample, id FROM deg ORDER BY out_degree DESC, id LIMIT 6), {walk_sql.spread('first', 2, 12, unvisited=True)} SELECT sample, pos, id FROM bfs",
+    "sample_dfs": f"WITH RECURSIVE {_dep(EDGE_LEAST)}, {_FIRST}, {walk_sql.by_depth('first', 2, 8)} SELECT sample, pos, id FROM dfs",
+    "connected_samples": f"WITH RECURSIVE {_dep(EDGE_LEAST)}, {_FIRST}, {walk_sql.spread('first', 3, 12)}, inside AS (SELECT x.sample, src, dst FROM e JOIN bfs x ON x.id = src JOIN bfs y ON y.id = dst AND y.sample = x.sample), both_ways AS (SELECT * FROM inside UNION SELECT sample, dst, src FROM inside), far(sample, id) AS (SELECT sample, id FROM bfs WHERE pos = 0 UNION SELECT b.sample, b.dst FROM far JOIN both_ways b ON b.sample = far.sample AND b.src = far.id) SELECT sample, count(*) AS n FROM bfs WHERE sample IN (SELECT sample FROM far GROUP BY sample HAVING count(*) = (SELECT count(*) FROM bfs z WHERE z.sample = far.sample)) GROUP BY sample",
+    "walk_batches": f"{_BATCHES} SELECT f.graph, f.walk, f.kind, array_to_string(f.path, ',') AS path, array_to_string([x.src || '>' || x.dst FOR x IN f.steps], ',') AS steps FROM fit f JOIN last USING (graph, walk)",
     "label_modularity": f"WITH {_CLOSE}, w AS (SELECT src, dst, sim FROM e UNION ALL SELECT dst, src, sim FROM e), l AS (SELECT vec_id AS id, label FROM embeddings), x AS (SELECT a.label AS la, b.label AS lb, sim FROM w JOIN l a ON a.id = src JOIN l b ON b.id = dst), c AS (SELECT la, sum(sim) AS volume, coalesce(sum(sim) FILTER (la = lb), 0) AS inside FROM x GROUP BY la) SELECT round(sum(inside) / sum(volume) - sum(volume * volume) / (sum(volume) * sum(volume)), 6) AS modularity FROM c",
     "stream_replay": f"SELECT user_id AS episode, event_id AS seq, row_number() OVER w AS snapshot_id, event_type <> 'error' AS success, count(*) FILTER (event_type <> 'error') OVER w AS n, coalesce(sum({_UNITS}) FILTER (event_type <> 'error') OVER w, 0)::BIGINT AS units FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "stream_windows": f"SELECT (epoch_us(ts) // 3600000000) * 3600000000 AS start_us, CASE WHEN event_type = 'error' THEN 'refuse' ELSE 'record' END AS tool, count(*) AS n, sum({_UNITS})::BIGINT AS units FROM events GROUP BY ALL",

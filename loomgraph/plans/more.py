@@ -421,7 +421,7 @@ def walk_tools(spark, d):
 
 
 def _chains(spark, d):
-    return walks.chain_walks(spark, _edges(spark, d), 20, 8, written)
+    return walks.chain_walks(spark, _edges(spark, d), 20, 8, written, least=3)
 
 
 def valid_walks(spark, d):
@@ -434,7 +434,7 @@ def walk_subgraph(spark, d):
 
 
 def _dags(spark, d):
-    return written(walks.dag_walks(spark, _edges(spark, d), 12, 6, written))
+    return written(walks.dag_walks(spark, _edges(spark, d), 12, 6, written, least=3))
 
 
 def dag_walks(spark, d):

@@ -266,13 +266,13 @@ def label_communities(spark, d):
 
 
 def chain_walks(spark, d):
-    w = walks.chain_walks(spark, _edges(spark, d), 20, 8, written)
+    w = walks.chain_walks(spark, _edges(spark, d), 20, 8, written, least=3)
     return w.select("walk", F.size("path").cast("long").alias("length"), F.array_join("path", ",").alias("path"))
 
 
 def walk_edges(spark, d):
     e = _edges(spark, d)
-    return walks.walk_edges(walks.chain_walks(spark, e, 20, 8, written), e)
+    return walks.walk_edges(walks.chain_walks(spark, e, 20, 8, written, least=3), e)
 
 
 QUERIES = {f.__name__: f for f in (
