@@ -82,7 +82,7 @@ def simple_parameters(params: Column) -> Column:
 
 
 def call_schemas(tool_rows: DataFrame) -> DataFrame:
-    """(ingest_seq, schema): the function-call JSON of each valid tool, parameters in source order."""
+    """(ingest_seq, schema): the function-call JSON of each valid tool, parameters in source order; none are an empty object. Nested ones: see ``schemas``."""
     t = tool_rows.where("status = 'fixed'")
     one = F.struct("type", "description", F.col("default_json").alias("default"))
     p = parameters(t).groupBy("ingest_seq").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("pname").alias("key"), one.alias("value")))).alias("ps"))
@@ -90,4 +90,4 @@ def call_schemas(tool_rows: DataFrame) -> DataFrame:
     required = F.coalesce(F.from_json(F.get_json_object("params", "$.required"), "array<string>"), F.array().cast("array<string>"))
     inner = F.struct(F.lit("object").alias("type"), props.alias("properties"), required.alias("required"))
     made = F.struct(F.lit("function").alias("type"), F.struct("name", "description", inner.alias("parameters")).alias("function"))
-    return t.join(p, "ingest_seq").select("ingest_seq", F.to_json(made).alias("schema"))
+    return t.join(p, "ingest_seq", "left").withColumn("ps", F.coalesce("ps", F.array().cast(p.schema["ps"].dataType))).select("ingest_seq", F.to_json(made).alias("schema"))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import communities, graph, replay, similarity, walks
-from ..sources.views import calls, table
+from ..operators import catalog, communities, graph, replay, schemas, similarity, texts, walks
+from ..sources.views import calls, nested_tools, table
 from ..streaming import stateful
 from . import walk_sql
 from .queries import _CLOSE, _DEG, EDGE_LEAST, _close, _dep, _edges, _nodes
@@ -98,10 +98,60 @@ def walk_batches(spark, d):
     return w.select("graph", "walk", "kind", said("path", lambda x: x.cast("string")).alias("path"), said("steps", lambda x: F.concat(x["src"].cast("string"), F.lit(">"), x["dst"].cast("string"))).alias("steps"))
 
 
+# nested schemas, and tools alike by their texts
+
+
+def _nested(spark, d):
+    return catalog.tools(nested_tools(spark, d)).where("status = 'fixed'").select(F.col("ingest_seq").alias("id"), "name", "description", "params", "returns")
+
+
+def nested_schemas(spark, d):
+    """The schema of every tool, and as callers of two platforms take it."""
+    g = written(schemas.generic_schemas(_nested(spark, d), written))
+    called = schemas.for_platform(g, F.when(F.col("id") % 2 == 0, "openai").otherwise("other")).withColumnRenamed("schema", "called")
+    return g.select("id", "schema").join(called, "id").withColumnRenamed("id", "ingest_seq")
+
+
+def nested_fields(spark, d):
+    """Every field of every tool's parameters, at any depth."""
+    f = schemas.flat_fields(_nested(spark, d).select("id", schemas.simplified(F.col("params")).alias("body")), written)
+    return f.select(F.col("id").alias("ingest_seq"), "level", "name", "type", "description")
+
+
+def tool_outputs(spark, d):
+    o = schemas.outputs(_nested(spark, d))
+    return o.select(F.col("id").alias("ingest_seq"), F.col("pos").cast("long").alias("pos"), "name", "text")
+
+
+def tool_texts(spark, d):
+    t = schemas.embedding_texts(_nested(spark, d))
+    return t.select(F.col("id").alias("ingest_seq"), F.col("slot").cast("long").alias("slot"), "role", "text")
+
+
+def tool_vectors(spark, d):
+    v = texts.hashed_vectors(schemas.embedding_texts(_nested(spark, d)))
+    return v.select(F.col("id").alias("ingest_seq"), F.col("slot").cast("long").alias("slot"), F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+def tool_text_edges(spark, d):
+    """Tools whose texts are alike on average above the default of edges; descriptions count against parameters."""
+    v = texts.hashed_vectors(schemas.embedding_texts(_nested(spark, d)))
+    return texts.alike_sets(v, 0.75, written).select("src", "dst", F.round("sim", 6).alias("sim"))
+
+
+def tool_text_neighbours(spark, d):
+    """The same at a low threshold, counted by tool: pairs of a description and parameters, and of parameters, are among them."""
+    v = texts.hashed_vectors(schemas.embedding_texts(_nested(spark, d)))
+    e = texts.alike_sets(v, 0.3, written)
+    ends = e.select(F.col("src").alias("ingest_seq"), "sim").unionAll(e.select("dst", "sim"))
+    return ends.groupBy("ingest_seq").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean_sim"))
+
+
 QUERIES = {f.__name__: f for f in (
     label_modularity,
     stream_replay, stream_windows,
     walk_batches,
+    nested_schemas, nested_fields, tool_outputs, tool_texts, tool_vectors, tool_text_edges, tool_text_neighbours,
 )}
 
 _UNITS = "round(value * 100)::BIGINT"
@@ -128,7 +178,32 @@ kept(graph, k, got) AS (
   SELECT f.graph, f.k, CASE WHEN len(got) < 4 AND len([1 FOR x IN got IF {walk_sql.alike('x.path', 'f.path', 0.8)}]) = 0 THEN list_append(got, {{'walk': f.walk, 'path': f.path}}) ELSE got END FROM kept JOIN fit f ON f.graph = kept.graph AND f.k = kept.k + 1
 ), last AS (SELECT graph, unnest(arg_max(got, k)).walk AS walk FROM kept GROUP BY graph)"""
 
+_NEST = """t AS (SELECT p_partkey AS id, lower(replace(trim(p_name), ' ', '_')) AS name, 'Handles ' || p_name || ' of brand ' || p_brand || '.' AS description, p_size, p_brand FROM part),
+texts AS (SELECT id, 0 AS slot, 'description' AS role, description AS text FROM t WHERE id % 3 = 0
+  UNION ALL SELECT id, 0, 'parameter', 'Size ' || p_size FROM t WHERE id % 3 = 1 UNION ALL SELECT id, 1, 'parameter', 'Place of the part' FROM t WHERE id % 3 = 1 UNION ALL SELECT id, 0, 'parameter', 'Only ' || p_brand FROM t WHERE id % 3 = 2)"""
+_VEC = f"""{_NEST}, words AS (SELECT id, slot, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS word FROM texts), tf AS (SELECT id, slot, word, count(*) AS tf FROM words GROUP BY ALL),
+idf AS (SELECT word, ln((1 + (SELECT count(*) FROM texts)) / (1 + count(*))) + 1 AS idf, md5(word) AS h FROM tf GROUP BY word),
+hashed AS (SELECT id, slot, ('0x' || substr(h, 1, 8))::BIGINT % 4096 AS dim, sum(CASE WHEN ('0x' || substr(h, 9, 1))::INT % 2 = 0 THEN 1 ELSE -1 END * tf * idf) AS v FROM tf JOIN idf USING (word) GROUP BY ALL HAVING abs(v) > 1e-12),
+vec AS (SELECT id, slot, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id, slot)) AS value FROM hashed)"""
+#: Equal sets of vectors are compared once: all pairs of kinds of sets, then of their tools.
+_SETS = f"""{_VEC}, one AS (SELECT id, slot, list({{'d': dim, 'v': round(value, 12)}} ORDER BY dim) AS x FROM vec GROUP BY ALL), whole AS (SELECT id, list(x ORDER BY slot) AS s FROM one GROUP BY id),
+sorts AS (SELECT s, row_number() OVER () AS k, len(s) AS n FROM (SELECT DISTINCT s FROM whole)), member AS (SELECT id, k FROM whole JOIN sorts USING (s)),
+flat AS (SELECT k, n, i, s[i] AS x FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM sorts)), parts AS (SELECT k, n, i, y.d AS d, y.v AS v FROM (SELECT k, n, i, unnest(x) AS y FROM flat)),
+dots AS (SELECT a.k AS ka, b.k AS kb, a.i AS i, b.i AS j, any_value(a.n * b.n) AS m, greatest(0, least(1, sum(a.v * b.v))) AS c FROM parts a JOIN parts b ON a.d = b.d AND a.k <= b.k GROUP BY ALL),
+sims AS (SELECT ka, kb, sum(c) / any_value(m) AS sim FROM dots GROUP BY ka, kb),
+pairs AS (SELECT least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst, sim FROM sims JOIN member a ON a.k = ka JOIN member b ON b.k = kb WHERE (ka < kb OR a.id < b.id) AND sim > 0.3)"""
+_INNER = """'{"size":{"type":"integer","description":"Size ' || p_size || '"},"where":{"type":"object","description":"Place of the part","properties":{"zone":{"type":"array","description":"Zones"},"shelf":{"type":"object","description":"","properties":{"row":{"type":"integer","description":"Row ' || p_size || '"}}}}},"tags":{"type":"array","description":"","default":["a",1]},"flag":{"type":"boolean","description":""}},"required":["size"]'"""
+_GENERIC = f"""{_NEST}, g AS (SELECT *, '{{"name":"' || name || '","description":"' || description || '"' AS lead, '{{"type":"object","properties":' || CASE id % 3 WHEN 0 THEN '{{}},"required":[]' WHEN 1 THEN {_INNER} ELSE '{{"brand":{{"type":"string","description":"Only ' || p_brand || '","default":"' || p_brand || '"}},"note":{{"type":"string","description":""}}}},"required":["brand"]' END || '}}' AS input,
+  CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN ',"returns":"int"' WHEN 2 THEN ',"returns":{{"type":"float","description":"Price"}}' ELSE ',"returns":{{"type":"dict","properties":{{"price":{{"type":"float","description":"Price"}},"stock":{{"type":"int"}}}}}}' END AS back FROM t)"""
+
 ORACLE = {
+    "nested_schemas": f"""WITH {_GENERIC} SELECT id AS ingest_seq, lead || ',"input_schema":' || input || back || '}}' AS schema, CASE WHEN id % 2 = 0 THEN '{{"type":"function","function":' || lead || ',"parameters":' || input || '}}}}' ELSE lead || ',"input_schema":' || input || '}}' END AS called FROM g""",
+    "nested_fields": f"WITH {_NEST} SELECT id AS ingest_seq, f.level::BIGINT AS level, f.name AS name, f.type AS type, CASE f.name WHEN 'size' THEN 'Size ' || p_size WHEN 'where.shelf.row' THEN 'Row ' || p_size WHEN 'brand' THEN 'Only ' || p_brand ELSE f.about END AS description FROM (SELECT *, unnest(CASE id % 3 WHEN 1 THEN [{{'level': 0, 'name': 'size', 'type': 'int', 'about': NULL}}, {{'level': 0, 'name': 'where', 'type': 'dict', 'about': 'Place of the part'}}, {{'level': 1, 'name': 'where.zone', 'type': 'list', 'about': 'Zones'}}, {{'level': 1, 'name': 'where.shelf', 'type': 'dict', 'about': NULL}}, {{'level': 2, 'name': 'where.shelf.row', 'type': 'int', 'about': NULL}}, {{'level': 0, 'name': 'tags', 'type': 'list', 'about': NULL}}, {{'level': 0, 'name': 'flag', 'type': 'bool', 'about': NULL}}] WHEN 2 THEN [{{'level': 0, 'name': 'brand', 'type': 'str', 'about': NULL}}, {{'level': 0, 'name': 'note', 'type': 'str', 'about': NULL}}] ELSE [] END) AS f FROM t)",
+    "tool_outputs": f"WITH {_NEST} SELECT id AS ingest_seq, o.pos::BIGINT AS pos, o.name AS name, o.text AS text FROM (SELECT id, unnest(CASE id % 4 WHEN 1 THEN [{{'pos': 0, 'name': 'return_value', 'text': 'int'}}] WHEN 2 THEN [{{'pos': 0, 'name': 'return_value', 'text': 'float: Price'}}] WHEN 3 THEN [{{'pos': 0, 'name': 'price', 'text': 'float: Price'}}, {{'pos': 1, 'name': 'stock', 'text': 'int'}}] ELSE [] END) AS o FROM t)",
+    "tool_texts": f"WITH {_NEST} SELECT id AS ingest_seq, slot::BIGINT AS slot, role, text FROM texts",
+    "tool_vectors": f"WITH {_VEC} SELECT id AS ingest_seq, slot::BIGINT AS slot, dim, round(value, 6) AS value FROM vec",
+    "tool_text_edges": f"WITH {_SETS} SELECT src, dst, round(sim, 6) AS sim FROM pairs WHERE sim > 0.75",
+    "tool_text_neighbours": f"WITH {_SETS} SELECT ingest_seq, count(*) AS n, round(avg(sim), 6) AS mean_sim FROM (SELECT src AS ingest_seq, sim FROM pairs UNION ALL SELECT dst, sim FROM pairs) GROUP BY ingest_seq",
     "chain_walks": f"{_CHAINS} SELECT walk, len(path) AS length, {_LISTED.format('path')} AS path FROM chain",
     "walk_edges": f"{_CHAINS}, {_STEPS} SELECT walk, pos, src, dst FROM linked",
     "dag_walks": f"{_DAGS} SELECT walk, {_LISTED.format('path')} AS path FROM dag_path",

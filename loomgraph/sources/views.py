@@ -44,3 +44,16 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(episode, seq, tool, amount, args, ok): the call log of each user."""
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("episode"), F.col("event_id").alias("seq"), F.col("event_type").alias("tool"), F.col("value").alias("amount"), F.col("props").alias("args"), (F.col("event_type") != "error").alias("ok"), "ts")
+
+
+def nested_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ingest_seq, raw, domain): a record for each part: a third without parameters (none, or an empty object), a third with
+    nested ones, a third as a schema; returns of each form, or none."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    inner = F.concat(F.lit('{"size":{"type":"int","description":"Size '), size, F.lit('"},"where":{"type":"dict","description":"Place of the part","properties":{"zone":{"type":"list","description":"Zones"},"shelf":{"type":"dict","properties":{"row":{"type":"int","description":"Row '), size, F.lit('"}}}}},"tags":{"type":"list","default":["a",1]},"flag":"bool","required":["size"]}'))
+    schema = F.concat(F.lit('{"type":"dict","properties":{"brand":{"type":"str","description":"Only '), "p_brand", F.lit('","default":"'), "p_brand", F.lit('"},"note":{"type":"str"}},"required":["brand"]}'))
+    params = F.when(k % 3 == 0, F.when(k % 2 == 0, F.lit(',"parameters":{}')).otherwise("")).otherwise(F.concat(F.lit(',"parameters":'), F.when(k % 3 == 1, inner).otherwise(schema)))
+    returns = F.when(k % 4 == 0, "").when(k % 4 == 1, F.lit(',"returns":"int"')).when(k % 4 == 2, F.lit(',"returns":{"type":"float","description":"Price"}')).otherwise(F.lit(',"returns":{"type":"dict","properties":{"price":{"type":"float","description":"Price"},"stock":{"type":"int"}}}'))
+    raw = F.concat(F.lit('{"name":"'), "p_name", F.lit('","description":"Handles '), "p_name", F.lit(" of brand "), "p_brand", F.lit('."'), params, returns, F.lit("}"))
+    return p.select(k.alias("ingest_seq"), raw.alias("raw"), F.col("p_type").alias("domain"))
