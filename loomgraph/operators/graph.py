@@ -165,6 +165,26 @@ def strong_components(nodes: DataFrame, edges: DataFrame, table, rounds: int = 1
     return done if done is not None else nodes.select("id", F.col("id").alias("component"))
 
 
+def topo_order(nodes: DataFrame, edges: DataFrame, table) -> DataFrame:
+    """(id, level, component, depth): an order of all nodes, cyclic or not, by (level, component, depth, id).
+
+    Nodes that reach each other are one strong component; the level is the longest path of components that ends in it, so every
+    edge between components goes to a higher level. Within one, depth is the number of steps from its smallest id."""
+    comp = table(strong_components(nodes, edges, table))
+    of = lambda end: comp.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
+    e = table(edges.where("src <> dst").select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst"))
+    between = e.where("c_src <> c_dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).distinct()
+    level = topo_levels(comp.select(F.col("component").alias("id")).distinct(), between, table)
+    inner = table(e.where("c_src = c_dst").select("src", "dst"))
+    front = table(comp.where("id = component").select("id"))
+    seen, depth = front.withColumn("depth", F.lit(0).cast("long")), 0
+    while not front.isEmpty():
+        depth += 1
+        front = table(front.withColumnRenamed("id", "src").join(inner, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
+        seen = table(seen.unionAll(front.withColumn("depth", F.lit(depth).cast("long"))))
+    return comp.join(level.withColumnRenamed("id", "component"), "component").join(seen, "id").select("id", "level", "component", "depth")
+
+
 def label_communities(nodes: DataFrame, edges: DataFrame, table, rounds: int = 10) -> DataFrame:
     """(id, community): weighted label propagation on undirected edges(src, dst, weight).
 

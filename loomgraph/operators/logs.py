@@ -12,6 +12,15 @@ def validation_report(calls: DataFrame) -> DataFrame:
     return r.withColumn("success_rate", F.round(100.0 * F.col("passed") / F.col("total"), 2))
 
 
+def named_report(calls: DataFrame) -> DataFrame:
+    """One row: total, passed, failed, success_rate (0 of no tools) and the failed tools in order; a tool passes if all its calls do.
+    Tools are few next to calls: one name each."""
+    t = calls.groupBy("tool").agg(F.bool_and("ok").alias("ok"))
+    names = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("tool"))))
+    r = t.agg(F.count("*").alias("total"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), names.alias("failed_tools"))
+    return r.withColumn("success_rate", F.when(F.col("total") > 0, F.round(100.0 * F.col("passed") / F.col("total"), 2)).otherwise(0.0))
+
+
 def batch_summary(calls: DataFrame) -> DataFrame:
     """One row: total, successful and failed episodes. An episode succeeds if all its calls do."""
     e = calls.groupBy("episode").agg(F.bool_and("ok").alias("ok"))

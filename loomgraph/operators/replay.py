@@ -84,3 +84,15 @@ def repaired(tests: DataFrame, attempts: list[Tools], initial: dict) -> tuple[in
         if results.where(~F.col("success")).isEmpty():
             return k, results
     return len(attempts) - 1, results
+
+
+def register_table_function(spark, name: str, tools: Tools, initial: dict) -> None:
+    """Make tools a table function of SQL: ``name``(TABLE(tests) PARTITION BY tool) gives (tool, test_id, success, message, results)
+    for each row (tool, test_id, parameters) of the table, every one from the same initial state."""
+
+    class Run:
+        def eval(self, row):
+            ok, got, _ = tools.run(row["tool"], initial, json.loads(row["parameters"]) if row["parameters"] else {})
+            yield row["tool"], row["test_id"], ok, None if ok else got, canonical(got) if ok else None
+
+    spark.udtf.register(name, F.udtf(Run, returnType="tool string, test_id string, success boolean, message string, results string"))

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, communities, graph, replay, schemas, similarity, texts, walks
+from ..functions import text
+from ..operators import catalog, communities, graph, logs, messages, replay, schemas, similarity, texts, walks
+from ..sources import documents, sinks
 from ..sources.views import calls, nested_tools, table
 from ..streaming import stateful
 from . import walk_sql
-from .queries import _CLOSE, _DEG, EDGE_LEAST, _close, _dep, _edges, _nodes
+from .queries import _CLOSE, _DEG, EDGE_LEAST, _both, _close, _dep, _edges, _nodes
 from .written import shared, written
 
 # communities
@@ -147,11 +149,139 @@ def tool_text_neighbours(spark, d):
     return ends.groupBy("ingest_seq").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean_sim"))
 
 
+# messages
+
+
+def _messages(spark, d):
+    """Conversations in which some turns reset the memory, and some hold blocks: results, thoughts, texts and calls."""
+    m = table(spark, d, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), "role", F.col("text").alias("content"))
+    k, id_ = (F.col("conv") + F.col("pos")) % 5, F.concat(F.lit("c"), F.col("conv").cast("string"), F.lit("_"), F.col("pos").cast("string"))
+    said = F.to_json(F.struct(F.lit("text").alias("type"), F.col("content").alias("text")))
+    use = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.struct(id_.alias("id"), F.lit("look_up").alias("name"), F.struct(F.col("pos").alias("turn")).alias("input")).alias("tool_use")))
+    think = F.to_json(F.struct(F.lit("thinking").alias("type"), F.concat(F.lit("Thought "), id_).alias("thinking")))
+    result = F.to_json(F.struct(F.lit("tool_result").alias("type"), id_.alias("tool_use_id"), F.col("content").alias("content")))
+    listed = lambda *x: F.concat(F.lit("["), F.concat_ws(",", *x), F.lit("]"))
+    blocks = F.when((F.col("role") == "user") & (k == 1), listed(result, said, result)).when((F.col("role") == "assistant") & (k == 2), listed(F.lit('{"type":"text","text":"before"}'), think, use, said, use))
+    calls_ = F.concat(F.lit('[{"id":"'), id_, F.lit('","name":"look_up","arguments":{"turn":'), F.col("pos").cast("string"), F.lit("}}]"))
+    content = F.when((F.col("role") == "assistant") & (k == 3), F.concat("content", F.lit(text.MARKER), calls_)).when((F.col("role") == "assistant") & (k == 4), F.concat("content", F.lit(text.MARKER), F.lit("{broken"))).otherwise(F.col("content"))
+    return m.select("conv", "pos", F.when(k == 0, "system").otherwise(F.col("role")).alias("role"), content.alias("content"), F.when(k != 0, blocks).alias("blocks"))
+
+
+def message_memory(spark, d):
+    m = messages.memory(_messages(spark, d), chunk=4)
+    return m.select("conv", "pos", "segment", "place", "role", "current")
+
+
+def format_history(spark, d):
+    return messages.format_history(_messages(spark, d), chunk=4)
+
+
+def json_in_prose(spark, d):
+    """JSON of each shape that stands in a text without a fence."""
+    c, k, n = calls(spark, d), F.col("seq") % 5, F.col("seq").cast("string")
+    shapes = [F.concat(F.lit("see [["), n, F.lit(", 2], [3]] ok")), F.concat(F.lit('so {"a": {"b": '), n, F.lit("}} and {x}")), F.concat(F.lit('deep {"a": {"b": {"c": "'), n, F.lit('"}}} end')), F.concat(F.lit("rows [["), n, F.lit("]] then [1]")), F.concat(F.lit("none {"), n, F.lit(" ["))]
+    said = F.element_at(F.array(*shapes), (k + 1).cast("int"))
+    return c.select("seq", text.extract_json(said).alias("found"))
+
+
+# documents
+
+
+def _customer_walks(spark, d):
+    """(id, walk_type, sequence, length): the parts that each customer bought, in order, as a walk; an even number of them is a dag."""
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    p = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("sequence"))
+    return p.select(F.concat(F.lit("walk_"), F.col("o_custkey").cast("string")).alias("id"), F.when(F.size("sequence") % 2 == 0, "dag").otherwise("chain").alias("walk_type"), "sequence", F.size("sequence").cast("long").alias("length"))
+
+
+def walk_files(spark, d):
+    """Walks as a document each, read back."""
+    path = f"{shared(spark)}/{uuid.uuid4().hex}/walks"
+    sinks.save_walks(_customer_walks(spark, d), path)
+    return documents.read_walks(spark, path).select("id", "walk_type", F.array_join("sequence", ",").alias("path"), "length")
+
+
+def task_files(spark, d):
+    """Tasks as a document each and their summary, read back; the summary is the row without a walk."""
+    path = f"{shared(spark)}/{uuid.uuid4().hex}/tasks"
+    w = _customer_walks(spark, d)
+    sinks.save_tasks(w.select(F.concat(F.lit("task_"), "id").alias("id"), F.col("id").alias("walk_id"), "walk_type", F.concat(F.lit("Use "), F.col("length").cast("string"), F.lit(" tools.")).alias("task_description"), F.col("sequence").alias("function_sequence"), F.least(F.col("length") / 10.0, F.lit(1.0)).alias("complexity")), path)
+    t = documents.read_tasks(spark, path).select("id", "walk_id", F.col("task_description").alias("said"), F.size("function_sequence").cast("long").alias("n"))
+    get = lambda k: F.get_json_object("body", f"$.{k}")
+    mean = lambda k: F.round(get(k).cast("double"), 6).cast("decimal(18,6)").cast("string")
+    s = documents.read_documents(spark, path, "tasks_summary").select("name", F.lit(None).cast("string"), F.concat_ws("|", get("statistics.walk_types.chain"), get("statistics.walk_types.dag"), mean("statistics.avg_complexity"), mean("statistics.avg_sequence_length")), get("total_tasks").cast("long"))
+    return t.where("id is not null").unionAll(s)
+
+
+def json_array_append(spark, d):
+    """Events written as one JSON array, those of errors appended to it, read back as one document."""
+    path = f"{shared(spark)}/{uuid.uuid4().hex}/events.json"
+    e = table(spark, d, "events").select("event_id", "event_type", "props")
+    sinks.save_json(e, path)
+    sinks.save_json(e.where("event_type = 'error'"), path, append=True)
+    got = spark.read.schema("event_id long, event_type string, props string").option("multiLine", "true").json(path)
+    return got.groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def trajectory_files(spark, d):
+    """Stretches of episodes without an error as a document each, the others listed, read back."""
+    path = f"{shared(spark)}/{uuid.uuid4().hex}/trajectories"
+    e = calls(spark, d).groupBy("episode", F.floor(F.col("seq") / 100).alias("part")).agg(F.count("*").alias("n"), F.bool_and("ok").alias("success"))
+    name = F.concat_ws("_", F.lit("t"), "episode", "part")
+    sinks.save_trajectories(e.select(name.alias("id"), F.concat(F.lit("walk_"), name).alias("walk_id"), "success", "n"), path)
+    good = documents.read_documents(spark, path, "t_").select(F.col("name").alias("id"), F.get_json_object("body", "$.n").cast("long").alias("n"), F.lit(True).alias("success"))
+    # files whose names begin with an underscore are hidden from Spark's readers of folders, as summaries of a folder should be
+    bad = spark.read.schema("walk_id string").option("multiLine", "true").json(f"{path}/failed_walks.json").select(F.substring("walk_id", 6, 100).alias("id"), F.lit(None).cast("long"), F.lit(False))
+    s = spark.read.schema("total long, successful long, failed long").option("multiLine", "true").json(f"{path}/generation_summary.json")
+    return good.unionAll(bad).unionAll(s.select(F.lit("summary"), F.col("total"), F.col("failed") == 0))
+
+
+# tools in SQL
+
+
+def execute_tests(spark, d):
+    """Tests of tools run by a table function in plain SQL."""
+
+    def record(data, k):
+        if k % 7 == 0:
+            raise ValueError(f"bad k: {k}")
+        return {"k": k, "half": k // 2}
+
+    tools = replay.Tools()
+    for name in ("click", "view", "purchase", "signup"):
+        tools.register(name, record)
+    replay.register_table_function(spark, "run_tools", tools, {})
+    c = calls(spark, d).select("tool", F.col("seq").cast("string").alias("test_id"), F.col("args").alias("parameters"))
+    c.createOrReplaceTempView("tool_tests")
+    return spark.sql("SELECT tool, test_id, success, message, get_json_object(results, '$.half') AS half FROM run_tools(TABLE(tool_tests) PARTITION BY tool)")
+
+
+def report_by_name(spark, d):
+    r = logs.named_report(calls(spark, d))
+    return r.select("total", "passed", "failed", "success_rate", F.array_join("failed_tools", ",").alias("failed_tools"))
+
+
+def topo_order(spark, d):
+    return graph.topo_order(_nodes(spark, d), similarity.dependency_edges(_both(spark, d), 0.3), written)
+
+
+def query_zip_checked(spark, d):
+    """Queries and nodes of a conversation by place; those without a partner say so."""
+    m = table(spark, d, "conversations")
+    nth = F.expr("row_number() over (partition by conv_id, role order by turn)").cast("long") - 1
+    x = m.select("conv_id", "role", "turn", "text", nth.alias("pos"))
+    u = x.where("role = 'user'").select("conv_id", "pos", F.col("text").alias("query"))
+    a = x.where("role = 'assistant'").select("conv_id", "pos", F.col("turn").alias("node"))
+    status = F.when(F.col("query").isNull(), "no query").when(F.col("node").isNull(), "no node").otherwise("paired")
+    return u.join(a, ["conv_id", "pos"], "full_outer").select("conv_id", "pos", "node", status.alias("status"))
+
+
 QUERIES = {f.__name__: f for f in (
     label_modularity,
     stream_replay, stream_windows,
     walk_batches,
     nested_schemas, nested_fields, tool_outputs, tool_texts, tool_vectors, tool_text_edges, tool_text_neighbours,
+    message_memory, format_history, json_in_prose, walk_files, task_files, json_array_append, trajectory_files, execute_tests, report_by_name, topo_order, query_zip_checked,
 )}
 
 _UNITS = "round(value * 100)::BIGINT"
@@ -196,7 +326,29 @@ _INNER = """'{"size":{"type":"integer","description":"Size ' || p_size || '"},"w
 _GENERIC = f"""{_NEST}, g AS (SELECT *, '{{"name":"' || name || '","description":"' || description || '"' AS lead, '{{"type":"object","properties":' || CASE id % 3 WHEN 0 THEN '{{}},"required":[]' WHEN 1 THEN {_INNER} ELSE '{{"brand":{{"type":"string","description":"Only ' || p_brand || '","default":"' || p_brand || '"}},"note":{{"type":"string","description":""}}}},"required":["brand"]' END || '}}' AS input,
   CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN ',"returns":"int"' WHEN 2 THEN ',"returns":{{"type":"float","description":"Price"}}' ELSE ',"returns":{{"type":"dict","properties":{{"price":{{"type":"float","description":"Price"}},"stock":{{"type":"int"}}}}}}' END AS back FROM t)"""
 
+_MSG = """m AS (SELECT conv_id AS conv, turn AS pos, role AS r0, text, (conv_id + turn) % 5 AS k, 'c' || conv_id || '_' || turn AS id FROM conversations),
+x AS (SELECT *, CASE WHEN k = 0 THEN 'system' ELSE r0 END AS role FROM m)"""
+_CALL = """'{"id":"' || id || '","type":"function","function":{"name":"look_up","arguments":{"turn":' || pos || '}}}'"""
+_MARK = "chr(10) || chr(10) || '[Tool Calls]' || chr(10)"
+_WALKED = "w AS (SELECT 'walk_' || o_custkey AS id, list_sort(list(DISTINCT l_partkey)) AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey), kw AS (SELECT *, len(path) AS n, CASE WHEN len(path) % 2 = 0 THEN 'dag' ELSE 'chain' END AS kind FROM w)"
+
 ORACLE = {
+    "message_memory": f"WITH {_MSG}, s AS (SELECT *, count(*) FILTER (role = 'system') OVER (PARTITION BY conv ORDER BY pos ROWS UNBOUNDED PRECEDING) AS segment FROM x) SELECT conv, pos, segment, row_number() OVER (PARTITION BY conv, segment ORDER BY pos) AS place, role, segment = max(segment) OVER (PARTITION BY conv) AS current FROM s",
+    "format_history": f"""WITH {_MSG}, f AS (
+  SELECT conv, pos, 0 AS sub, 'user' AS role, text AS content, NULL AS reasoning, NULL AS tool_call_id, NULL AS tool_calls FROM x WHERE role = 'user' AND k <> 1
+  UNION ALL SELECT conv, pos, s, 'tool', text, NULL, id, NULL FROM x, (SELECT unnest([0, 1]) AS s) WHERE role = 'user' AND k = 1
+  UNION ALL SELECT conv, pos, 0, 'assistant', text, 'Thought ' || id, NULL, '[' || {_CALL} || ',' || {_CALL} || ']' FROM x WHERE role = 'assistant' AND k = 2
+  UNION ALL SELECT conv, pos, 0, 'assistant', CASE k WHEN 3 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') WHEN 4 THEN text || {_MARK} || '{{broken' ELSE text END, '', NULL, CASE WHEN k = 3 THEN '[' || {_CALL} || ']' END FROM x WHERE role = 'assistant' AND k <> 2)
+SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY pos, sub) - 1 AS place, role, content, reasoning, tool_call_id, tool_calls FROM f""",
+    "json_in_prose": """SELECT event_id AS seq, CASE event_id % 5 WHEN 0 THEN '[[' || event_id || ', 2], [3]]' WHEN 1 THEN '{"a": {"b": ' || event_id || '}}' WHEN 2 THEN '{"b": {"c": "' || event_id || '"}}' WHEN 3 THEN '[[' || event_id || ']]' END AS found FROM events""",
+    "walk_files": f"WITH {_WALKED} SELECT id, kind AS walk_type, array_to_string(path, ',') AS path, n AS length FROM kw",
+    "task_files": f"WITH {_WALKED} SELECT 'task_' || id AS id, id AS walk_id, 'Use ' || n || ' tools.' AS said, n FROM kw UNION ALL SELECT 'tasks_summary', NULL, concat_ws('|', count(*) FILTER (kind = 'chain'), count(*) FILTER (kind = 'dag'), round(avg(least(n / 10.0, 1.0)), 6)::DECIMAL(18, 6), round(avg(n), 6)::DECIMAL(18, 6)), count(*) FROM kw",
+    "json_array_append": "SELECT event_type, json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_type = 'error') GROUP BY ALL",
+    "trajectory_files": "WITH e AS (SELECT concat_ws('_', 't', user_id, event_id // 100) AS id, count(*) AS n, bool_and(event_type <> 'error') AS ok FROM events GROUP BY ALL) SELECT id, CASE WHEN ok THEN n END AS n, ok AS success FROM e UNION ALL SELECT 'summary', count(*), bool_and(ok) FROM e",
+    "execute_tests": """WITH t AS (SELECT event_type AS tool, event_id::VARCHAR AS test_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events) SELECT tool, test_id, tool <> 'error' AND k % 7 <> 0 AS success, CASE WHEN tool = 'error' THEN 'KeyError: ''error''' WHEN k % 7 = 0 THEN 'ValueError: bad k: ' || k END AS message, CASE WHEN tool <> 'error' AND k % 7 <> 0 THEN (k // 2)::VARCHAR END AS half FROM t""",
+    "report_by_name": "WITH t AS (SELECT event_type AS tool, bool_and(event_type <> 'error') AS ok FROM events GROUP BY event_type) SELECT count(*) AS total, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, CASE WHEN count(*) > 0 THEN round(100.0 * count(*) FILTER (ok) / count(*), 2) ELSE 0 END::DOUBLE AS success_rate, coalesce(string_agg(tool, ',' ORDER BY tool) FILTER (NOT ok), '') AS failed_tools FROM t",
+    "topo_order": f"WITH RECURSIVE {_dep(0.3)}, r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src), c AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a), ce AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM e JOIN c a ON a.id = src JOIN c b ON b.id = dst WHERE a.component <> b.component), l(id, level) AS (SELECT component, 0::BIGINT FROM c UNION SELECT ce.dst, l.level + 1 FROM l JOIN ce ON ce.src = l.id), inner_e AS (SELECT e.src, e.dst FROM e JOIN c a ON a.id = src JOIN c b ON b.id = dst WHERE a.component = b.component), f(depth, got, front) AS (SELECT 0::BIGINT, list(DISTINCT component), list(DISTINCT component) FROM c UNION ALL SELECT depth + 1, list_concat(any_value(got), list(DISTINCT dst)), list(DISTINCT dst) FROM (SELECT f.depth, f.got, i.dst FROM f JOIN inner_e i ON list_contains(f.front, i.src) AND NOT list_contains(f.got, i.dst)) GROUP BY depth), d AS (SELECT unnest(front) AS id, depth FROM f) SELECT c.id, (SELECT max(level) FROM l WHERE l.id = c.component) AS level, c.component, d.depth FROM c JOIN d USING (id)",
+    "query_zip_checked": "WITH x AS (SELECT conv_id, role, turn, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS pos FROM conversations), u AS (SELECT * FROM x WHERE role = 'user'), a AS (SELECT * FROM x WHERE role = 'assistant') SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.pos, a.pos) AS pos, a.turn AS node, CASE WHEN u.conv_id IS NULL THEN 'no query' WHEN a.conv_id IS NULL THEN 'no node' ELSE 'paired' END AS status FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.pos = a.pos",
     "nested_schemas": f"""WITH {_GENERIC} SELECT id AS ingest_seq, lead || ',"input_schema":' || input || back || '}}' AS schema, CASE WHEN id % 2 = 0 THEN '{{"type":"function","function":' || lead || ',"parameters":' || input || '}}}}' ELSE lead || ',"input_schema":' || input || '}}' END AS called FROM g""",
     "nested_fields": f"WITH {_NEST} SELECT id AS ingest_seq, f.level::BIGINT AS level, f.name AS name, f.type AS type, CASE f.name WHEN 'size' THEN 'Size ' || p_size WHEN 'where.shelf.row' THEN 'Row ' || p_size WHEN 'brand' THEN 'Only ' || p_brand ELSE f.about END AS description FROM (SELECT *, unnest(CASE id % 3 WHEN 1 THEN [{{'level': 0, 'name': 'size', 'type': 'int', 'about': NULL}}, {{'level': 0, 'name': 'where', 'type': 'dict', 'about': 'Place of the part'}}, {{'level': 1, 'name': 'where.zone', 'type': 'list', 'about': 'Zones'}}, {{'level': 1, 'name': 'where.shelf', 'type': 'dict', 'about': NULL}}, {{'level': 2, 'name': 'where.shelf.row', 'type': 'int', 'about': NULL}}, {{'level': 0, 'name': 'tags', 'type': 'list', 'about': NULL}}, {{'level': 0, 'name': 'flag', 'type': 'bool', 'about': NULL}}] WHEN 2 THEN [{{'level': 0, 'name': 'brand', 'type': 'str', 'about': NULL}}, {{'level': 0, 'name': 'note', 'type': 'str', 'about': NULL}}] ELSE [] END) AS f FROM t)",
     "tool_outputs": f"WITH {_NEST} SELECT id AS ingest_seq, o.pos::BIGINT AS pos, o.name AS name, o.text AS text FROM (SELECT id, unnest(CASE id % 4 WHEN 1 THEN [{{'pos': 0, 'name': 'return_value', 'text': 'int'}}] WHEN 2 THEN [{{'pos': 0, 'name': 'return_value', 'text': 'float: Price'}}] WHEN 3 THEN [{{'pos': 0, 'name': 'price', 'text': 'float: Price'}}, {{'pos': 1, 'name': 'stock', 'text': 'int'}}] ELSE [] END) AS o FROM t)",
