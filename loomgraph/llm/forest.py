@@ -1,9 +1,13 @@
 """Embedding near-dedup with a forest of random-projection trees (operator 5).
 
 Equal vectors form a class, of which one goes on. Each tree splits space by
-random hyperplanes, one for each level, at the median of a bounded sample of the
-vectors that reached the node; vectors within ``SPILL`` of the split go to both
-sides. The number of levels grows with the number of vectors, so leaves don't.
+random hyperplanes, one for each level, at or near the median of a bounded sample
+of the vectors that reached the node; vectors near the split, measured by the
+node's own spread, go to both sides, so that a vector has about 1.13 copies a
+level and tree whatever its dimension. The number of levels grows with the number
+of vectors, so leaves of spread-out data don't. A node most of whose sampled
+pairs are links isn't split: it is a leaf, however large.
+
 Vectors of one leaf are compared by cosine in double precision, block by block.
 A pair counts in the first leaf that brings it together: every row of a leaf
 carries the leaves its vector reached before, as numbers, so pairs need not be
@@ -11,10 +15,13 @@ written down to be told apart, and a leaf gives each vector its number of new
 links, and edges that span the links.
 
 The number of trees is what spread-out data need (``enough``), or more where
-pairs of a sample meet less often, as those of a large group of loose copies do.
+near pairs of a sample meet less often, as those of a large group of loose copies
+do; there is no bound on it. Where the trees' leaves would hold as many pairs as
+there are, all vectors are one leaf, and the result is exact.
 
 A leaf with more than ``BLOCK`` rows (near copies of one vector) is cut into
-blocks, and each pair of blocks is a task of its own.
+blocks, and each pair of blocks is a task of its own: links of a group of m loose
+copies are m * m / 2 pairs, each of which has to be looked at to be counted.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing; vectors of unlike length never link; a null id links with
@@ -36,54 +43,96 @@ from .common import connected_components, materialise, table
 
 LEAST = 0.9
 LEAF = 256
-SPILL = 0.02
+#: Of a node's spread on either side of its split.
+SPILL = 0.16
 RECALL = 0.999
 SAMPLE = 8192
-TRIED, MOST_TREES = 2048, 40
+#: Sampled vectors that a node needs for a split of its own, and those whose pairs tell whether it is dense.
+FEW, PAIRED, DENSE = 24, 512, 0.3
+#: Quantiles where a node may be split, about which width (of its spread) is looked at, and how much emptier than the median they have to be.
+PLACES, NEAR, EMPTIER = np.linspace(0.35, 0.65, 7), 0.25, 0.6
+TRIED = 2048
+#: Near pairs that a tree brings together less often than this take too many trees.
+FAINT = 0.02
 BLOCK = 1024
 SEED = 17
 
 
 class Forest:
-    """``trees`` trees of ``levels`` levels over unit vectors of length ``dim``; split points from ``sample``."""
+    """``trees`` trees of ``levels`` levels over unit vectors of length ``dim``; split points from ``sample``.
+
+    A node is split at the median of its sampled vectors, or, where they crowd there (a group of loose copies lies across it),
+    at the emptiest of the places near it. Vectors within ``spill`` times the node's own spread of the split go to both sides,
+    so that copies don't grow with the dimension. A node of which ``DENSE`` of the sampled pairs are at ``least`` is a leaf: splits would
+    only part links, and blocks compare it whole."""
 
-    def __init__(self, sample: np.ndarray, dim: int, levels: int, trees: int = 6, spill: float = SPILL, seed: int = SEED):
+    def __init__(self, sample: np.ndarray, dim: int, levels: int, trees: int = 6, spill: float = SPILL, seed: int = SEED, least: float = LEAST):
         rng = np.random.default_rng(seed)
-        self.spill, self.levels = spill, levels
+        self.levels = levels
         self.planes = rng.normal(size=(trees, max(levels, 1), dim))
         self.planes /= np.linalg.norm(self.planes, axis=2, keepdims=True)
-        self.cuts: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        self.plain: list[list[float]] = []
+        #: (known nodes, their cuts, their spills, whether they are leaves) of each level of each tree, and what other nodes use
+        self.cuts: list[list[tuple[np.ndarray, ...]]] = []
+        self.plain: list[list[tuple[float, float]]] = []
         for t in range(trees):
-            node, cuts, plain = np.zeros(len(sample), np.int64), [], []
+            left, node, cuts, plain = sample, np.zeros(len(sample), np.int64), [], []
             for level in range(levels):
-                x = sample @ self.planes[t, level] if len(sample) else np.zeros(0)
-                plain.append(float(np.median(x)) if len(x) else 0.0)
-                # nodes with too few sampled vectors for a median use the level's
-                at = {int(k): float(np.median(x[node == k])) for k in np.unique(node) if (node == k).sum() >= 24}
-                cuts.append((np.array([*at], np.int64), np.array([*at.values()])))
-                node = 2 * node + (x > self.cut(cuts[-1], plain[-1], node))
+                x = left @ self.planes[t, level] if len(left) else np.zeros(0)
+                order = np.argsort(node, kind="stable")
+                bounds = np.flatnonzero(np.diff(node[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
+                known = []
+                for i, j in zip(bounds, [*bounds[1:], len(order)], strict=True):
+                    if j - i >= FEW:
+                        rows = order[i:j]
+                        known.append((int(node[rows[0]]), *self.split(x[rows]), self.dense(left[rows[:PAIRED]], least)))
+                # nodes with too few sampled vectors use what is usual on the level
+                usual = float(np.median([k[2] for k in known])) if known else 1 / math.sqrt(max(dim, 1))
+                plain.append((float(np.median(x)) if len(x) else 0.0, spill * usual))
+                cuts.append((np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known]), spill * np.array([k[2] for k in known]), np.array([k[3] for k in known], bool)))
+                cut, _, leaf = self.at(cuts[-1], plain[-1], node)
+                # sampled vectors of a leaf are looked at no more
+                left, node = left[~leaf], (2 * node + (x > cut))[~leaf]
             self.cuts.append(cuts)
             self.plain.append(plain)
 
     @staticmethod
-    def cut(cuts: tuple[np.ndarray, np.ndarray], plain: float, node: np.ndarray) -> np.ndarray:
-        """Where each of ``node`` is split: at its own cut, or at ``plain``."""
-        known, value = cuts
+    def split(x: np.ndarray) -> tuple[float, float]:
+        """(cut, spread) of the projections of a node's sampled vectors."""
+        places = np.quantile(x, PLACES)
+        spread = float(x.std())
+        crowd = (np.abs(x[:, None] - places) <= NEAR * spread).sum(0)
+        middle = len(PLACES) // 2
+        best = int(crowd.argmin())
+        return float(places[best if crowd[best] < EMPTIER * crowd[middle] else middle]), spread
+
+    @staticmethod
+    def dense(v: np.ndarray, least: float) -> bool:
+        near = (v @ v.T >= least).sum() - len(v)
+        return near >= DENSE * len(v) * (len(v) - 1)
+
+    @staticmethod
+    def at(cuts: tuple[np.ndarray, ...], plain: tuple[float, float], node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cut, spill, leaf) of each of ``node``."""
+        known, value, spill, leaf = cuts
         if not len(known):
-            return np.full(len(node), plain)
+            return np.full(len(node), plain[0]), np.full(len(node), plain[1]), np.zeros(len(node), bool)
         i = np.minimum(np.searchsorted(known, node), len(known) - 1)
-        return np.where(known[i] == node, value[i], plain)
+        found = known[i] == node
+        return np.where(found, value[i], plain[0]), np.where(found, spill[i], plain[1]), found & leaf[i]
 
     def leaves(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, leaves): those each vector falls into, as tree * 2**levels + leaf of the tree, in order."""
+        """(offsets, leaves): those each vector falls into, as tree * 2**levels + leaf of the tree, in order.
+        A node that is a leaf has the number of its leftmost place on the last level."""
         rows, leaves = [], []
         for t, planes in enumerate(self.planes):
             row, node = np.arange(len(v)), np.zeros(len(v), np.int64)
             for level in range(self.levels):
                 x = (v @ planes[level])[row]
-                cut = self.cut(self.cuts[t][level], self.plain[t][level], node)
-                left, right = x <= cut + self.spill, x > cut - self.spill
+                cut, spill, leaf = self.at(self.cuts[t][level], self.plain[t][level], node)
+                if leaf.any():
+                    rows.append(row[leaf])
+                    leaves.append((t << self.levels) + (node[leaf] << (self.levels - level)))
+                left, right = ~leaf & (x <= cut + spill), ~leaf & (x > cut - spill)
                 row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
             rows.append(row)
             leaves.append((t << self.levels) + node)
@@ -115,6 +164,33 @@ def meeting(forest: Forest, v: np.ndarray, least: float, pairs: int = 4000) -> f
     return float(np.mean(met)) / len(forest.planes)
 
 
+def grown(sample: np.ndarray, dim: int, levels: int, least: float = LEAST, trees: int | None = None, spill: float = SPILL) -> Forest:
+    """A forest of as many trees as spread-out data need, or more where near pairs of the sample meet less often; a single leaf,
+    which blocks compare exactly, where its trees would compare as many pairs as there are, or bring too few near pairs together to tell."""
+    whole = Forest(sample, dim, 0, 1, spill, least=least)
+    if not levels:
+        return whole
+    forest = Forest(sample, dim, levels, trees or enough(levels), spill, least=least)
+    if not trees:
+        met = meeting(forest, sample[:TRIED], least)
+        if met is not None:
+            if met < FAINT:
+                return whole
+            needed = math.ceil(math.log(1 - RECALL) / math.log(1 - min(met, 0.99)))
+            if needed > len(forest.planes):
+                forest = Forest(sample, dim, levels, needed, spill, least=least)
+        if len(sample) and work(forest, sample) >= 1:
+            return whole
+    return forest
+
+
+def work(forest: Forest, v: np.ndarray) -> float:
+    """Pairs that the leaves compare, as a share of all pairs; ``v`` tells how full they are."""
+    _, leaves = forest.leaves(v)
+    share = np.unique(leaves, return_counts=True)[1] / len(v)
+    return float((share * share).sum())
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, trees: int | None = None, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each vector."""
     spark = df.sparkSession
@@ -152,14 +228,8 @@ def _links(classes: DataFrame, dim: int, count: int, least: float, trees: int |
     kind = dict(classes.dtypes)["v"][6:-1]
     levels = max(0, math.ceil(math.log2(max(1, count / leaf))))
     sampled = classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect() if levels else []
-    sample = _unit([r.v for r in sampled]) if sampled else np.zeros((0, dim))
-    forest = Forest(sample, dim, levels, trees or (enough(levels) if levels else 1), spill)
-    if levels and not trees:
-        # near pairs of the sample tell whether a large tight group needs more trees than spread-out data
-        met = meeting(forest, sample[:TRIED], least)
-        needed = MOST_TREES if met is not None and met < 0.05 else math.ceil(math.log(1 - RECALL) / math.log(1 - min(met, 0.99))) if met is not None else 0
-        if needed > len(forest.planes):
-            forest = Forest(sample, dim, levels, min(needed, MOST_TREES), spill)
+    forest = grown(_unit([r.v for r in sampled]) if sampled else np.zeros((0, dim)), dim, levels, least, trees, spill)
+    levels = forest.levels
     # trees x levels planes, and cuts of at most the sample's size, go with the function: workers need no copy of this package to read them
     small = len(forest.planes) << levels < 1 << 31  # numbers of leaves
     number, number_type = ("int", pa.int32()) if small else ("long", pa.int64())
