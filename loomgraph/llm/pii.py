@@ -11,11 +11,13 @@ Trees are fitted on the driver. What they are to find is personal data that base
 patterns miss, so positives are base spans of a bounded sample of documents with
 the sign that gives them away taken off, in their own context: phone numbers
 without ``+``, cards with a digit changed, addresses with their ``@`` and last
-dot spelled out. Negatives are the sample's proposals that no base span meets.
-To both come planted ones, every pairing of the formats and contexts below, so
-that there are always two classes, whatever the sample holds. The threshold is
-the least score, at least even odds, that at most ``FALSE`` of the negatives of
-a held-out third reach. Scoring is a sum of CASEs.
+dot spelled out. What else the sample holds isn't known to be personal or not, so
+of its other proposals only those are negatives that are part of a longer token
+of letters and digits. To both come planted ones, every pairing of the formats
+and contexts below with drawn digits, so that there are always two classes,
+whatever the sample holds. The threshold is the least score, at least even odds,
+that at most ``FALSE`` of the negatives of a held-out third reach. Scoring is a
+sum of CASEs.
 
 Cases: a null text is an empty text and has no spans; proposals that overlap a
 base span are dropped, those that overlap each other are judged each by itself;
@@ -47,14 +49,21 @@ WORDS = r"(?i)(call|phone|tel|mobile|fax|contact|card|visa|account|iban|ssn|pass
 NEXT = r"(?i)(order|invoice|version|page|year|total|isbn|figure|chapter)"
 TRAIN_DOCS = 2000
 TRAIN_SPANS = 3000
-TREES = 12
+TREES = 30
 FALSE = 0.01
-FEATURES = ("digits", "length", "groups", "spaces", "dashes", "dots", "brackets", "longest", "shortest", "word_near", "other_word_near", "letter_before", "letter_after")
-#: Planted examples: contexts and formats of either class (fixed values).
+FEATURES = ("digits", "length", "groups", "spaces", "dashes", "dots", "brackets", "longest", "shortest", "first", "last", "zero_first", "year", "zeros", "luhn", "word_near", "other_word_near", "letter_before", "letter_after")
+#: Planted examples: contexts and formats of either class, # for a drawn digit (fixed values).
 PLANTED = {
-    1: (("call ", "phone: ", "my number is ", "contact me at ", "card ", ""), ("(555) 123-4567", "555-123-4567", "555 123 4567", "030 1234567", "0151-234-56789", "4111 1111 1111 1112", "4000-0012-3456-7890", "someone (at) example (dot) org", "a.person [at] mail [dot] example.com")),
-    0: (("order ", "version ", "page ", "in ", "total ", ""), ("2024-01-31", "31.12.1999", "10.20.30.4000", "1234567", "100 000 000", "3.14159265", "1998-2004 2010", "12 345 678.90", "0000000")),
+    1: (
+        ("call ", "phone: ", "my number is ", "contact me at ", "card ", "", "and then "),
+        ("(###) ###-####", "###-###-####", "### ### ####", "0## #######", "0###-###-#####", "0# ## ## ## ##", "00## ### #######", "4### #### #### ####", "5###-####-####-####", "################", "3### ###### #####", "###-##-####", "someone (at) example (dot) org", "a.person [at] mail [dot] example.com"),
+    ),
+    0: (
+        ("order ", "version ", "page ", "in ", "total ", "", "and then "),
+        ("20##-##-##", "19##-##-##", "##.##.20##", "##.##.19##", "#.##.###.####", "##.##.##.####", "#######", "20######", "## ### ###", "### ### 000", "# ### 000 000", "## ### ###.##", "#.########", "19##-20## 20##", "20## 20## 20##", "978-#-##-######-#", "15########", "17########", "0000000", "00000000"),
+    ),
 }
+DRAWN = 4
 
 
 def digits(v: str) -> str:
@@ -97,7 +106,9 @@ def features(text: str, x: str) -> str:
     def made(runs: str, context: str) -> str:
         got = (
             f"length({digits(v)})", f"length({v})", f"size({runs})", count(r"\x20"), count("-"), count(r"\."), count(r"[()\[\]]"),
-            f"coalesce(array_max({runs}), 0)", f"coalesce(array_min({runs}), 0)",
+            f"coalesce(array_max({runs}), 0)", f"coalesce(array_min({runs}), 0)", f"coalesce(try_element_at({runs}, 1), 0)", f"coalesce(try_element_at({runs}, -1), 0)",
+            f"cast({v} rlike '^[(]?0' as int)", f"cast({v} rlike '(^|[^0-9])(19|20)[0-9][0-9]([^0-9]|$)' as int)", f"length(regexp_extract({digits(v)}, '0*$', 0))",
+            f"cast(length({digits(v)}) >= 13 and {luhn(digits(v))} as int)",
             f"cast(concat({context}.a, ' ', {context}.b) rlike {quoted(WORDS)} as int)", f"cast(concat({context}.a, ' ', {context}.b) rlike {quoted(NEXT)} as int)",
             f"cast({context}.a rlike {quoted(chr(92) + 'p{L}$')} as int)", f"cast({context}.b rlike {quoted('^' + chr(92) + 'p{L}')} as int)",
         )
@@ -127,6 +138,13 @@ def disguised(kind: str, v: str) -> str:
     return f"regexp_replace(replace({v}, '@', ' (at) '), '[.]([A-Za-z0-9-]+)$', ' (dot) $1')"
 
 
+def drawn(planted: dict[int, tuple[tuple[str, ...], tuple[str, ...]]], times: int = DRAWN, seed: int = 5) -> list[tuple[int, tuple[str, str, str]]]:
+    """(class, (before, text, after)) for every pairing of contexts and formats, ``times`` over, digits drawn."""
+    rng = np.random.default_rng(seed)
+    fill = lambda v: "".join(str(rng.integers(0, 10)) if c == "#" else c for c in v)
+    return [(y, (a, fill(v), ". That is all")) for y, (contexts, formats) in planted.items() for a in contexts for v in formats for _ in range(times if "#" in v else 1)]
+
+
 def examples(df: DataFrame, id_col: str, text_col: str, docs: int) -> DataFrame:
     """(h, y, features) of the planted proposals and those of the ``docs`` documents whose ids hash lowest."""
     spark = df.sparkSession
@@ -135,9 +153,11 @@ def examples(df: DataFrame, id_col: str, text_col: str, docs: int) -> DataFrame:
     # written first, or tests on what is made of the text would be tried on every row
     rows = materialise(some).selectExpr("text", *[f"{c} as {k}" for k, c in base_spans("text").items()], *[f"{c} as {k}" for k, c in proposals("text").items()])
     free = rows.selectExpr("text", f"explode({apart(f'concat({", ".join(MORE)})', f'concat({", ".join(BASE)})')}) as x").selectExpr("text", "x", "0 as y")
+    # of what no base span meets, pieces of longer tokens: the rest may be personal or not
+    free = free.where("substring(text, x.s, 1) rlike '[\\\\p{L}]' and x.s > 0 or substring(text, x.e + 1, 1) rlike '[\\\\p{L}]'")
     near = lambda kind: each(kind, lambda x: f"struct(substring(text, greatest(1, {x}.s + 1 - {AROUND}), least({x}.s, {AROUND})) as a, {disguised(kind, f'{x}.v')} as v, substring(text, {x}.e + 1, {AROUND}) as b)")
     hidden = rows.selectExpr(f"explode(concat({', '.join(near(k) for k in ('email', 'card', 'phone'))})) as p")
-    planted = spark.createDataFrame([(y, (a, v, ". That is all")) for y, (contexts, formats) in PLANTED.items() for a in contexts for v in formats], "y int, p struct<a:string,v:string,b:string>")
+    planted = spark.createDataFrame(drawn(PLANTED), "y int, p struct<a:string,v:string,b:string>")
     snippets = hidden.selectExpr("1 as y", "p").unionAll(planted)
     found = snippets.selectExpr("concat(p.a, p.v, p.b) as text", "struct(length(p.a) as s, length(p.a) + length(p.v) as e, p.v as v) as x", "y")
     return free.unionAll(found).selectExpr("xxhash64(text, x) as h", "y", f"{features('text', 'x')} as f").distinct()
