@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..operators import catalog, checks, communities, graph, logs, replay, samples, similarity, walks
-from ..sources import documents
+from ..sources import documents, sinks
 from ..sources.views import calls, raw_tools, table
-from .queries import _DEG, _TOOLS, EDGE_LEAST, _close, _dep, _edges, _nodes, _tools, _vec_ids
+from .queries import _DEG, _TOOLS, EDGE_LEAST, _close, _dep, _edges, _inputs, _nodes, _tools, _vec_ids
 from .written import shared, written
 
 WEIGHTS = {"random": 0.15, "bfs": 0.2, "dfs": 0.2, "community": 0.15, "star": 0.1, "chain": 0.1, "tree": 0.1}
@@ -119,7 +119,7 @@ def dedup_greedy_text(spark, d):
 
 
 def _schemas(spark, d):
-    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    n, k = table(spark, d, "customer"), F.col("c_custkey")
     body = (
         F.when(k % 5 == 0, F.lit('{"t":{"description":"a","fields":{"x":{"type":"string"}}},"u":{"description":"b","fields":{}}}'))
         .when(k % 5 == 1, F.lit('{"t":{"fields":{"x":{"type":"string"},"y":{"required":true},"z":3}},"u":5}'))
@@ -127,7 +127,7 @@ def _schemas(spark, d):
         .when(k % 5 == 3, F.lit("[1]"))
         .otherwise(F.lit("{broken"))
     )
-    return n.select(F.col("n_name").alias("name"), k.alias("k"), body.alias("body"))
+    return n.select(F.col("c_name").alias("name"), k.alias("k"), body.alias("body"))
 
 
 def schema_violations(spark, d):
@@ -141,10 +141,10 @@ def state_tables(spark, d):
 
 
 def enhanced_records(spark, d):
-    n = table(spark, d, "nation")
-    old = F.concat(F.lit('{"name":"'), "n_name", F.lit('"}'))
-    new = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('{"name":"'), "n_name", F.lit('","description":"d","parameters":{}}'))).otherwise(F.lit('{"name":"x"}'))
-    return checks.enhanced_or_kept(n.select(F.col("n_name").alias("name"), old.alias("body"), new.alias("enhanced")))
+    n = table(spark, d, "customer")
+    old = F.concat(F.lit('{"name":"'), "c_name", F.lit('"}'))
+    new = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('{"name":"'), "c_name", F.lit('","description":"d","parameters":{}}'))).otherwise(F.lit('{"name":"x"}'))
+    return checks.enhanced_or_kept(n.select(F.col("c_name").alias("name"), old.alias("body"), new.alias("enhanced")))
 
 
 def _tested(spark, d):
@@ -244,13 +244,13 @@ def graph_round_trip(spark, d):
 
 
 def _walk_documents(spark, d) -> str:
-    n = table(spark, d, "nation")
-    key, region = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
-    body = F.concat(F.lit('{"id":"w'), key, F.lit('","sequence":["a","b'), key, F.lit('"],"nodes":[{"id":"a"},"b'), key, F.lit('"],"edges":[{"source":"a","target":"b'), key, F.lit('","weight":'), region, F.lit("}]"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(',"length":7}')).otherwise(F.lit("}")))
-    task = F.concat(F.lit('{"id":"task_w'), key, F.lit('","walk_id":"w'), key, F.lit('","task_description":"'), "n_name", F.lit('","function_sequence":["a","b'), key, F.lit('"]}'))
+    n = table(spark, d, "customer")
+    key, region = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    body = F.concat(F.lit('{"id":"w'), key, F.lit('","sequence":["a","b'), key, F.lit('"],"nodes":[{"id":"a"},"b'), key, F.lit('"],"edges":[{"source":"a","target":"b'), key, F.lit('","weight":'), region, F.lit("}]"), F.when(F.col("c_custkey") % 2 == 0, F.lit(',"length":7}')).otherwise(F.lit("}")))
+    task = F.concat(F.lit('{"id":"task_w'), key, F.lit('","walk_id":"w'), key, F.lit('","task_description":"'), "c_name", F.lit('","function_sequence":["a","b'), key, F.lit('"]}'))
     path = _folder(spark)
-    documents.write_documents(n.select(F.concat(F.lit("w"), key).alias("name"), body.alias("body")), f"{path}/walks")
-    documents.write_documents(n.select(F.concat(F.lit("task_w"), key).alias("name"), task.alias("body")), f"{path}/tasks")
+    sinks.save_documents(n.select(F.concat(F.lit("w"), key).alias("name"), body.alias("body")), f"{path}/walks")
+    sinks.save_documents(n.select(F.concat(F.lit("task_w"), key).alias("name"), task.alias("body")), f"{path}/tasks")
     return path
 
 
@@ -268,8 +268,8 @@ def task_documents(spark, d):
 
 
 def tool_files_round_trip(spark, d):
-    n = table(spark, d, "nation")
-    name = F.concat(F.lit("tool_"), F.col("n_nationkey").cast("string"))
+    n = table(spark, d, "supplier")
+    name = F.concat(F.lit("tool_"), F.col("s_suppkey").cast("string"))
     tools = n.select(name.alias("name"), F.concat(F.lit("import json\nfrom re import sub\n"), F.lit("def "), name, F.lit("():\n    return 2")).alias("code"))
     path = _folder(spark)
     documents.write_tools(tools, path)
@@ -321,11 +321,13 @@ def split_communities(spark, d):
 
 
 def _labels(spark, d):
-    return table(spark, d, "embeddings").where("vec_id % 5 = 0").select(F.expr("vec_id div 5").alias("id"), F.col("label").alias("community"))
+    """The label that most vectors of a tool have, the smallest of those."""
+    n = table(spark, d, "embeddings").groupBy(F.expr("vec_id div 5").alias("id"), "label").agg(F.count("*").alias("n"))
+    return n.groupBy("id").agg(F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("community"))
 
 
 def community_stats(spark, d):
-    """Of communities of tools by the label of their first vector."""
+    """Of communities of tools by the commonest label of their vectors."""
     r = communities.community_stats(_labels(spark, d), 9)
     return r.withColumn("mean_size", F.round("mean_size", 6))
 
@@ -335,8 +337,7 @@ def assign_singletons(spark, d):
     t = _labels(spark, d)
     large = t.groupBy("community").agg(F.count("*").alias("n")).where("n >= 9").select("community")
     domains = t.join(large, "community", "left_semi").select("id", F.col("community").alias("domain"))
-    vecs = table(spark, d, "embeddings").where("vec_id % 5 < 3").select(F.expr("vec_id div 5").alias("key"), F.expr("vec_id % 5").cast("int").alias("pos"), F.lit("in").alias("role"), F.col("embedding").cast("array<double>").alias("vec"))
-    sim = similarity.mean_similarity(vecs, 0.0)
+    sim = similarity.mean_similarity(_inputs(spark, d), 0.0)
     return communities.assign_singles(sim, domains, 0.03).withColumn("sim", F.round("sim", 6))
 
 
@@ -392,8 +393,8 @@ def pick_strategies(spark, d):
 
 
 def _paths(spark, d):
-    """Stand-in walks: the parts of each order, as places on a ring of forty."""
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("walk")).agg(F.array_sort(F.collect_set((F.col("l_partkey") % 40).cast("long"))).alias("path"))
+    """Stand-in walks: the parts of each order, in order."""
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("walk")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("long"))).alias("path"))
 
 
 def walk_stats(spark, d):
@@ -409,8 +410,10 @@ def walk_tasks(spark, d):
 
 
 def task_summary(spark, d):
+    """Of tasks; walks of an even number of nodes stand in for those with branches."""
     t = walks.tasks(_paths(spark, d)).withColumn("complexity", F.least(F.col("n_functions") / 10.0, F.lit(1.0)))
-    return t.agg(F.count("*").alias("total_tasks"), F.round(F.avg("complexity"), 6).alias("avg_complexity"), F.round(F.avg("n_functions"), 6).alias("avg_length"), F.count("*").alias("n_chain"), F.lit(0).cast("long").alias("n_dag"))
+    dag = F.col("n_functions") % 2 == 0
+    return t.agg(F.count("*").alias("total_tasks"), F.round(F.avg("complexity"), 6).alias("avg_complexity"), F.round(F.avg("n_functions"), 6).alias("avg_length"), F.count_if(~dag).alias("n_chain"), F.count_if(dag).alias("n_dag"))
 
 
 def walk_tools(spark, d):
@@ -461,8 +464,8 @@ QUERIES = {f.__name__: f for f in (
 
 _RUN = "'def run_' || event_id || '():' || chr(10) || '    return 1'"
 _U = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0"
-_DOC = "w AS (SELECT l_orderkey AS walk, list_sort(list(DISTINCT l_partkey % 40)) AS path FROM lineitem GROUP BY l_orderkey)"
-_LABEL = "l AS (SELECT vec_id // 5 AS id, label AS community FROM embeddings WHERE vec_id % 5 = 0), big AS (SELECT community, count(*) AS n FROM l GROUP BY community HAVING count(*) >= 9)"
+_DOC = "w AS (SELECT l_orderkey AS walk, list_sort(list(DISTINCT l_partkey)) AS path FROM lineitem GROUP BY l_orderkey)"
+_LABEL = "l AS (SELECT id, label AS community FROM (SELECT vec_id // 5 AS id, label, count(*) AS n FROM embeddings GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1), big AS (SELECT community, count(*) AS n FROM l GROUP BY community HAVING count(*) >= 9)"
 _SAMPLED = "s AS (SELECT sample, id FROM n, (SELECT unnest(range(8)) AS sample) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY ('0x' || substr(md5('42|' || sample || '|' || id), 1, 13))::BIGINT, id) <= 10)"
 
 ORACLE = {
@@ -479,9 +482,9 @@ ORACLE = {
     "split_functions": f"SELECT event_id AS seq, pos::BIGINT AS pos, CASE pos WHEN 0 THEN 'run_' || event_id ELSE 'second' END AS name, CASE pos WHEN 0 THEN {_RUN} ELSE 'def second(a):' || chr(10) || '    return a' END AS code FROM events, (SELECT unnest([0, 1]) AS pos)",
     "output_texts": "SELECT p_partkey AS ingest_seq, 'return_value' AS output, CASE WHEN p_partkey % 3 = 0 THEN 'int: Function return value' ELSE 'float: Price' END AS text FROM part",
     "dedup_texts": f"WITH {_TOOLS} SELECT ingest_seq, name || ' ' || description AS text FROM s WHERE status = 'fixed'",
-    "schema_violations": "SELECT n_name AS name, v.tbl, v.field, v.reason FROM nation JOIN (VALUES (1, 't', NULL, 'no description'), (1, 't', 'y', 'no type'), (1, 't', 'z', 'field is no object'), (1, 'u', NULL, 'table is no object'), (2, 't', NULL, 'fields are no object'), (2, 'v', NULL, 'no fields'), (3, NULL, NULL, 'schema is no object'), (4, NULL, NULL, 'schema is no object')) v(k, tbl, field, reason) ON n_nationkey % 5 = v.k",
-    "state_tables": "SELECT n_name AS name, v.tbl, v.status FROM nation JOIN (VALUES (0, 't', 'matched'), (0, 'u', 'missing'), (0, 'w', 'extra'), (1, 't', 'no object'), (1, 'u', 'matched'), (2, 't', 'no object'), (2, 'v', 'missing'), (2, 'u', 'extra')) v(k, tbl, status) ON n_nationkey % 5 = v.k",
-    "enhanced_records": "SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN '{\"name\":\"' || n_name || '\",\"description\":\"d\",\"parameters\":{}}' ELSE '{\"name\":\"' || n_name || '\"}' END AS body FROM nation",
+    "schema_violations": "SELECT c_name AS name, v.tbl, v.field, v.reason FROM customer JOIN (VALUES (1, 't', NULL, 'no description'), (1, 't', 'y', 'no type'), (1, 't', 'z', 'field is no object'), (1, 'u', NULL, 'table is no object'), (2, 't', NULL, 'fields are no object'), (2, 'v', NULL, 'no fields'), (3, NULL, NULL, 'schema is no object'), (4, NULL, NULL, 'schema is no object')) v(k, tbl, field, reason) ON c_custkey % 5 = v.k",
+    "state_tables": "SELECT c_name AS name, v.tbl, v.status FROM customer JOIN (VALUES (0, 't', 'matched'), (0, 'u', 'missing'), (0, 'w', 'extra'), (1, 't', 'no object'), (1, 'u', 'matched'), (2, 't', 'no object'), (2, 'v', 'missing'), (2, 'u', 'extra')) v(k, tbl, status) ON c_custkey % 5 = v.k",
+    "enhanced_records": "SELECT c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN '{\"name\":\"' || c_name || '\",\"description\":\"d\",\"parameters\":{}}' ELSE '{\"name\":\"' || c_name || '\"}' END AS body FROM customer",
     "requirement_union": "SELECT r AS requirement, count(*) AS n_tools FROM (SELECT 'numpy' AS r FROM part WHERE p_size > 10 UNION ALL SELECT 'lib_' || p_size % 5 FROM part WHERE p_size > 10 AND p_size % 2 = 0) GROUP BY r",
     "environment_counts": "SELECT p_brand AS domain, count(*) AS n_tools, count(*) FILTER (WHERE p_size > 10) AS n_passed, round(100.0 * count(*) FILTER (WHERE p_size > 10) / count(*), 2)::DOUBLE AS success_rate FROM part GROUP BY p_brand",
     "known_domains": f"WITH {_TOOLS}, k AS (SELECT DISTINCT name FROM s WHERE status = 'fixed') SELECT domain, count(*) AS n, count(DISTINCT name) AS n_names FROM s SEMI JOIN k ON s.name = k.name GROUP BY domain",
@@ -492,10 +495,10 @@ ORACLE = {
     "catalogue_round_trip": f"WITH {_TOOLS} SELECT ingest_seq, name, description, domain FROM f",
     "domain_files": f"WITH {_TOOLS} SELECT domain, count(*) AS tool_count FROM f GROUP BY domain",
     "graph_round_trip": f"WITH {_dep(EDGE_LEAST)} SELECT src, dst, round(weight, 6) AS weight FROM e",
-    "walk_documents": "SELECT 'w' || n_nationkey AS id, 'chain' AS walk_type, 'a,b' || n_nationkey AS path, CASE WHEN n_nationkey % 2 = 0 THEN 7 ELSE 2 END::BIGINT AS length FROM nation",
-    "graph_documents": "SELECT 'w' || n_nationkey AS graph, 'a' AS src, 'b' || n_nationkey AS dst, n_regionkey::DOUBLE AS weight FROM nation",
-    "task_documents": "SELECT 'task_w' || n_nationkey AS id, 'w' || n_nationkey AS walk_id, n_name AS task_description, 'a,b' || n_nationkey AS path FROM nation",
-    "tool_files_round_trip": "SELECT 'tool_' || n_nationkey AS name, 'tool_' || n_nationkey AS function, 'def tool_' || n_nationkey || '():' || chr(10) || '    return 2' AS code, 2 + 3 * c AS n_lines, c AS n_marks, 2::BIGINT AS n_imports FROM nation, (SELECT count(*) AS c FROM nation)",
+    "walk_documents": "SELECT 'w' || c_custkey AS id, 'chain' AS walk_type, 'a,b' || c_custkey AS path, CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 2 END::BIGINT AS length FROM customer",
+    "graph_documents": "SELECT 'w' || c_custkey AS graph, 'a' AS src, 'b' || c_custkey AS dst, c_nationkey::DOUBLE AS weight FROM customer",
+    "task_documents": "SELECT 'task_w' || c_custkey AS id, 'w' || c_custkey AS walk_id, c_name AS task_description, 'a,b' || c_custkey AS path FROM customer",
+    "tool_files_round_trip": "SELECT 'tool_' || s_suppkey AS name, 'tool_' || s_suppkey AS function, 'def tool_' || s_suppkey || '():' || chr(10) || '    return 2' AS code, 2 + 3 * c AS n_lines, c AS n_marks, 2::BIGINT AS n_imports FROM supplier, (SELECT count(*) AS c FROM supplier)",
     "environment_round_trip": "SELECT p_brand AS domain, count(*) AS n_passed, 0::BIGINT AS n_tests FROM part WHERE p_size > 10 GROUP BY p_brand",
     "jsonl_append": "SELECT r_name, 2 * count(*) AS n FROM region GROUP BY r_name",
     "hub_out_topk": f"WITH {_dep(EDGE_LEAST)}, {_DEG} SELECT id, out_degree FROM deg ORDER BY out_degree DESC, id LIMIT 10",
@@ -524,6 +527,6 @@ ORACLE = {
     "walk_stats": f"WITH {_DOC} SELECT count(*) AS n_walks, round(avg(len(path)), 6) AS mean_length, min(len(path)) AS min_length, max(len(path)) AS max_length FROM w",
     "walk_texts": f"WITH {_DOC} SELECT walk, 'Chain walk: ' || array_to_string(path, ' → ') AS text FROM w",
     "walk_tasks": f"WITH {_DOC} SELECT 'task_' || walk AS task_id, walk, len(path) AS n_functions, 'Call ' || array_to_string(path, ', then ') || '.' AS description FROM w",
-    "task_summary": f"WITH {_DOC} SELECT count(*) AS total_tasks, round(avg(least(len(path) / 10.0, 1.0)), 6)::DOUBLE AS avg_complexity, round(avg(len(path)), 6) AS avg_length, count(*) AS n_chain, 0::BIGINT AS n_dag FROM w",
+    "task_summary": f"WITH {_DOC} SELECT count(*) AS total_tasks, round(avg(least(len(path) / 10.0, 1.0)), 6)::DOUBLE AS avg_complexity, round(avg(len(path)), 6) AS avg_length, count(*) FILTER (len(path) % 2 = 1) AS n_chain, count(*) FILTER (len(path) % 2 = 0) AS n_dag FROM w",
     "walk_tools": f"WITH {_TOOLS}, {_DOC}, k AS (SELECT ingest_seq AS id FROM s WHERE status = 'fixed'), y AS (SELECT walk, unnest(path) AS i FROM w) SELECT walk, string_agg(i::VARCHAR, ',' ORDER BY i) AS names, count(*) AS n_texts FROM y JOIN k ON k.id = i GROUP BY walk",
 }
