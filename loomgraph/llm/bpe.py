@@ -30,6 +30,8 @@ from .common import id_and_text, release, table, texts
 
 NONE = 1 << 62
 MEMO = 60_000
+#: Characters of words that a generation of the memo holds, and of texts that are looked up at a time, whatever their number.
+MEMO_CHARS, STRETCH_CHARS = 4 << 20, 4 << 20
 #: Pieces of up to so many bytes are merged together, and so many words of texts are looked up at a time.
 TOGETHER, STRETCH = 64, 50_000
 
@@ -144,7 +146,7 @@ class Bpe:
     """A BPE model of a tokenizers JSON file with word ends, byte-level symbols and no decoder."""
 
     def __init__(self, file: str, memo: int = MEMO):
-        """``file``: what the file holds; ``memo``: a bound on the words remembered between the texts of a task, in each of two generations."""
+        """``file``: what the file holds; ``memo``: a bound on the words remembered between the texts of a task, in each of two generations; ``MEMO_CHARS`` bounds them too."""
         spec = json.loads(file)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -166,6 +168,7 @@ class Bpe:
 
     def forget(self) -> None:
         """Empty the memo of words: word -> (ids as text, tokens as text), None for a word without ids (``silent`` if there was one)."""
+        self.held = 0
         self.young: dict[str, tuple[str, str] | None] = {}
         self.old: dict[str, tuple[str, str] | None] = {}
         self.silent = False
@@ -285,12 +288,15 @@ class Bpe:
     def learn(self, words: set[str]) -> None:
         """Have the young generation remember all of ``words``."""
         young, old = self.young, self.old
-        if len(young) >= self.most:
+        if len(young) >= self.most or self.held >= MEMO_CHARS:
             self.young, self.old = young, old = {}, young
+            self.held = 0
         pieces: dict[str, int] = {}
         simple: list[tuple[str, int]] = []
         others: list[tuple[str, list[int | tuple[str, str]]]] = []
-        for w in words.difference(young):
+        fresh = words.difference(young)
+        self.held += sum(map(len, fresh))
+        for w in fresh:
             if w in old:
                 young[w] = old[w]
             elif w.isascii() and w.isalpha():  # one piece
@@ -314,7 +320,7 @@ class Bpe:
         """(index of a text, ids, decoded), both parted by spaces, for stretches of words of each text in order; none for a text without ids."""
         stretches: list[tuple[int, list[str]]] = []
         words: set[str] = set()
-        size = 0
+        size = chars = 0
 
         def ready() -> Iterator[tuple[int, str, str]]:
             self.learn(words)
@@ -334,9 +340,10 @@ class Bpe:
                 stretches.append((row, some))
                 words.update(some)
                 size += len(some)
-                if size >= STRETCH:
+                chars += len(text) * len(some) // len(split)
+                if size >= STRETCH or chars >= STRETCH_CHARS:
                     yield from ready()
-                    stretches, words, size = [], set(), 0
+                    stretches, words, size, chars = [], set(), 0, 0
         yield from ready()
 
     def decode(self, ids: list[int]) -> str:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import periods, queries, trie, urls
+from loomgraph.llm import bpe, periods, queries, trie, urls
 
 DIR = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -214,3 +214,18 @@ def test_runs_of_odd_rows(spark):
         want.append((str(i), len(w), runs, " ".join(x for k, x in enumerate(w) if k not in gone)))
     assert got == sorted(want)
     assert periods.report(periods.collapse(docs.limit(0))).isEmpty() and periods.repeated(docs).count() == len(rows)
+
+
+def test_memo_of_long_words():
+    """Distinct long words are forgotten by their characters, and texts of them are encoded all the same."""
+    with open(queries.tokenizer_file(), encoding="utf-8") as f:
+        coder = bpe.Bpe(f.read())
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(list("ABCDabcd0189+/"), 5000)) for _ in range(1200)]
+    whole = {k: (ids, tokens) for k, ids, tokens in coder.encode_all(lines[:3])}
+    for at in range(0, 1200, 100):
+        list(coder.encode_all(lines[at : at + 100]))
+        assert sum(map(len, coder.young)) <= bpe.MEMO_CHARS + bpe.STRETCH_CHARS
+        assert sum(map(len, coder.old)) <= bpe.MEMO_CHARS + bpe.STRETCH_CHARS
+    coder.forget()
+    assert {k: (ids, tokens) for k, ids, tokens in coder.encode_all(lines[:3])} == whole
