@@ -139,3 +139,9 @@ def functions_of(code: pd.Series) -> pd.Series:
 def text_ratio(new: pd.Series, kept: pd.Series) -> pd.Series:
     """Twice the matched characters over all (longest matching block first, then on both sides); not symmetric."""
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(new, kept)], dtype=float)
+
+
+def without_keys(text: Column, *keys: str) -> Column:
+    """A JSON object without some of its keys, the others in order (keys of objects inside them sorted); null if it is none."""
+    kept = F.map_filter(F.from_json(text, "map<string,variant>"), lambda k, v: ~k.isin(*keys))
+    return F.to_json(kept)

@@ -123,6 +123,15 @@ def pruned(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, least: float, s
     return left, e
 
 
+def edge_validity(edges: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(src, dst, n_pairs, n_valid, valid) of edges(src, dst) and their pairs(src, dst, sim, out_type, in_type): a pair is valid if its
+    types are the same and it is alike by ``least`` or more; an edge needs one valid pair, so one without pairs is none."""
+    good = F.coalesce((F.col("out_type") == F.col("in_type")) & (F.col("sim") >= least), F.lit(False))
+    p = pairs.groupBy("src", "dst").agg(F.count("*").alias("n_pairs"), F.count_if(good).alias("n_valid"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return edges.select("src", "dst").distinct().join(p, ["src", "dst"], "left").select("src", "dst", zero("n_pairs"), zero("n_valid")).withColumn("valid", F.col("n_valid") > 0)
+
+
 def _spread(labels: DataFrame, edges: DataFrame, table, rounds: int) -> DataFrame:
     """(id, label): the largest label that reaches each node along ``edges``."""
     for _ in range(rounds):

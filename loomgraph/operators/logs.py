@@ -69,3 +69,16 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     l, r = left.select(key).distinct().withColumn("_l", F.lit(True)), right.select(key).distinct().withColumn("_r", F.lit(True))
     status = F.when(F.col("_r").isNull(), "missing").when(F.col("_l").isNull(), "extra").otherwise("matched")
     return l.join(r, key, "full_outer").select(key, status.alias("status"))
+
+
+def refinement_summary(tools: DataFrame) -> DataFrame:
+    """One row of tools(domain, passed): total, passed and failed tools, domains, and those of which all tools passed."""
+    d = tools.groupBy("domain").agg(F.count("*").alias("n"), F.count_if("passed").alias("ok"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return d.agg(zero(F.col("n")).alias("total"), zero(F.col("ok")).alias("passed"), zero(F.col("n") - F.col("ok")).alias("failed"), F.count("*").alias("domains"), F.count_if(F.col("n") == F.col("ok")).alias("whole_domains"))
+
+
+def first_of_each(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """The first ``most`` rows of each key. Spark keeps that many of a key in each task before it deals rows by key."""
+    w = Window.partitionBy(key).orderBy(order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")

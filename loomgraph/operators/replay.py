@@ -86,6 +86,22 @@ def repaired(tests: DataFrame, attempts: list[Tools], initial: dict) -> tuple[in
     return len(attempts) - 1, results
 
 
+def repair_rounds(tests: DataFrame, attempts: list[Tools], initial: dict, table) -> DataFrame:
+    """(tool, n_tests, n_failed, last_round): each attempt runs the tests that failed in all before it, until none is left;
+    n_failed counts those that no attempt passes, last_round is the last in which a test of the tool ran."""
+    n = tests.groupBy("tool").agg(F.count("*").alias("n_tests"))
+    left, ran = tests.select("tool", "test_id", "parameters"), None
+    for k, tools in enumerate(attempts):
+        r = table(run_tests(left, tools, initial).select("tool", "test_id", "success").join(left, ["tool", "test_id"]))
+        now = r.groupBy("tool").agg(F.count_if(~F.col("success")).alias("n_failed")).withColumn("last_round", F.lit(k).cast("long"))
+        ran = now if ran is None else ran.unionAll(now)
+        left = r.where("not success").select("tool", "test_id", "parameters")
+        if left.isEmpty():
+            break
+    last = ran.groupBy("tool").agg(F.max_by("n_failed", "last_round").alias("n_failed"), F.max("last_round").alias("last_round"))
+    return n.join(last, "tool").select("tool", "n_tests", "n_failed", "last_round")
+
+
 def register_table_function(spark, name: str, tools: Tools, initial: dict) -> None:
     """Make tools a table function of SQL: ``name``(TABLE(tests) PARTITION BY tool) gives (tool, test_id, success, message, results)
     for each row (tool, test_id, parameters) of the table, every one from the same initial state."""

@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import catalog, communities, graph, logs, messages, replay, schemas, similarity, texts, walks
+from ..functions import parse, text
+from ..operators import catalog, communities, graph, logs, messages, replay, samples, schemas, similarity, texts, walks
 from ..sources import documents, sinks
 from ..sources.views import calls, nested_tools, table
 from ..streaming import stateful
 from . import walk_sql
-from .queries import _CLOSE, _DEG, EDGE_LEAST, _both, _close, _dep, _edges, _nodes
+from .queries import _BEST, _CLOSE, _DEG, EDGE_LEAST, _both, _close, _dep, _edges, _nodes
 from .written import shared, written
 
 # communities
@@ -276,12 +276,82 @@ def query_zip_checked(spark, d):
     return u.join(a, ["conv_id", "pos"], "full_outer").select("conv_id", "pos", "node", status.alias("status"))
 
 
+# names, summaries, parts of results
+
+
+def community_names(spark, d):
+    """A name for each community of tools: the word that most of its members' names have; all members stay."""
+    p = table(spark, d, "part").select(F.col("p_brand").alias("community"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return communities.named(p)
+
+
+def refinement_summary(spark, d):
+    p = table(spark, d, "part").select(F.col("p_brand").alias("domain"), (F.col("p_size") > 10).alias("passed"))
+    return logs.refinement_summary(p)
+
+
+def stripped_results(spark, d):
+    """Results of calls without the state that they left behind."""
+    c = calls(spark, d)
+    said = F.concat(F.lit('{"tool":"'), "tool", F.lit('","after_execution_state":{"n":'), F.col("seq").cast("string"), F.lit('},"args":'), "args", F.lit("}"))
+    return c.select("seq", parse.without_keys(said, "after_execution_state").alias("result"))
+
+
+def first_tests(spark, d):
+    """The first five calls of each tool, which stand for its tests in a report."""
+    c = calls(spark, d).select("tool", "seq", "args")
+    return logs.first_of_each(c, "tool", "seq", 5)
+
+
+def records_per_table(spark, d):
+    """How many records each table of an environment is to have: one drawn number for all of an environment's tables."""
+    t = table(spark, d, "supplier").select(F.col("s_nationkey").alias("environment"), F.col("s_name").alias("tbl"))
+    return samples.records_per_table(t, 3, 5, 42)
+
+
+def edge_validity(spark, d):
+    """Edges with a pair of an output and an input of one type that are alike enough; edges without such a pair are no edges."""
+    pairs = written(similarity.best_matches(_both(spark, d)).where(F.col("sim") >= EDGE_LEAST))
+    kind = lambda node, pos: F.element_at(F.array(*map(F.lit, ("string", "integer", "array"))), ((F.col(node) + F.col(pos)) % 3 + 1).cast("int"))
+    typed = pairs.withColumn("out_type", kind("src", "out_pos")).withColumn("in_type", kind("dst", "in_pos"))
+    all_edges = pairs.select("src", "dst").distinct()
+    return graph.edge_validity(all_edges, typed, 0.3)
+
+
+def repair_rounds(spark, d):
+    """Tools repaired in rounds: each round's tools run all tests that failed before, until none fails or rounds end."""
+    c = calls(spark, d).select("tool", F.col("seq").cast("string").alias("test_id"), F.col("args").alias("parameters"))
+
+    def bounded(most):
+        def tool(data, k):
+            if k > most:
+                raise ValueError("too large")
+            return {"k": k}
+
+        return tool
+
+    rounds = []
+    for most in (50, 80, 95):
+        tools = replay.Tools()
+        for name in ("click", "view", "purchase", "signup", "error"):
+            tools.register(name, bounded(most))
+        rounds.append(tools)
+    return replay.repair_rounds(c, rounds, {}, written)
+
+
+def clustering_average(spark, d):
+    """One row: the mean clustering coefficient of the similarity graph."""
+    r = graph.clustering(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), _close(spark, d))
+    return r.agg(F.count("*").alias("n_nodes"), F.round(F.avg("coefficient"), 6).alias("average"))
+
+
 QUERIES = {f.__name__: f for f in (
     label_modularity,
     stream_replay, stream_windows,
     walk_batches,
     nested_schemas, nested_fields, tool_outputs, tool_texts, tool_vectors, tool_text_edges, tool_text_neighbours,
     message_memory, format_history, json_in_prose, walk_files, task_files, json_array_append, trajectory_files, execute_tests, report_by_name, topo_order, query_zip_checked,
+    community_names, refinement_summary, stripped_results, first_tests, records_per_table, edge_validity, repair_rounds, clustering_average,
 )}
 
 _UNITS = "round(value * 100)::BIGINT"
@@ -371,4 +441,12 @@ SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY pos, sub) - 1 AS plac
     "label_modularity": f"WITH {_CLOSE}, w AS (SELECT src, dst, sim FROM e UNION ALL SELECT dst, src, sim FROM e), l AS (SELECT vec_id AS id, label FROM embeddings), x AS (SELECT a.label AS la, b.label AS lb, sim FROM w JOIN l a ON a.id = src JOIN l b ON b.id = dst), c AS (SELECT la, sum(sim) AS volume, coalesce(sum(sim) FILTER (la = lb), 0) AS inside FROM x GROUP BY la) SELECT round(sum(inside) / sum(volume) - sum(volume * volume) / (sum(volume) * sum(volume)), 6) AS modularity FROM c",
     "stream_replay": f"SELECT user_id AS episode, event_id AS seq, row_number() OVER w AS snapshot_id, event_type <> 'error' AS success, count(*) FILTER (event_type <> 'error') OVER w AS n, coalesce(sum({_UNITS}) FILTER (event_type <> 'error') OVER w, 0)::BIGINT AS units FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "stream_windows": f"SELECT (epoch_us(ts) // 3600000000) * 3600000000 AS start_us, CASE WHEN event_type = 'error' THEN 'refuse' ELSE 'record' END AS tool, count(*) AS n, sum({_UNITS})::BIGINT AS units FROM events GROUP BY ALL",
+    "community_names": "WITH t AS (SELECT p_brand AS community, w, count(DISTINCT p_partkey) AS n FROM (SELECT p_brand, p_partkey, unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS w FROM part) GROUP BY ALL), s AS (SELECT p_brand AS community, count(*) AS n_members FROM part GROUP BY p_brand) SELECT s.community, (SELECT w FROM t WHERE t.community = s.community ORDER BY n DESC, w LIMIT 1) AS name, n_members FROM s",
+    "refinement_summary": "WITH e AS (SELECT p_brand, count(*) AS n, count(*) FILTER (p_size > 10) AS ok FROM part GROUP BY p_brand) SELECT sum(n)::BIGINT AS total, sum(ok)::BIGINT AS passed, sum(n - ok)::BIGINT AS failed, count(*) AS domains, count(*) FILTER (n = ok) AS whole_domains FROM e",
+    "stripped_results": "SELECT event_id AS seq, '{\"tool\":\"' || event_type || '\",\"args\":' || replace(props, ': ', ':') || '}' AS result FROM events",
+    "first_tests": "SELECT event_type AS tool, event_id AS seq, props AS args FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 5",
+    "records_per_table": "SELECT s_nationkey AS environment, s_name AS tbl, 3 + floor(('0x' || substr(md5('42|records|' || s_nationkey), 1, 13))::BIGINT / 4503599627370496.0 * 3)::BIGINT AS n FROM supplier",
+    "edge_validity": f"WITH {_BEST}, p AS (SELECT *, (src + out_pos) % 3 = (dst + in_pos) % 3 AS fits FROM best WHERE sim >= {EDGE_LEAST}) SELECT src, dst, count(*) AS n_pairs, count(*) FILTER (fits AND sim >= 0.3) AS n_valid, count(*) FILTER (fits AND sim >= 0.3) > 0 AS valid FROM p GROUP BY src, dst",
+    "repair_rounds": "WITH t AS (SELECT event_type AS tool, json_extract_string(props, '$.k')::BIGINT AS k FROM events) SELECT tool, count(*) AS n_tests, count(*) FILTER (k > 95) AS n_failed, max(CASE WHEN k <= 50 THEN 0 WHEN k <= 80 THEN 1 ELSE 2 END)::BIGINT AS last_round FROM t GROUP BY tool",
+    "clustering_average": f"WITH {_CLOSE}, w AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), t AS (SELECT x.a AS id, count(*) AS t FROM w x JOIN w y ON x.a = y.a AND x.b < y.b JOIN e ON e.src = x.b AND e.dst = y.b GROUP BY x.a), g AS (SELECT vec_id AS id, count(w.b) AS k FROM embeddings LEFT JOIN w ON w.a = vec_id GROUP BY vec_id) SELECT count(*) AS n_nodes, round(avg(CASE WHEN k < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (k * (k - 1)) END), 6)::DOUBLE AS average FROM g LEFT JOIN t USING (id)",
 }

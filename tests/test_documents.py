@@ -6,8 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.functions import text
-from loomgraph.operators import graph, logs, messages, replay
+from loomgraph.functions import parse, text
+from loomgraph.operators import communities, graph, logs, messages, replay
 from loomgraph.plans.written import written
 from loomgraph.sources import documents, sinks
 
@@ -144,3 +144,18 @@ def test_nested_arrays_in_prose():
 def test_report_of_no_tools(spark):
     r = logs.named_report(spark.createDataFrame([], "tool string, ok boolean")).first()
     assert (r.total, r.success_rate, r.failed_tools) == (0, 0.0, [])
+
+
+def test_validity_names_and_rounds(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (2, 3)], "src long, dst long")
+    pairs = spark.createDataFrame([(1, 2, 0.9, "a", "b"), (1, 2, 0.4, "a", "a"), (1, 3, 0.6, "a", "a"), (1, 3, 0.9, None, None)], "src long, dst long, sim double, out_type string, in_type string")
+    assert {(r.src, r.dst): (r.n_pairs, r.n_valid, r.valid) for r in graph.edge_validity(edges, pairs, 0.5).collect()} == {(1, 2): (2, 0, False), (1, 3): (2, 1, True), (2, 3): (0, 0, False)}
+    members = spark.createDataFrame([(1, 1, "get user"), (1, 2, "get File get"), (1, 3, "make file"), (2, 4, "?"), (3, 5, None)], "community long, id long, name string")
+    assert {r.community: (r.name, r.n_members) for r in communities.named(members).collect()} == {1: ("file", 3), 2: (None, 1), 3: (None, 1)}
+    out = spark.createDataFrame([('{"b": 1, "gone": {"x": 1}, "a": "1"}',), ("[1]",), (None,)], "t string").select(parse.without_keys(F.col("t"), "gone").alias("t")).collect()
+    assert out[0].t == '{"b":1,"a":"1"}' and out[2].t is None
+    small, large = (replay.Tools().register("f", (lambda m: lambda data, k: 1 // (k <= m))(m)) for m in (1, 2))
+    tests = spark.createDataFrame([("f", str(k), json.dumps({"k": k})) for k in range(4)] + [("g", "9", "{}")], "tool string, test_id string, parameters string")
+    got = {r.tool: (r.n_tests, r.n_failed, r.last_round) for r in replay.repair_rounds(tests, [small, large], {}, written).collect()}
+    assert got == {"f": (4, 1, 1), "g": (1, 1, 1)}
+    assert replay.repair_rounds(tests.where("test_id < 2"), [small, large], {}, written).first().last_round == 0
