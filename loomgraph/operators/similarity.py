@@ -55,6 +55,101 @@ def mean_similarity(vecs: DataFrame, least: float) -> DataFrame:
     return block_pairs(vecs, "key").groupBy("low", "high").applyInArrow(run, "src long, dst long, sim double")
 
 
+#: Vectors that cells are made from, and cells at most.
+SAMPLED, CELLS = 4096, 256
+
+
+def _pivots(sample: np.ndarray, cells: int, rounds: int = 4) -> np.ndarray:
+    """Directions in the midst of groups of unit vectors: a few rounds of spherical k-means from spread-out starts."""
+    far, chosen = np.full(len(sample), -1.0), [0]
+    while len(chosen) < min(cells, len(sample)):
+        far = np.maximum(far, sample @ sample[chosen[-1]])
+        chosen.append(int(far.argmin()))
+    p = sample[chosen]
+    for _ in range(rounds):
+        of = (sample @ p.T).argmax(1)
+        sums = np.zeros_like(p)
+        np.add.at(sums, of, sample)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        p = np.where(size > 1e-9, sums / np.where(size > 1e-9, size, 1), p)
+    return p
+
+
+def _unit(vec: pa.Array) -> np.ndarray:
+    v = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), -1)
+    n = np.sqrt((v * v).sum(1))[:, None]
+    return v / np.where(n > 0, n, 1)
+
+
+def celled(vecs: DataFrame, least: float, table, cells: int | None = None) -> tuple[DataFrame, list[tuple[int, int]], dict[int, int], float]:
+    """(rows, pairs, sizes, share): vecs(key, vec) with a ``cell`` each, the pairs of cells that may hold a cosine above ``least``,
+    rows a cell, and the share of all pairs of rows that those hold.
+
+    A cell has the vectors nearest to a pivot and knows the greatest angle r to it. By the triangle inequality, vectors of two
+    cells whose pivots are at an angle t are at t - r - s at least, so pairs of cells with a greater angle than that of
+    ``least`` are never brought together. Zero vectors, which are like none, have no cell."""
+    some = vecs.select("vec").where(F.exists("vec", lambda x: x != 0)).orderBy(F.xxhash64("vec")).limit(SAMPLED).toArrow().column("vec").combine_chunks()
+    count = vecs.count()
+    pivots = _pivots(_unit(some), cells or max(1, min(CELLS, 32 * -(-count // BLOCK)))) if len(some) else np.zeros((1, 1))
+    schema = pa.schema([("key", pa.int64()), ("vec", pa.list_(pa.float64())), ("cell", pa.int32()), ("angle", pa.float64())])
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                v = _unit(b.column(1))
+                cos = v @ pivots.T
+                of = cos.argmax(1)
+                angle = np.arccos(np.clip(cos[np.arange(len(v)), of], -1, 1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(schema[1].type), pa.array(of, pa.int32()), pa.array(angle)], schema=schema)
+
+    good = vecs.select(F.col("key").cast("long").alias("key"), F.col("vec").cast("array<double>").alias("vec")).where(F.exists("vec", lambda x: x != 0))
+    rows = table(good.mapInArrow(place, "key long, vec array<double>, cell int, angle double"))
+    # at most CELLS rows
+    facts = {r.cell: (r.n, r.far) for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("far")).collect()}
+    limit, pairs, met, ids = math.acos(max(-1.0, min(1.0, least))) + 1e-7, [], 0, sorted(facts)
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    for k, i in enumerate(ids):
+        for j in ids[k:]:
+            if i == j or between[i, j] - facts[i][1] - facts[j][1] <= limit:
+                pairs.append((i, j))
+                met += facts[i][0] * (facts[i][0] - 1) // 2 if i == j else facts[i][0] * facts[j][0]
+    total = sum(n for n, _ in facts.values())
+    return rows, pairs, {i: n for i, (n, _) in facts.items()}, met / max(1, total * (total - 1) // 2)
+
+
+#: Above this share of pairs all blocks meet, without cells.
+WORTH = 0.7
+
+
+def near_pairs(vecs: DataFrame, least: float, table, worth: float = WORTH) -> DataFrame:
+    """(src, dst, sim), src < dst: all pairs of vecs(key, vec), a vector a key, whose cosine exceeds ``least``, by cells that may
+    hold one (see ``celled``); where those are most of all pairs, as for vectors without any groups, by all blocks."""
+    rows, pairs, sizes, share = celled(vecs, least, table)
+    if share > worth:
+        return mean_similarity(rows.select("key", F.lit(0).alias("pos"), F.lit("in").alias("role"), "vec"), least)
+    spark = vecs.sparkSession
+    # both ways, with the number of blocks of the other cell: at most CELLS * CELLS rows
+    blocks = {i: -(-n // BLOCK) for i, n in sizes.items()}
+    to = [(i, j, blocks[i], blocks[j]) for i, j in pairs] + [(j, i, blocks[j], blocks[i]) for i, j in pairs if i != j]
+    meets = F.broadcast(spark.createDataFrame(to, "cell int, other int, own_blocks int, blocks int"))
+    r = rows.select("key", "vec", "cell").join(meets, "cell").withColumn("p", F.pmod(F.xxhash64("key"), F.col("own_blocks")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own, other = F.struct("cell", "p"), F.struct(F.col("other").alias("cell"), F.col("q").alias("p"))
+    r = r.select("key", "vec", F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), (own == F.least(own, other)).alias("first"))
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float64())])
+
+    def run(g: pa.Table) -> pa.Table:
+        g = g.combine_chunks()
+        key, v, first = g.column("key").to_numpy(), _unit(g.column("vec").combine_chunks()), g.column("first").to_numpy(zero_copy_only=False)
+        one = g.column("low")[0] == g.column("high")[0]
+        a, b = (np.arange(len(key)),) * 2 if one else (np.nonzero(first)[0], np.nonzero(~first)[0])
+        cos = np.clip(v[a] @ v[b].T, 0, 1)
+        i, j = np.nonzero(np.triu(cos > least, 1) if one else cos > least)
+        x, y = key[a[i]], key[b[j]]
+        return pa.Table.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(cos[i, j])], schema=schema)
+
+    return r.groupBy("low", "high").applyInArrow(run, "src long, dst long, sim double")
+
+
 def best_matches(vecs: DataFrame) -> DataFrame:
     """(src, dst, out_pos, in_pos, sim): for each output of a key and each other key, the most similar input; ties go to the first."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("out_pos", pa.int32()), ("in_pos", pa.int32()), ("sim", pa.float64())])

@@ -276,6 +276,23 @@ def query_zip_checked(spark, d):
     return u.join(a, ["conv_id", "pos"], "full_outer").select("conv_id", "pos", "node", status.alias("status"))
 
 
+# near vectors
+
+
+def _part_vectors(spark, d):
+    """(key, vec): brand, size and price of each part as a vector; parts of a brand are a group."""
+    p = table(spark, d, "part")
+    brand = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
+    vec = F.concat(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda k: F.when(k == brand, 3.0).otherwise(0.0)), F.array(F.col("p_size") / 25.0, F.col("p_retailprice") / 1000.0))
+    return p.select(F.col("p_partkey").alias("key"), vec.alias("vec"))
+
+
+def near_parts(spark, d):
+    """Parts whose vectors are nearly parallel, by cells that may hold such pairs; counted by part."""
+    e = written(similarity.near_pairs(_part_vectors(spark, d), 0.999, written))
+    return e.select(F.col("src").alias("id"), "sim").unionAll(e.select("dst", "sim")).groupBy("id").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean_sim"))
+
+
 # names, summaries, parts of results
 
 
@@ -351,7 +368,7 @@ QUERIES = {f.__name__: f for f in (
     walk_batches,
     nested_schemas, nested_fields, tool_outputs, tool_texts, tool_vectors, tool_text_edges, tool_text_neighbours,
     message_memory, format_history, json_in_prose, walk_files, task_files, json_array_append, trajectory_files, execute_tests, report_by_name, topo_order, query_zip_checked,
-    community_names, refinement_summary, stripped_results, first_tests, records_per_table, edge_validity, repair_rounds, clustering_average,
+    near_parts, community_names, refinement_summary, stripped_results, first_tests, records_per_table, edge_validity, repair_rounds, clustering_average,
 )}
 
 _UNITS = "round(value * 100)::BIGINT"
@@ -449,4 +466,5 @@ SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY pos, sub) - 1 AS plac
     "edge_validity": f"WITH {_BEST}, p AS (SELECT *, (src + out_pos) % 3 = (dst + in_pos) % 3 AS fits FROM best WHERE sim >= {EDGE_LEAST}) SELECT src, dst, count(*) AS n_pairs, count(*) FILTER (fits AND sim >= 0.3) AS n_valid, count(*) FILTER (fits AND sim >= 0.3) > 0 AS valid FROM p GROUP BY src, dst",
     "repair_rounds": "WITH t AS (SELECT event_type AS tool, json_extract_string(props, '$.k')::BIGINT AS k FROM events) SELECT tool, count(*) AS n_tests, count(*) FILTER (k > 95) AS n_failed, max(CASE WHEN k <= 50 THEN 0 WHEN k <= 80 THEN 1 ELSE 2 END)::BIGINT AS last_round FROM t GROUP BY tool",
     "clustering_average": f"WITH {_CLOSE}, w AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), t AS (SELECT x.a AS id, count(*) AS t FROM w x JOIN w y ON x.a = y.a AND x.b < y.b JOIN e ON e.src = x.b AND e.dst = y.b GROUP BY x.a), g AS (SELECT vec_id AS id, count(w.b) AS k FROM embeddings LEFT JOIN w ON w.a = vec_id GROUP BY vec_id) SELECT count(*) AS n_nodes, round(avg(CASE WHEN k < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (k * (k - 1)) END), 6)::DOUBLE AS average FROM g LEFT JOIN t USING (id)",
+    "near_parts": "WITH v AS (SELECT p_partkey AS id, list_concat([CASE WHEN k = regexp_extract(p_brand, '[0-9]+')::INT THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END FOR k IN range(1, 26)], [p_size / 25.0, p_retailprice / 1000.0]::DOUBLE[]) AS vec FROM part), e AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.vec, b.vec) AS sim FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.vec, b.vec) > 0.999) SELECT id, count(*) AS n, round(avg(sim), 6) AS mean_sim FROM (SELECT src AS id, sim FROM e UNION ALL SELECT dst, sim FROM e) GROUP BY id",
 }
