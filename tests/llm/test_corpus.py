@@ -301,4 +301,4 @@ def test_pipeline_keeps_clean_documents(spark):
 
 
 def test_each_query_is_there():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))

@@ -216,6 +216,81 @@ def test_runs_of_odd_rows(spark):
     assert periods.report(periods.collapse(docs.limit(0))).isEmpty() and periods.repeated(docs).count() == len(rows)
 
 
+def test_each_stage_of_the_pipeline_by_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept: groups by all pairs of shingle sets, secrets by patterns, words by arithmetic, ids by the tokenizers library."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        out.append(docs.collect())
+    first = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known, once, clean, mixed, encoded = out
+
+    assert all(first[r.doc_id] == r for r in known) and len(known) >= 0.9 * len(first)
+
+    sets = {}
+    for r in known:
+        w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in WORD.findall(r.text or "")]
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    low = {i: i for i in sets}
+
+    def top(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    ids = sorted(sets)
+    for k, b in enumerate(ids):
+        for a in ids[:k]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                low[y] = x
+    assert sorted(r.doc_id for r in once) == [i for i in ids if top(i) == i]
+    assert len(once) < len(known)
+
+    # a document without a base match and without credentials near each other stays as it is; no base match is left
+    hexes, access = re.compile("[0-9a-f]{16,}"), re.compile("AKIA[A-Z0-9]{14,}")
+    assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}""", re.I | re.A)
+    before = {r.doc_id: r.text or "" for r in once}
+    hit = {i for i, t in before.items() if hexes.search(t) or access.search(t) or assign.search(t)}
+    after = {r.doc_id: r.text or "" for r in clean}
+    assert set(after) == set(before) and hit
+    for i, t in after.items():
+        assert not (hexes.search(t) or access.search(t) or assign.search(t))
+        assert t == before[i] if i not in hit and "[" not in t else True
+    assert all(r.n_chars == len(r.text or "") for r in clean)
+
+    source, size = {r.doc_id: r.source for r in clean}, {r.doc_id: len(WORD.findall(r.text or "")) for r in clean}
+    totals = Counter()
+    for i, n in size.items():
+        totals[source[i]] += n
+    names = sorted(totals, key=lambda s: (s is None, s or ""))
+    weight, target, left = {s: i % 3 + 1 for i, s in enumerate(names)}, {}, sum(totals.values())
+    while True:
+        todo = [s for s in names if s not in target]
+        share = {s: left * weight[s] / sum(weight[x] for x in todo) for s in todo}
+        over = [s for s in todo if share[s] > 3 * totals[s]]
+        target.update(share if not over else {s: 3 * totals[s] for s in over})
+        if not over:
+            break
+        left = sum(totals.values()) - sum(target.values())
+    times = Counter(r.doc_id for r in mixed)
+    assert max(times.values()) <= 3 and all(after[r.doc_id] == (r.text or "") for r in mixed)
+    for s in names:  # the last document that a source takes in part is whole
+        words = sum(n * size[i] for i, n in times.items() if source[i] == s)
+        assert target[s] - 1 <= words <= target[s] + 3 * max(size[i] for i in size if source[i] == s) + 1
+
+    library = Tokenizer.from_file(queries.tokenizer_file())
+    library.no_truncation()
+    library.no_padding()
+    digest = {i: sha(" ".join(map(str, library.encode(after[i], add_special_tokens=False).ids))) for i in times}
+    assert Counter((r.doc_id, r.ids_sha256) for r in encoded) == Counter({(i, digest[i]): n for i, n in times.items()})
+
+
 def test_memo_of_long_words():
     """Distinct long words are forgotten by their characters, and texts of them are encoded all the same."""
     with open(queries.tokenizer_file(), encoding="utf-8") as f:
