@@ -55,7 +55,7 @@ STAGES = [
     ("bpe", encoded),
 ]
 
-#: Compression, hashing and boosted decisions aren't SQL: tests hold the pipeline against brute force.
+#: Compression and byte-pair merges aren't SQL: tests hold each stage, on what the one before kept, against brute force.
 ORACLE_SQL = None
 
 
