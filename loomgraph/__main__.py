@@ -1,4 +1,4 @@
-"""Command line: ``clean`` a folder of raw tool records into a catalogue, or run a named query over a folder of tables."""
+"""Command line: clean raw tool records into a catalogue, write its schemas, its domains, walks and tasks, or run a named query over a folder of tables."""
 
 from __future__ import annotations
 
@@ -7,36 +7,48 @@ import json
 
 from pyspark.sql import SparkSession
 
-from .operators import catalog
-from .plans import more, queries
-from .plans.written import written
-from .sources import documents
+from .plans import build, further, more, queries
 
-
-def clean(spark: SparkSession, path: str, output: str) -> dict:
-    raw, bad = documents.read_raw_tools(spark, path)
-    tools = written(catalog.tools(documents.in_order(raw)))
-    stats = catalog.cleaning_stats(tools)
-    documents.write_catalogue(catalog.first_by_name(tools).select("ingest_seq", "domain", "name", "description", "params", "returns"), stats, output)
-    return stats.first().asDict() | {"bad_files": bad.count()}
+QUERIES = queries.QUERIES | more.QUERIES | further.QUERIES
 
 
 def main(arguments: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="loomgraph", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("clean", help="raw tool records (JSON files) to a catalogue")
-    c.add_argument("path")
-    c.add_argument("-o", "--output", required=True)
+
+    def command(name: str, about: str, *places: str) -> argparse.ArgumentParser:
+        c = sub.add_parser(name, help=about)
+        for x in places:
+            c.add_argument(x)
+        c.add_argument("-o", "--output", required=True)
+        return c
+
+    command("clean", "raw tool records (JSON files) to a catalogue", "path")
+    command("schemas", "schemas of a catalogue's tools as one JSON array", "path").add_argument("--platform", default="")
+    c = command("domains", "the similarity graph of a catalogue's tools, and a folder for each of its communities", "path")
+    c.add_argument("--least", type=float, default=0.75)
+    c.add_argument("--resolution", type=float, default=1.0)
+    c.add_argument("--most", type=int, default=30)
+    c = command("walks", "walks over a graph that domains wrote, and a task for each", "path")
+    c.add_argument("--num-walks", type=int, default=10)
+    c.add_argument("--least", type=int, default=3)
+    c.add_argument("--most", type=int, default=8)
     q = sub.add_parser("query", help="a named query, written as JSON lines")
-    q.add_argument("name", choices=sorted(queries.QUERIES | more.QUERIES))
+    q.add_argument("name", choices=sorted(QUERIES))
     q.add_argument("tables")
     q.add_argument("-o", "--output", required=True)
     a = p.parse_args(arguments)
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
-    if a.command == "clean":
-        print(json.dumps(clean(spark, a.path, a.output)))
-    else:
-        (queries.QUERIES | more.QUERIES)[a.name](spark, a.tables).write.mode("overwrite").json(a.output)
+    if a.command == "query":
+        QUERIES[a.name](spark, a.tables).write.mode("overwrite").json(a.output)
+        return
+    run = {
+        "clean": lambda: build.clean(spark, a.path, a.output),
+        "schemas": lambda: build.call_schemas(spark, a.path, a.output, a.platform),
+        "domains": lambda: build.domains(spark, a.path, a.output, a.least, a.resolution, a.most),
+        "walks": lambda: build.walks_and_tasks(spark, a.path, a.output, a.num_walks, a.least, a.most),
+    }
+    print(json.dumps(run[a.command]()))
 
 
 if __name__ == "__main__":

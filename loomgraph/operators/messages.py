@@ -24,7 +24,7 @@ def memory(messages: DataFrame, reset: str = "system", chunk: int = CHUNK) -> Da
     """(conv, pos, segment, place, role, content, current) of messages(conv, pos, role, content), pos telling their order.
 
     A message in the role ``reset`` clears the memory and is the first of a new segment; what comes before the first is segment
-    0. Places count from 1 in each segment; the last segment of a conversation is what it remembers."""
+    0. Places count from 1 in each segment; the last segment of a conversation is what it remembers. Messages of no conversation go."""
     m = messages.select("conv", "pos", "role", "content")
     m = _running(m, "conv", ["pos"], F.when(F.col("role") == reset, 1).otherwise(0), "segment", chunk)
     m = _running(m, "conv", ["pos"], F.lit(1), "n", chunk)

@@ -177,6 +177,12 @@ def save_json(df: DataFrame, path: str, append: bool = False) -> None:
     df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value")).write.format("json_array").option("path", path).mode("append" if append else "overwrite").save()
 
 
+def save_values(df: DataFrame, path: str) -> None:
+    """Rows of one column of JSON as one array."""
+    register(df.sparkSession)
+    df.select(F.col(df.columns[0]).cast("string").alias("value")).write.format("json_array").option("path", path).mode("overwrite").save()
+
+
 def save_documents(df: DataFrame, path: str, name: str = "name", body: str = "body", append: bool = False) -> None:
     """Each row as a document of its own, ``name``.json, in the folder ``path``."""
     register(df.sparkSession)

@@ -159,3 +159,29 @@ def test_validity_names_and_rounds(spark):
     got = {r.tool: (r.n_tests, r.n_failed, r.last_round) for r in replay.repair_rounds(tests, [small, large], {}, written).collect()}
     assert got == {"f": (4, 1, 1), "g": (1, 1, 1)}
     assert replay.repair_rounds(tests.where("test_id < 2"), [small, large], {}, written).first().last_round == 0
+
+
+def test_command_line_to_walks(spark, tmp_path, capsys):
+    """Raw records to a catalogue, its schemas, domains, walks and tasks."""
+    from loomgraph.__main__ import main
+
+    tools = [{"name": f"{verb} {noun} {k}", "description": f"{verb} the {noun} of a {noun} store", "parameters": {}} for k, verb in enumerate(("get", "list", "find")) for noun in ("user", "file")]
+    tools += [{"name": "odd one", "description": "Something else altogether", "parameters": {"x": {"type": "dict", "description": "An x", "properties": {"y": {"type": "int"}}}}}]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.json").write_text(json.dumps(tools))
+    at = {k: str(tmp_path / k) for k in ("raw", "cat", "domains", "walks")}
+
+    def run(*arguments):
+        main(list(arguments))
+        return json.loads(capsys.readouterr().out.splitlines()[-1])
+
+    assert run("clean", at["raw"], "-o", at["cat"])["final_count"] == 7
+    assert run("schemas", at["cat"], "-o", str(tmp_path / "s.json"), "--platform", "openai") == {"tools": 7}
+    got = {x["function"]["name"]: x["function"]["parameters"] for x in load(tmp_path / "s.json")}
+    assert got["odd_one"]["properties"]["x"]["properties"] == {"y": {"type": "integer", "description": ""}} and got["get_user_0"]["properties"] == {}
+    said = run("domains", at["cat"], "-o", at["domains"], "--least", "0.6")
+    assert said == {"tools": 7, "edges": 6, "domains": 3}
+    assert sorted(x.split("=")[1].split("_")[0] for x in os.listdir(tmp_path / "domains" / "domains") if "=" in x) == ["file", "odd", "user"]
+    assert run("walks", at["domains"], "-o", at["walks"], "--num-walks", "1", "--most", "3")["walks"] == 1
+    s = load(tmp_path / "walks" / "tasks" / "tasks_summary.json")
+    assert s["total_tasks"] == 1 and len(os.listdir(tmp_path / "walks" / "walks")) == 1
