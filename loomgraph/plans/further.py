@@ -276,6 +276,14 @@ def query_zip_checked(spark, d):
     return u.join(a, ["conv_id", "pos"], "full_outer").select("conv_id", "pos", "node", status.alias("status"))
 
 
+# samples
+
+
+def sample_batch(spark, d):
+    """Connected samples unlike each other, each by a drawn strategy."""
+    return samples.batch(_nodes(spark, d), _edges(spark, d), 6, 3, 10, written, similarity.greedy_kept)
+
+
 # near vectors
 
 
@@ -368,7 +376,7 @@ QUERIES = {f.__name__: f for f in (
     walk_batches,
     nested_schemas, nested_fields, tool_outputs, tool_texts, tool_vectors, tool_text_edges, tool_text_neighbours,
     message_memory, format_history, json_in_prose, walk_files, task_files, json_array_append, trajectory_files, execute_tests, report_by_name, topo_order, query_zip_checked,
-    near_parts, community_names, refinement_summary, stripped_results, first_tests, records_per_table, edge_validity, repair_rounds, clustering_average,
+    sample_batch, near_parts, community_names, refinement_summary, stripped_results, first_tests, records_per_table, edge_validity, repair_rounds, clustering_average,
 )}
 
 _UNITS = "round(value * 100)::BIGINT"
