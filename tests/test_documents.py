@@ -185,3 +185,75 @@ def test_command_line_to_walks(spark, tmp_path, capsys):
     assert run("walks", at["domains"], "-o", at["walks"], "--num-walks", "1", "--most", "3")["walks"] == 1
     s = load(tmp_path / "walks" / "tasks" / "tasks_summary.json")
     assert s["total_tasks"] == 1 and len(os.listdir(tmp_path / "walks" / "walks")) == 1
+
+
+def test_packed_documents_and_tasks(spark, tmp_path):
+    """Many documents in few files, read as a file each is; beside them documents of their own."""
+    p, n = str(tmp_path / "p"), 5000
+    df = spark.range(0, n, 1, 4).select(F.concat(F.lit("task_"), F.col("id").cast("string")).alias("name"), F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.lit('é"\n').alias("walk_id"))).alias("body"))
+    sinks.save_packed(df, p)
+    assert sum(f.startswith("part-") for f in os.listdir(p)) == 4
+    sinks.save_documents(spark.createDataFrame([("tasks_summary", '{"total_tasks": 5000}'), ("task_odd", "{broken")], "name string, body string"), p, append=True)
+    got = {r.name: json.loads(r.body) for r in documents.read_documents(spark, p, "task").collect()}
+    assert len(got) == n + 1 and got["task_7"] == {"id": "7", "walk_id": 'é"\n'} and got["tasks_summary"]["total_tasks"] == n
+    assert documents.read_tasks(spark, p).where("walk_id is not null").count() == n
+    sinks.save_packed(df.where("name = 'task_1'"), p)
+    assert [r.name for r in documents.read_documents(spark, p).collect()] == ["task_1"]
+    sinks.save_packed(df.limit(0), p)
+    assert documents.read_documents(spark, p).isEmpty()
+    for rows in ([("x", "1"), ("x", "2")], [("../x", "1")], [(None, "1")], [("", "1")]):
+        with pytest.raises(Exception):
+            sinks.save_packed(spark.createDataFrame(rows, "name string, body string"), p)
+    assert os.listdir(tmp_path) == ["p"]
+
+
+def test_documents_of_queries_are_few_files(spark, monkeypatch):
+    """No query writes a file a row."""
+    from loomgraph.plans import further, more
+
+    wrote, save = [], sinks.save_documents
+    monkeypatch.setattr(sinks, "save_documents", lambda df, path, **k: wrote.append(df.count()) or save(df, path, **k))
+    for f in (further.trajectory_files, further.task_files, further.walk_files, more.graph_documents):
+        assert not f(spark, "/root/testdata/sf0.001").isEmpty()
+    assert all(n <= 1 for n in wrote)
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_arrays_element_by_element(tmp_path, monkeypatch, block):
+    """What is an array is told as json.loads tells it, wherever blocks end."""
+    from pyarrow import fs
+
+    monkeypatch.setattr(sinks, "COPY", block)
+    p = str(tmp_path / "a")
+    for said in ("[]", " [ ] ", "[1]", "[12, -3.5e10 ,\n4]\n", '["a,]", {"b": [1, {"c": "é\\n"}]}, null, true]', "[[], [[1]]]", "[NaN]", "", "[", "]", "[1", "[1,", "[1,]", "[1 2]", "[1] x", "[1][2]", "{}", "5", '"[1]"', "[tru]", "[1.5e]", "[01]"):
+        with open(p, "w") as f:
+            f.write(said)
+        try:
+            want = json.loads(said)
+        except ValueError:
+            want = None
+        assert sinks.elements(fs.LocalFileSystem(), p) == (len(want) if isinstance(want, list) else None), said
+
+
+def test_append_holds_a_block(spark, tmp_path):
+    """Memory of an append is a block, not the array that is there; and tasks share the array when it is read."""
+    import tracemalloc
+
+    p = str(tmp_path / "a.json")
+    with open(p, "w") as f:
+        f.write("[\n" + ",\n".join(json.dumps({"id": k, "s": "x" * 200}) for k in range(100_000)) + "\n]\n")
+    tracemalloc.start()
+    sinks.ArrayWriter(p, False).commit([])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20 < os.path.getsize(p) and len(load(p)) == 100_000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4 << 20)
+    try:
+        got = documents.read_array(spark, p, "id long, s string")
+        assert got.rdd.getNumPartitions() > 3 and got.agg(F.sum("id")).first()[0] == sum(range(100_000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for said in ('[{"id": 1}, {"id": 2}]', '[\n{"id": 1,\n"s": "a"},\n{"id": 2}]', '[{"id": 1}\n,\n{"id": 2}\n]'):
+        with open(p, "w") as f:
+            f.write(said)
+        assert sorted(r.id for r in documents.read_array(spark, p, "id long, s string").collect()) == [1, 2]
