@@ -71,4 +71,4 @@ def described(walks: DataFrame, tools: DataFrame) -> DataFrame:
 def walk_subgraph(walks: DataFrame, edges: DataFrame) -> DataFrame:
     """(walk, src, dst): every edge of the graph between two nodes of a walk, not only those walked."""
     n = walks.select("walk", F.explode(F.array_distinct("path")).alias("id"))
-    return edges.select("src", "dst").distinct().join(n.withColumnRenamed("id", "src"), "src").join(n.withColumnRenamed("id", "dst"), ["walk", "dst"]).select("walk", "src", "dst")
+    return edges.select("src", "dst").join(n.withColumnRenamed("id", "src"), "src").join(n.withColumnRenamed("id", "dst"), ["walk", "dst"]).select("walk", "src", "dst").distinct()
