@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import leaving
+
 
 def schema_violations(schemas: DataFrame) -> DataFrame:
     """(name, tbl, field, reason) of schemas(name, body): JSON of table -> {description, fields: {field: {type}}}."""
@@ -71,4 +73,5 @@ def described(walks: DataFrame, tools: DataFrame) -> DataFrame:
 def walk_subgraph(walks: DataFrame, edges: DataFrame) -> DataFrame:
     """(walk, src, dst): every edge of the graph between two nodes of a walk, not only those walked."""
     n = walks.select("walk", F.explode(F.array_distinct("path")).alias("id"))
-    return edges.select("src", "dst").join(n.withColumnRenamed("id", "src"), "src").join(n.withColumnRenamed("id", "dst"), ["walk", "dst"]).select("walk", "src", "dst").distinct()
+    begin = n.withColumnRenamed("id", "src")
+    return leaving(edges, begin).select("src", "dst").join(begin, "src").join(n.withColumnRenamed("id", "dst"), ["walk", "dst"]).select("walk", "src", "dst").distinct()

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .graph import uniform
+from .graph import leaving, uniform
 
 
 def _draw(seed: int, *parts):
@@ -32,16 +32,20 @@ def asked(graphs: DataFrame, first: int, n: int, least: int, most: int, seed: in
     return w.withColumn("want", (least + F.floor(_draw(seed, F.col("graph"), F.col("walk"), F.lit("length")) * (most - least + 1))).cast("int"))
 
 
-def _places(edges: DataFrame, seed: int, table) -> DataFrame:
+def _places(edges, seed: int, table, degrees: DataFrame | None = None) -> DataFrame:
     """(graph, id, rank, n): nodes with successors, in drawn order."""
-    out = edges.select("graph", F.col("src").alias("id")).distinct()
+    out = edges.select("graph", F.col("src").alias("id")).distinct() if degrees is None else degrees.where("out_degree > 0").select("graph", "id")
     return table(numbered(out.withColumn("u", _draw(seed, F.col("graph"), F.col("id")))))
 
 
-def starts(edges: DataFrame, seed: int) -> DataFrame:
+def starts(edges, seed: int, degrees: DataFrame | None = None) -> DataFrame:
     """(graph, id, rank, n): all nodes of edges(graph, src, dst), most edges out over in first."""
-    ends = edges.select("graph", F.col("src").alias("id"), F.lit(1).alias("s")).unionAll(edges.select("graph", "dst", F.lit(-1)))
-    n = ends.groupBy("graph", "id").agg(F.sum("s").alias("surplus")).withColumn("u", _draw(seed, F.col("graph"), F.col("id")))
+    if degrees is None:
+        ends = edges.select("graph", F.col("src").alias("id"), F.lit(1).alias("s")).unionAll(edges.select("graph", "dst", F.lit(-1)))
+        n = ends.groupBy("graph", "id").agg(F.sum("s").alias("surplus"))
+    else:
+        n = degrees.where("out_degree + in_degree > 0").select("graph", "id", (F.col("out_degree") - F.col("in_degree")).alias("surplus"))
+    n = n.withColumn("u", _draw(seed, F.col("graph"), F.col("id")))
     return numbered(n, -F.col("surplus"))
 
 
@@ -63,21 +67,25 @@ def _few(walks: DataFrame) -> DataFrame:
     return F.broadcast(walks) if walks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else walks
 
 
-def _edges_to_walk(edges: DataFrame, table, unique: bool) -> DataFrame:
-    """Each pair once; ``unique`` edges are so, and are read as they are."""
+def _edges_to_walk(edges, table, unique: bool):
+    """Each pair once; ``unique`` edges are so, and are read as they are, and so are those that a function gives."""
+    if callable(edges):
+        return lambda ids: edges(ids).where("weight > 0 and src <> dst").select(F.lit(0).cast("long").alias("graph"), "src", "dst", "weight")
     e = edges.where("weight > 0 and src <> dst").select("graph", "src", "dst", "weight")
     return e if unique else table(e.groupBy("graph", "src", "dst").agg(F.max("weight").alias("weight")))
 
 
-def chains(edges: DataFrame, walks: DataFrame, most: int, table, seed: int = 42, unique: bool = False) -> DataFrame:
+def chains(edges, walks: DataFrame, most: int, table, seed: int = 42, unique: bool = False, degrees: DataFrame | None = None) -> DataFrame:
     """(graph, walk, path): self-avoiding walks over edges(graph, src, dst, weight) for walks(graph, walk, want), want at most ``most``.
 
     A walk starts at one of the third of its graph's nodes, three at least, with the most edges out over in. The next node is
     an unvisited successor, by weight (exponential race). At a dead end the walk jumps to an unvisited node that has
-    successors, and ends if there is none. Edges of no weight are not walked; a graph without edges has no walks."""
+    successors, and ends if there is none. Edges of no weight are not walked; a graph without edges has no walks.
+
+    Edges may be a function of the nodes where walks are (see graph.leaving), of graph 0, with degrees(graph, id, in_degree, out_degree)."""
     e = _edges_to_walk(edges, table, unique)
-    places = _places(e, seed, table)
-    begin = starts(e, seed).where(F.col("rank") < F.greatest(F.lit(3), F.floor(F.col("n") / 3)))
+    places = _places(e, seed, table, degrees)
+    begin = starts(e, seed, degrees).where(F.col("rank") < F.greatest(F.lit(3), F.floor(F.col("n") / 3)))
     few = F.least("n", F.greatest(F.lit(3), F.floor(F.col("n") / 3)))
     drawn = walks.join(begin.where("rank = 0").select("graph", few.alias("few")), "graph").withColumn("rank", F.floor(_draw(seed, F.col("graph"), F.col("walk"), F.lit("start")) * F.col("few")))
     state = table(drawn.join(begin.select("graph", "rank", "id"), ["graph", "rank"]).select("graph", "walk", "want", F.array("id").alias("path")))
@@ -86,7 +94,8 @@ def chains(edges: DataFrame, walks: DataFrame, most: int, table, seed: int = 42,
         going = state.where((F.size("path") == step) & (F.col("want") > step))
         ended.append(state.where((F.size("path") < step) | (F.col("want") <= step)))
         race = -F.log(F.greatest(_draw(seed, F.col("graph"), F.col("walk"), F.lit(step), F.col("dst")), F.lit(1e-16))) / F.col("weight")
-        near = e.join(_few(going.withColumn("src", F.element_at("path", -1))), ["graph", "src"]).where(~F.array_contains("path", F.col("dst")))
+        here = going.withColumn("src", F.element_at("path", -1))
+        near = leaving(e, here).join(_few(here), ["graph", "src"]).where(~F.array_contains("path", F.col("dst")))
         near = table(near.groupBy("graph", "walk").agg(F.min_by("dst", F.struct(race, "dst")).alias("id")))
         far = _landed(going.join(near, ["graph", "walk"], "left_anti"), places, seed, most)
         state = table(going.join(near.unionAll(far), ["graph", "walk"], "left").select("graph", "walk", "want", F.when(F.col("id").isNull(), F.col("path")).otherwise(F.concat("path", F.array("id"))).alias("path")))
@@ -95,32 +104,39 @@ def chains(edges: DataFrame, walks: DataFrame, most: int, table, seed: int = 42,
     return reduce(DataFrame.unionAll, [*ended, state]).select("graph", "walk", "path")
 
 
-def chain_walks(spark: SparkSession, edges: DataFrame, n_walks: int, length: int, table, seed: int = 42, least: int | None = None, unique: bool = False) -> DataFrame:
+def _of_one(edges, degrees: DataFrame | None) -> tuple:
+    """Edges and degrees of graph 0."""
+    zero = F.lit(0).cast("long").alias("graph")
+    return edges if callable(edges) else edges.select(zero, "src", "dst", "weight"), degrees if degrees is None else degrees.select(zero, "id", "in_degree", "out_degree")
+
+
+def chain_walks(spark: SparkSession, edges, n_walks: int, length: int, table, seed: int = 42, least: int | None = None, unique: bool = False, degrees: DataFrame | None = None) -> DataFrame:
     """(walk, path): ``chains`` of one graph edges(src, dst, weight), of ``length`` nodes or a drawn number from ``least`` on."""
     one = spark.range(1).select(F.col("id").alias("graph"))
     w = asked(one, 0, n_walks, length if least is None else least, length, seed)
-    return chains(edges.select(F.lit(0).cast("long").alias("graph"), "src", "dst", "weight"), w, length, table, seed, unique).select("walk", "path")
+    edges, degrees = _of_one(edges, degrees)
+    return chains(edges, w, length, table, seed, unique, degrees).select("walk", "path")
 
 
-def walk_edges(walks: DataFrame, edges: DataFrame) -> DataFrame:
+def walk_edges(walks: DataFrame, edges) -> DataFrame:
     """(walk, pos, src, dst): consecutive nodes of a walk that an edge joins."""
     steps = walks.select("walk", F.posexplode(F.arrays_zip(F.col("path").alias("src"), F.slice("path", 2, F.greatest(F.size("path"), F.lit(1))).alias("dst"))).alias("pos", "s"))
     steps = steps.select("walk", F.col("pos").cast("long").alias("pos"), "s.src", "s.dst").where("dst is not null")
-    return edges.select("src", "dst").join(_few(steps), ["src", "dst"]).distinct().select("walk", "pos", "src", "dst")
+    return leaving(edges, steps).select("src", "dst").join(_few(steps), ["src", "dst"]).distinct().select("walk", "pos", "src", "dst")
 
 
 NODE = "array<struct<id:bigint,depth:int,open:boolean>>"
 STEP = "array<struct<src:bigint,dst:bigint>>"
 
 
-def dags(edges: DataFrame, walks: DataFrame, most: int, table, seed: int = 42, merge: float = 0.25, branch: float = 0.3, widest: int = 3, unique: bool = False) -> DataFrame:
+def dags(edges, walks: DataFrame, most: int, table, seed: int = 42, merge: float = 0.25, branch: float = 0.3, widest: int = 3, unique: bool = False, degrees: DataFrame | None = None) -> DataFrame:
     """(graph, walk, nodes, steps): walks with an active frontier over edges(graph, src, dst, weight) for walks(graph, walk, want), nodes with their depths, steps as edges taken.
 
     In each round a walk takes an open node, drawn with weight 1/(depth + 1), which then closes. By chance it merges into a
     visited successor that lies deeper (so walks have no cycles), or branches to two or three drawn successors (the same may be
-    drawn twice), else it goes on to one, by weight. A walk ends at ``want`` nodes, without open nodes, or after three rounds a node."""
+    drawn twice), else it goes on to one, by weight. A walk ends at ``want`` nodes, without open nodes, or after three rounds a node. Edges may be a function, as for ``chains``."""
     e = _edges_to_walk(edges, table, unique)
-    places = _places(e, seed, table)
+    places = _places(e, seed, table, degrees)
     key, of = ["graph", "walk"], [F.col("graph"), F.col("walk")]
     begun = walks.join(places.where("rank = 0").select("graph", "n"), "graph").withColumn("rank", F.floor(_draw(seed, *of, F.lit("start")) * F.col("n"))).drop("n").join(places.select("graph", "rank", "id"), ["graph", "rank"])
     state = table(begun.select(*key, "want", F.array(F.struct("id", F.lit(0).alias("depth"), F.lit(True).alias("open"))).cast(NODE).alias("nodes"), F.array().cast(STEP).alias("steps")))
@@ -134,7 +150,7 @@ def dags(edges: DataFrame, walks: DataFrame, most: int, table, seed: int = 42, m
         here = state.where(going).withColumn("pick", pick).withColumn("src", F.col("pick.id"))
         drawn = [race(t, F.col("dst"), F.col("weight")).alias(t) for t in ("a", "b", "c")]
         known = F.get(F.transform(F.filter("nodes", lambda x: x["id"] == F.col("dst")), lambda x: x["depth"]), F.lit(0))
-        near = e.join(_few(here), ["graph", "src"]).select(*key, "dst", *drawn, known.alias("known"), F.col("pick.depth").alias("depth"), F.array_contains("steps", F.struct(F.col("src"), F.col("dst"))).alias("taken"))
+        near = leaving(e, here).join(_few(here), ["graph", "src"]).select(*key, "dst", *drawn, known.alias("known"), F.col("pick.depth").alias("depth"), F.array_contains("steps", F.struct(F.col("src"), F.col("dst"))).alias("taken"))
         fresh, deeper = F.col("known").isNull(), (F.col("known") > F.col("depth")) & ~F.col("taken")
         best = lambda t, ok: F.min(F.when(ok, F.struct(F.col(t).alias("u"), F.col("dst").alias("dst"))))["dst"]
         got = near.groupBy(*key).agg(F.count_if(fresh).alias("n_fresh"), best("a", deeper).alias("into"), *[best(t, fresh).alias(t) for t in ("a", "b", "c")])
@@ -154,11 +170,12 @@ def dags(edges: DataFrame, walks: DataFrame, most: int, table, seed: int = 42, m
     return reduce(DataFrame.unionAll, [*ended, state]).select(*key, "nodes", "steps")
 
 
-def dag_walks(spark: SparkSession, edges: DataFrame, n_walks: int, length: int, table, seed: int = 42, merge: float = 0.25, branch: float = 0.3, widest: int = 3, least: int | None = None, unique: bool = False) -> DataFrame:
+def dag_walks(spark: SparkSession, edges, n_walks: int, length: int, table, seed: int = 42, merge: float = 0.25, branch: float = 0.3, widest: int = 3, least: int | None = None, unique: bool = False, degrees: DataFrame | None = None) -> DataFrame:
     """(walk, nodes, steps): ``dags`` of one graph edges(src, dst, weight), of up to ``length`` nodes or a drawn number from ``least`` on."""
     one = spark.range(1).select(F.col("id").alias("graph"))
     w = asked(one, 0, n_walks, length if least is None else least, length, seed)
-    return dags(edges.select(F.lit(0).cast("long").alias("graph"), "src", "dst", "weight"), w, length, table, seed, merge, branch, widest, unique).select("walk", "nodes", "steps")
+    edges, degrees = _of_one(edges, degrees)
+    return dags(edges, w, length, table, seed, merge, branch, widest, unique, degrees).select("walk", "nodes", "steps")
 
 
 def dag_layers(walks: DataFrame) -> DataFrame:
