@@ -27,9 +27,10 @@ def _conf(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 class Fold(StatefulProcessor):
-    """Events of an episode wait in a map by (time, seq) until the watermark passes them; a timer then applies those due, in order.
+    """Events of an episode wait in a list until the watermark passes them; a timer then applies those due, by (time, seq).
 
-    An event that is delivered twice while it waits is one event. State: the episode's state as JSON and the number of its snapshots."""
+    The list is read and written as a whole, and a timer is set for the first event that waits, so an episode asks the state
+    store as often a batch, whatever its events. An event that is delivered twice while it waits is one event. State: the episode's state as JSON and the number of its snapshots."""
 
     def __init__(self, tools: Tools, initial: str):
         self.tools, self.initial = tools, initial
@@ -37,32 +38,35 @@ class Fold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "state string, snapshots long")
-        self.waiting = handle.getMapState("waiting", "us long, seq long", "tool string, args string")
+        self.waiting = handle.getListState("waiting", "us long, seq long, tool string, args string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        due = set()
-        for r in rows:
-            self.waiting.updateValue((r.us, r.seq), (r.tool, r.args))
-            due.add(r.us // 1000 + 1)
-        for ms in due:
-            self.handle.registerTimer(ms)
+        new = [(r.us, r.seq, r.tool, r.args) for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(us for us, *_ in new) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         import json
 
         mark = timerValues.getCurrentWatermarkInMs()
+        held = {(us, seq): (tool, args) for us, seq, tool, args in self.waiting.get()} if self.waiting.exists() else {}
         # one expired timer applies all that is due, so the others of the batch find nothing
-        due = sorted(tuple(k) for k in self.waiting.keys() if k[0] // 1000 < mark)
+        due = sorted(k for k in held if k[0] // 1000 < mark)
         if not due:
             return
+        todo = {k: held.pop(k) for k in due}
+        if held:
+            self.waiting.put([(*k, *v) for k, v in held.items()])
+            self.handle.registerTimer(min(held)[0] // 1000 + 1)
+        else:
+            self.waiting.clear()
         text, n = self.state.get() if self.state.exists() else (self.initial, 0)
         state = json.loads(text)
-        for us, seq in due:
-            tool, args = self.waiting.getValue((us, seq))
+        for (_, seq), (tool, args) in todo.items():
             ok, result, state = self.tools.run(tool, state, json.loads(args) if args else {})
             n += 1
-            self.waiting.removeKey((us, seq))
             yield Row(episode=key[0], seq=seq, snapshot_id=n, success=ok, result=result if isinstance(result, str) else canonical(result), state=canonical(state))
         self.state.update((canonical(state), n))
 
